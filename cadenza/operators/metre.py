@@ -88,15 +88,39 @@ def transitions(template: str):
     return rows
 
 
-def _trans_literal(template: str) -> str:
-    items = ",".join(
-        f"named_struct('src',{s},'dst',{d},'ch','{c}','up',{str(c.isupper()).lower()})"
-        for s, d, c in transitions(template))
-    return f"array({items})"
+# A frontier state is one BIGINT:  key << 40 | text, with
+#   key  = (node + 1) << 8 | strong << 4 | weak      (node = -1 is the start)
+#   text = template letters so far, 2 bits each, codes S=0 U=1 s=2 u=3.
+# Codes follow string order, and all texts of one step have the same length,
+# so ascending BIGINT order is (node, strong, weak, text) order.
+_CODES = "SUsu"
+_TEXT_BITS = 40
+_TEXT_MASK = (1 << _TEXT_BITS) - 1
+_PATTERN_CHARS = "SUA"
+
+
+def _moves_literal(template: str) -> str:
+    """Element (node + 1) * 3 + ci + 1 (1-based) lists the moves out of
+    ``node`` on pattern letter ``SUA[ci]`` as BIGINT ``(dst+1)<<10 | ds<<6 |
+    dw<<2 | code``."""
+    chars, first, follow, _ = compile_template(template)
+    out = []
+    for src in range(-1, len(chars)):
+        succ = first if src < 0 else follow[src]
+        for c in _PATTERN_CHARS:
+            moves = []
+            for q in sorted(succ):
+                t = chars[q]
+                ds = int(t.isupper() and t != c and c != "A")
+                dw = int(t.islower() and t != c.lower() and c != "A")
+                moves.append(str(((q + 1) << 10) | (ds << 6) | (dw << 2) | _CODES.index(t)))
+            out.append("array(" + ",".join(f"CAST({m} AS BIGINT)" for m in moves) + ")"
+                       if moves else "CAST(array() AS ARRAY<BIGINT>)")
+    return "array(" + ", ".join(out) + ")"
 
 
 def metre_match_expr(pattern: str, template: str, border: int) -> str:
-    """SQL expression: STRUCT<strong INT, weak INT, template STRING, failed BOOLEAN>.
+    """SQL expression: STRUCT<strong INT, weak INT, t STRING, failed BOOLEAN>.
 
     Semantics per position i (char c of the pattern, letter t of the template):
     strong += (t upper, t != c, c != 'A'); weak += (t lower, t != lower(c),
@@ -105,20 +129,19 @@ def metre_match_expr(pattern: str, template: str, border: int) -> str:
     strong += n - i (failed).  An accepted state has passed the mandatory S.
     """
     _, _, _, s_index = compile_template(template)
-    trans = _trans_literal(template)
-    init = "named_struct('node',-1,'s',0,'w',0,'t','')"
-    c = f"substr({pattern}, i, 1)"
+    moves = _moves_literal(template)
+    ci = f"CASE substr({pattern}, i, 1) WHEN 'S' THEN 0 WHEN 'U' THEN 1 ELSE 2 END"
     step = (
-        "filter(flatten(transform(acc.f, st -> transform(filter(" + trans + ", tr -> tr.src = st.node), "
-        "tr -> named_struct('node', tr.dst, "
-        f"'s', st.s + IF(tr.up AND tr.ch != {c} AND {c} != 'A', 1, 0), "
-        f"'w', st.w + IF(NOT tr.up AND tr.ch != lower({c}) AND {c} != 'A', 1, 0), "
-        "'t', concat(st.t, tr.ch))))), x -> x.s + x.w <= " + str(border) + ")"
+        f"filter(flatten(transform(acc.f, x -> transform(element_at({moves}, "
+        f"CAST(shiftright(x, 48) * 3 + {ci} + 1 AS INT)), m -> "
+        "shiftleft(shiftleft(shiftright(m, 10), 8) | ((shiftright(x, 40) & 255) + (shiftright(m, 2) & 255)), 40)"
+        f" | (shiftleft(x & {_TEXT_MASK}, 2) | (m & 3))))), "
+        f"y -> (shiftright(y, 44) & 15) + (shiftright(y, 40) & 15) <= {border})"
     )
-    # keep the smallest text per (node, s, w): sort, then drop repeats of the key
+    # keep the smallest text per key: sort, then drop repeats of the key
     dedup = (
         "transform(array(array_sort(" + step + ")), arr -> filter(arr, (x, j) -> j = 0 OR "
-        "get(arr, j - 1).node != x.node OR get(arr, j - 1).s != x.s OR get(arr, j - 1).w != x.w))[0]"
+        "shiftright(get(arr, j - 1), 40) != shiftright(x, 40)))[0]"
     )
     body = (
         "CASE WHEN acc.cut >= 0 THEN acc ELSE "
@@ -126,17 +149,23 @@ def metre_match_expr(pattern: str, template: str, border: int) -> str:
         "IF(size(nf) = 0, named_struct('f', acc.f, 'cut', i - 1), named_struct('f', nf, 'cut', -1)))[0] END"
     )
     walk = (
-        f"aggregate(sequence(1, length({pattern})), named_struct('f', array({init}), 'cut', -1), "
+        f"aggregate(sequence(1, length({pattern})), "
+        "named_struct('f', array(CAST(0 AS BIGINT)), 'cut', -1), "
         f"(acc, i) -> {body})"
     )
+    # rank = strong << 44 | weak << 40 | text  (node dropped)
     best = (
-        f"array_min(transform(filter(w.f, x -> x.node >= {s_index}), "
-        "x -> named_struct('s', x.s, 'w', x.w, 't', x.t)))"
+        f"array_min(transform(filter(w.f, x -> shiftright(x, 48) >= {s_index + 1}), "
+        f"x -> shiftleft(shiftright(x, 40) & 255, 40) | (x & {_TEXT_MASK})))"
     )
+    n_used = f"IF(w.cut >= 0, w.cut, length({pattern}))"
+    text = (f"array_join(transform(sequence({n_used} - 1, 0, -1), k -> "
+            f"substr('{_CODES}', CAST((shiftright(b, 2 * k) & 3) + 1 AS INT), 1)), '')")
     result = (
         f"transform(array({walk}), w -> transform(array({best}), b -> named_struct("
-        f"'strong', coalesce(b.s, 0) + IF(w.cut >= 0, length({pattern}) - w.cut, 0), "
-        "'weak', coalesce(b.w, 0), 't', coalesce(b.t, ''), "
+        f"'strong', CAST(coalesce(shiftright(b, 44), 0) AS INT) + IF(w.cut >= 0, length({pattern}) - w.cut, 0), "
+        "'weak', CAST(coalesce(shiftright(b, 40) & 15, 0) AS INT), "
+        f"'t', IF(b IS NULL, '', {text}), "
         "'failed', w.cut >= 0 OR b IS NULL))[0])[0]"
     )
     n = f"length({pattern})"
@@ -157,6 +186,92 @@ def all_metres_expr(pattern: str = "pattern") -> str:
     return "array(" + ", ".join(parts) + ")"
 
 
+# ---------------------------------------------------------------------------
+# prefix-sharing walk (Arrow batches of range-sorted distinct patterns)
+# ---------------------------------------------------------------------------
+_CI = {"S": 0, "U": 1, "A": 2}
+
+
+@lru_cache(maxsize=None)
+def _move_table(template: str):
+    """moves[node + 1][ci] -> tuple of (dst, d_strong, d_weak, letter)."""
+    chars, first, follow, s_index = compile_template(template)
+    table = []
+    for src in range(-1, len(chars)):
+        succ = first if src < 0 else follow[src]
+        row = []
+        for c in _PATTERN_CHARS:
+            row.append(tuple(
+                (q, int(chars[q].isupper() and chars[q] != c and c != "A"),
+                 int(chars[q].islower() and chars[q] != c.lower() and c != "A"), chars[q])
+                for q in sorted(succ)))
+        table.append(tuple(row))
+    return tuple(table), s_index
+
+
+class _Walker:
+    """Frontier walk for one template that reuses the frontiers of the prefix
+    shared with the previous (sorted) pattern: work grows with the number of
+    distinct prefixes, not with patterns x length."""
+
+    def __init__(self, template: str, border: int):
+        self.moves, self.s_index = _move_table(template)
+        self.border = border
+        self.stack = [{(-1, 0, 0): ""}]
+        self.prev = ""
+
+    def match(self, p: str):
+        n = len(p)
+        if n == 0 or n > BORDER_SYLLABLES:
+            return 0, 0, "", False
+        k, m = 0, min(len(self.prev), n, len(self.stack) - 1)
+        while k < m and self.prev[k] == p[k]:
+            k += 1
+        del self.stack[k + 1:]
+        cut = -1
+        moves, border = self.moves, self.border
+        for i in range(k, n):
+            cur: dict = {}
+            ci = _CI.get(p[i], 2)
+            for (node, s, w), t in self.stack[-1].items():
+                for dst, ds, dw, ch in moves[node + 1][ci]:
+                    s2, w2 = s + ds, w + dw
+                    if s2 + w2 > border:
+                        continue
+                    key, t2 = (dst, s2, w2), t + ch
+                    old = cur.get(key)
+                    if old is None or t2 < old:
+                        cur[key] = t2
+            if not cur:
+                cut = i
+                break
+            self.stack.append(cur)
+        self.prev = p if cut < 0 else p[:cut]
+        cands = [(s, w, t) for (node, s, w), t in self.stack[-1].items() if node >= self.s_index]
+        b = min(cands) if cands else None
+        if cut >= 0:
+            return (b[0] if b else 0) + n - cut, b[1] if b else 0, b[2] if b else "", True
+        return (b[0], b[1], b[2], False) if b else (0, 0, "", True)
+
+
+PATTERN_ERRORS_SCHEMA = ("pattern string, metre_idx int, metre string, strong int, weak int, "
+                         "template string, failed boolean")
+
+
+def _walk_partition(batches):
+    import pandas as pd
+    walkers = [(i, name, _Walker(tpl, border)) for i, (name, tpl, border, _, _) in enumerate(METRES)]
+    for pdf in batches:
+        pats = pdf["pattern"].tolist()
+        rows = []
+        for i, name, w in walkers:
+            for p in pats:
+                st, wk, t, f = w.match(p)
+                rows.append((p, i, name, st, wk, t, f))
+        yield pd.DataFrame(rows, columns=["pattern", "metre_idx", "metre", "strong", "weak",
+                                          "template", "failed"])
+
+
 # ---------------------------------------------------------------------------
 # tables
 # ---------------------------------------------------------------------------
@@ -167,19 +282,55 @@ def line_patterns(lines: DataFrame, prof: Profile | str = LATIN, text_col: str =
             .withColumn("n_syl", F.length("pattern").cast("int")))
 
 
-def pattern_metre_errors(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
-    """Distinct patterns -> one row per (pattern, metre) with the error record."""
+def compute_parallelism(spark) -> int:
+    """Partitions for byte-light, CPU-heavy stages (AQE would otherwise merge
+    them into one task because their shuffle output is tiny)."""
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def distinct_patterns(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+    """De-duplicated patterns spread evenly over all cores (explicit
+    round-robin repartition: AQE keeps an explicit partition count)."""
+    d = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
+    return d.repartition(compute_parallelism(patterns.sparkSession))
+
+
+def pattern_metre_errors(patterns: DataFrame, pattern_col: str = "pattern",
+                         engine: str = "walk") -> DataFrame:
+    """Distinct patterns -> one row per (pattern, metre) with the error record.
+
+    ``engine="walk"`` (default): distinct patterns are range-partitioned and
+    sorted so that each task walks neighbouring patterns and shares prefixes.
+    ``engine="expr"``: the same walk as one JVM higher-order expression per
+    metre (no Python workers; more CPU per pattern)."""
+    if engine == "expr":
+        d = distinct_patterns(patterns, pattern_col)
+        return (d.select("pattern", F.posexplode(F.expr(all_metres_expr("pattern"))).alias("metre_idx", "r"))
+                .select("pattern", "metre_idx", F.col("r.metre").alias("metre"),
+                        F.col("r.strong").alias("strong"), F.col("r.weak").alias("weak"),
+                        F.col("r.t").alias("template"), F.col("r.failed").alias("failed")))
     d = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
-    return (d.select("pattern", F.posexplode(F.expr(all_metres_expr("pattern"))).alias("metre_idx", "r"))
-            .select("pattern", "metre_idx", F.col("r.metre").alias("metre"),
-                    F.col("r.strong").alias("strong"), F.col("r.weak").alias("weak"),
-                    F.col("r.t").alias("template"), F.col("r.failed").alias("failed")))
+    d = d.repartitionByRange(compute_parallelism(patterns.sparkSession), "pattern") \
+         .sortWithinPartitions("pattern")
+    return d.mapInPandas(_walk_partition, PATTERN_ERRORS_SCHEMA)
 
 
 def pattern_metre_table(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
-    """Distinct patterns -> one row per pattern with ``errs`` ARRAY of 9 records."""
-    d = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
-    return d.select("pattern", F.expr(all_metres_expr("pattern")).alias("errs"))
+    """Distinct patterns -> (pattern, s_norm, w_norm): per metre (template
+    order) the line's strong/weak errors divided by their sum over the nine
+    metres when that sum is not zero (the classifier's first normalisation,
+    which depends on the pattern only)."""
+    e = pattern_metre_errors(patterns, pattern_col)
+    g = e.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("metre_idx", "strong", "weak"))).alias("errs"))
+    ssum = F.aggregate("errs", F.lit(0), lambda a, r: a + r["strong"])
+    wsum = F.aggregate("errs", F.lit(0), lambda a, r: a + r["weak"])
+    return g.select(
+        "pattern",
+        F.transform("errs", lambda r: F.when(ssum != 0, r["strong"] / ssum)
+                    .otherwise(r["strong"].cast("double"))).alias("s_norm"),
+        F.transform("errs", lambda r: F.when(wsum != 0, r["weak"] / wsum)
+                    .otherwise(r["weak"].cast("double"))).alias("w_norm"))
 
 
 def line_metre_errors(lines: DataFrame, prof: Profile | str = LATIN,
@@ -200,19 +351,10 @@ def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id
     to template order.  All lines count in ``num_lines``.
     """
     lp = line_patterns(lines, prof).select(key, line_key, "pattern")
-    table = pattern_metre_table(lp)
-    j = lp.join(table, "pattern")
-    ssum = F.aggregate(F.col("errs"), F.lit(0), lambda a, r: a + r["strong"])
-    wsum = F.aggregate(F.col("errs"), F.lit(0), lambda a, r: a + r["weak"])
-    j = j.select(key, F.transform(
-        "errs",
-        lambda r: F.struct(
-            F.when(ssum != 0, r["strong"] / ssum).otherwise(r["strong"].cast("double")).alias("s"),
-            F.when(wsum != 0, r["weak"] / wsum).otherwise(r["weak"].cast("double")).alias("w"))
-    ).alias("norm"))
+    j = lp.join(pattern_metre_table(lp), "pattern")
     aggs = [F.count(F.lit(1)).alias("num_lines")]
     for i in range(len(METRES)):
-        aggs += [F.sum(F.col("norm")[i]["s"]).alias(f"s{i}"), F.sum(F.col("norm")[i]["w"]).alias(f"w{i}")]
+        aggs += [F.sum(F.col("s_norm")[i]).alias(f"s{i}"), F.sum(F.col("w_norm")[i]).alias(f"w{i}")]
     g = j.groupBy(key).agg(*aggs)
     vals = []
     for i, (name, _, _, coef, sum_coef) in enumerate(METRES):

@@ -70,6 +70,9 @@ def test_brute_force_small(spark):
     df = spark.createDataFrame([(p,) for p in pats], "pattern string")
     got = {(r.pattern, r.metre): (r.strong, r.weak, r.template, r.failed)
            for r in M.pattern_metre_errors(df).collect()}
+    got_expr = {(r.pattern, r.metre): (r.strong, r.weak, r.template, r.failed)
+                for r in M.pattern_metre_errors(df, engine="expr").collect()}
+    assert got == got_expr
     bad = []
     for name, template, border, _, _ in METRES:
         for p in pats:
