@@ -90,3 +90,52 @@ pat_err AS (
 
 def metre_coef_values() -> str:
     return ", ".join(f"('{n}', {i}, {c}, {sc})" for i, (n, _, _, c, sc) in enumerate(METRES))
+
+
+def clean_text_sql(t: str) -> str:
+    return f"""regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s.,;:!?"''«»()\\[\\]\\-–—…]', '', 'g')"""
+
+
+def word_set_sql(t: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), lambda x: x <> ''))"
+
+
+def jaccard_sql(a: str, b: str) -> str:
+    """word-Jaccard of two texts (NULL when both have no words)."""
+    sa, sb = word_set_sql(a), word_set_sql(b)
+    u = f"len(list_distinct(list_concat({sa}, {sb})))"
+    return f"CASE WHEN {u} > 0 THEN len(list_intersect({sa}, {sb})) / {u} END"
+
+
+def shingles_sql(t: str, n: int = 3) -> str:
+    return (f"CASE WHEN length({t}) >= {n} THEN list_distinct(list_transform(range(1, length({t}) - {n - 2}), "
+            f"lambda i: substr({t}, i, {n}))) ELSE []::VARCHAR[] END")
+
+
+def shingle_jaccard_sql(a: str, b: str, n: int = 3) -> str:
+    sa, sb = shingles_sql(f"lower({a})", n), shingles_sql(f"lower({b})", n)
+    return f"len(list_intersect({sa}, {sb})) / (len(list_distinct(list_concat({sa}, {sb}))) + 1e-6)"
+
+
+PAIRS_CTE = """pairs AS (
+  SELECT conv_id, turn, text AS input, t1 AS output, CASE WHEN r2 = 'user' THEN t2 END AS new_input
+  FROM (SELECT conv_id, turn, role, text,
+               lead(role, 1) OVER w AS r1, lead(text, 1) OVER w AS t1,
+               lead(role, 2) OVER w AS r2, lead(text, 2) OVER w AS t2
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND r1 = 'assistant')"""
+
+
+def sentence_split_sql(t: str) -> str:
+    """Sentence boundaries marked with chr(1) (three passes: a boundary
+    consumes the next capital, so adjacent short sentences need re-passes)."""
+    x = t
+    for _ in range(3):
+        x = (f"regexp_replace({x}, '([^\\p{{Lu}}].[^\\p{{Lu}}][.?!;]) +(\\p{{Lu}})', "
+             f"'\\1' || chr(1) || '\\2', 'g')")
+    return f"string_split({x}, chr(1))"
+
+
+def seeded_hash_sql(*keys: str, seed: int = 42) -> str:
+    parts = " || ".join(f"CAST({k} AS VARCHAR) || ':'" for k in keys)
+    return f"md5({parts} || '{seed}')"
