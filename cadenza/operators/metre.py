@@ -366,16 +366,18 @@ def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id
 
 
 def meter_score(texts: DataFrame, text_col: str = "text", metre_col: str = "meter",
-                key: str = "req_id", prof: Profile | str = LATIN, max_lines: int = 8) -> DataFrame:
-    """Mean over a text's (first ``max_lines``) lines of (strong+weak)/syllables
-    against the requested metre; lines without syllables add 0; NULL if no lines."""
-    lines = texts.select(key, metre_col, F.posexplode(
+                keys=("req_id",), prof: Profile | str = LATIN, max_lines: int = 8) -> DataFrame:
+    """Mean over a text's (first ``max_lines``) letter-bearing lines of
+    (strong+weak)/syllables against the requested metre; lines without
+    syllables add 0; NULL for a text without lines."""
+    keys = list(keys)
+    lines = texts.select(*keys, metre_col, F.posexplode(
         F.slice(T.filter_lines(text_col), 1, max_lines)).alias("line_no", "line"))
     lp = lines.withColumn("pattern", T.line_pattern_default("line", prof))
-    errs = pattern_metre_errors(lp)
-    j = lp.join(errs, (lp["pattern"] == errs["pattern"]) & (lp[metre_col] == errs["metre"]), "left")
+    errs = pattern_metre_errors(lp).select("pattern", F.col("metre").alias("_m"), "strong", "weak")
+    j = lp.join(errs, (lp["pattern"] == errs["pattern"]) & (lp[metre_col] == errs["_m"]), "left")
     per_line = F.when(F.length(lp["pattern"]) > 0,
                       (F.coalesce(errs["strong"], F.lit(0)) + F.coalesce(errs["weak"], F.lit(0)))
                       / F.length(lp["pattern"])).otherwise(F.lit(0.0))
-    agg = j.groupBy(key).agg(F.avg(per_line).alias("meter_score"))
-    return texts.select(key).join(agg, key, "left")
+    agg = j.groupBy(*keys).agg(F.avg(per_line).alias("meter_score"))
+    return texts.select(*keys).join(agg, keys, "left")

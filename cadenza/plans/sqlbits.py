@@ -139,3 +139,36 @@ def sentence_split_sql(t: str) -> str:
 def seeded_hash_sql(*keys: str, seed: int = 42) -> str:
     parts = " || ".join(f"CAST({k} AS VARCHAR) || ':'" for k in keys)
     return f"md5({parts} || '{seed}')"
+
+
+FOLD_FROM = "àâäáéèêëîïíôöóûùüú"
+FOLD_TO = "aaaaeeeeiiiooouuuu"
+SYL_RX = f"[^{V}]*[{V}](?:[^{V}]+$)?"
+
+
+def syllables_sql(w: str) -> str:
+    return (f"CASE WHEN len(regexp_extract_all({w}, '{SYL_RX}')) = 0 THEN [{w}] "
+            f"ELSE regexp_extract_all({w}, '{SYL_RX}') END")
+
+
+def last_word_sql(line: str) -> str:
+    return f"CASE WHEN len({words_sql(line)}) > 0 THEN {words_sql(line)}[-1] END"
+
+
+def clausula_ctes(src: str, keys: str, word: str = "lw") -> str:
+    """CTE chain src -> cl1 -> cl2 -> cl (adds ``clausula``); ``keys`` are the
+    columns carried along, ``word`` the last-word column of ``src``."""
+    return f"""cl1 AS (SELECT {keys}, {word} AS lw, {vowels_sql(word)} AS k,
+                 ({vowels_sql(word)} + 1) // 2 AS s, {syllables_sql(word)} AS syls FROM {src}),
+cl2 AS (SELECT *, length(array_to_string(syls[1:s - 1], '')) + length(regexp_extract(syls[s], '^[^{V}]*')) + 1 AS pos
+        FROM cl1),
+cl AS (SELECT {keys}, lw, CASE WHEN k > 0 THEN translate(substr(lw, CASE WHEN s = k AND pos > 1 THEN pos - 1 ELSE pos END),
+                 '{FOLD_FROM}', '{FOLD_TO}') END AS clausula FROM cl2)"""
+
+
+REQ_PAIRS_CTE = PAIRS_CTE + """,
+req AS (SELECT conv_id, turn, input, output,
+               ['AABB', 'ABAB', 'ABBA'][conv_id % 3 + 1] AS rhyme_scheme,
+               CASE WHEN conv_id % 2 = 0 THEN 'choreios' ELSE 'iambos' END AS meter,
+               'turn' || CAST(turn + 1 AS VARCHAR) AS model
+        FROM pairs)"""
