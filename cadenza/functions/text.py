@@ -117,9 +117,9 @@ def word_set(text) -> Column:
 
 
 def shingles(text, n: int = 3, lower: bool = True) -> Column:
-    """Distinct character n-grams (spaces/newlines included); [] below n chars."""
+    """Distinct character n-grams (spaces/newlines included); [] below n chars.
+
+    One overlapping-lookahead regex scan (linear in the text; per-position
+    ``substring`` would rescan UTF-8 from the start each time)."""
     t = F.lower(_c(text)) if lower else _c(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)),
-                        lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % n), 1))

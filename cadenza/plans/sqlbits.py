@@ -172,3 +172,10 @@ req AS (SELECT conv_id, turn, input, output,
                CASE WHEN conv_id % 2 = 0 THEN 'choreios' ELSE 'iambos' END AS meter,
                'turn' || CAST(turn + 1 AS VARCHAR) AS model
         FROM pairs)"""
+
+
+def shingles_chars_sql(c: str, n: int = 3) -> str:
+    """Distinct n-grams from a character-array column ``c`` (string_split(t, ''))."""
+    cat = " || ".join(f"{c}[i + {k}]" for k in range(n))
+    return (f"CASE WHEN len({c}) >= {n} THEN list_distinct(list_transform(range(1, len({c}) - {n - 2}), "
+            f"lambda i: {cat})) ELSE []::VARCHAR[] END")
