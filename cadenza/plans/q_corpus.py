@@ -1 +1,99 @@
-"""Corpus table queries: poems, lines, words, syllables."""
+"""Corpus table queries: poems, words, syllables, stress rendering, encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadenza.functions import text as T
+from cadenza.operators import corpus, stress
+from cadenza.plans.registry import register
+from cadenza.plans.sqlbits import LINES_CTE, V, syllables_sql, verse_lines_sql, vowels_sql, words_sql
+from cadenza.sources.fixtures import documents
+
+_WORDS_CTE = f"""{LINES_CTE},
+words AS (SELECT doc_id, line_no, unnest(range(len(ws))) AS word_pos, unnest(ws) AS word
+          FROM (SELECT doc_id, line_no, {words_sql('text')} AS ws FROM lines))"""
+
+
+@register("scan_poems", f"""
+SELECT doc_id, CAST(len(arr) AS INTEGER) AS n_lines, array_to_string(arr, chr(10)) AS poem
+FROM (SELECT doc_id, {verse_lines_sql('text')} AS arr FROM documents) WHERE len(arr) > 0""")
+def q_scan_poems(spark, sf):
+    p = corpus.poems(documents(spark, sf))
+    return p.select("doc_id", "n_lines", F.array_join("lines", "\n").alias("poem"))
+
+
+@register("verse_lines", f"""
+WITH {LINES_CTE} SELECT doc_id, line_no, text FROM lines""")
+def q_verse_lines(spark, sf):
+    return corpus.lines(documents(spark, sf))
+
+
+@register("vowel_count", f"""
+WITH {_WORDS_CTE}
+SELECT doc_id, line_no, word_pos, word, CAST({vowels_sql('word')} AS INTEGER) AS n_vowels FROM words""")
+def q_vowel_count(spark, sf):
+    w = corpus.words(corpus.lines(documents(spark, sf)))
+    return w.select("doc_id", "line_no", "word_pos", "word", F.col("n_vowels").cast("int"))
+
+
+@register("syllables", f"""
+WITH {_WORDS_CTE},
+sy AS (SELECT doc_id, line_no, word_pos, ({vowels_sql('word')} + 1) // 2 AS stress,
+              unnest(range(len(ss))) AS syl_pos, unnest(ss) AS syllable
+       FROM (SELECT *, {syllables_sql('word')} AS ss FROM words))
+SELECT doc_id, line_no, word_pos, syl_pos, syllable, coalesce(syl_pos + 1 = stress AND stress > 0, false) AS stressed
+FROM sy""")
+def q_syllables(spark, sf):
+    w = corpus.words(corpus.lines(documents(spark, sf)))
+    return corpus.syllables(w)
+
+
+_P = (f"(length(w) - length(array_to_string(regexp_extract_all(w, '[{V}][^{V}]*')"
+      f"[({vowels_sql('w')} + 1) // 2:], '')) + 1)")
+_RENDER_SQL = f"""{LINES_CTE},
+rw AS (SELECT doc_id, line_no, list_transform({words_sql('text')}, lambda w:
+         CASE WHEN {vowels_sql('w')} = 0 THEN w ELSE
+           substr(w, 1, {_P}) || chr(769) || substr(w, {_P} + 1) END) AS rws
+       FROM lines)"""
+
+
+@register("stress_render", f"""
+WITH {_RENDER_SQL}
+SELECT doc_id, line_no, array_to_string(rws, ' ') AS stressed FROM rw""")
+def q_stress_render(spark, sf):
+    lines = corpus.lines(documents(spark, sf))
+    return lines.select("doc_id", "line_no", stress.render_line("text").alias("stressed"))
+
+
+@register("stress_markup", f"""
+WITH {_RENDER_SQL}
+SELECT doc_id, line_no, array_to_string(list_transform(rws, lambda w:
+    CASE WHEN strpos(w, chr(769)) = 0 THEN w ELSE
+      '<S' || CAST({vowels_sql("split_part(w, chr(769), 1)")} AS VARCHAR) || '><count'
+      || CAST({vowels_sql("replace(w, chr(769), '')")} AS VARCHAR) || '> ' || replace(w, chr(769), '') END), ' ') AS markup
+FROM rw""")
+def q_stress_markup(spark, sf):
+    lines = corpus.lines(documents(spark, sf))
+    r = lines.select("doc_id", "line_no", stress.render_line("text").alias("stressed"))
+    return r.select("doc_id", "line_no", stress.stress_markup("stressed").alias("markup"))
+
+
+@register("syllable_encode", f"""
+WITH {LINES_CTE}
+SELECT doc_id, line_no, array_to_string(list_reverse(list_transform({words_sql('text')},
+    lambda w: array_to_string(list_reverse({syllables_sql('w')}), ' '))), ' | ') AS encoded
+FROM lines""")
+def q_syllable_encode(spark, sf):
+    lines = corpus.lines(documents(spark, sf))
+    return lines.select("doc_id", "line_no", stress.syllable_encode("text").alias("encoded"))
+
+
+@register("syllable_decode", f"""
+WITH {LINES_CTE}
+SELECT doc_id, line_no, array_to_string({words_sql('text')}, ' ') AS decoded FROM lines""")
+def q_syllable_decode(spark, sf):
+    """Decode of the encoded lines: equals the line's words joined by spaces."""
+    lines = corpus.lines(documents(spark, sf))
+    enc = lines.select("doc_id", "line_no", stress.syllable_encode("text").alias("encoded"))
+    return enc.select("doc_id", "line_no", stress.syllable_decode("encoded").alias("decoded"))
