@@ -10,9 +10,10 @@ from cadenza.plans.sqlbits import shingles_chars_sql
 from cadenza.sources.fixtures import balanced, documents, table
 
 
-_NEAR_SQL = f"""bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
+_NEAR_SQL = f"""docs_src AS (SELECT doc_id, text FROM documents),
+bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
 dch AS MATERIALIZED (SELECT doc_id, {shingles_chars_sql("string_split(text, '')")} AS s,
-                           {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM documents),
+                           {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM docs_src),
 bch AS MATERIALIZED (SELECT item_id, {shingles_chars_sql("string_split(text, '')")} AS s,
                            {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM bidx),
 dsh AS (SELECT doc_id, unnest(s) AS sh FROM dch),
@@ -43,9 +44,7 @@ def q_top_shared(spark, sf):
     return S.top_shared(documents(spark, sf), idx, 100)
 
 
-@register("novelty_score", f"""
-WITH {_NEAR_SQL},
-dl AS (SELECT doc_id, len(sl) AS n_doc, unnest(sl) AS sh FROM dch),
+NOVELTY_TAIL = """dl AS (SELECT doc_id, len(sl) AS n_doc, unnest(sl) AS sh FROM dch),
 bl AS (SELECT item_id, len(sl) AS n_item, unnest(sl) AS sh FROM bch),
 lc AS (SELECT dl.doc_id, bl.item_id, dl.n_doc, bl.n_item, count(*) AS shared
        FROM dl JOIN bl USING (sh) GROUP BY dl.doc_id, bl.item_id, dl.n_doc, bl.n_item),
@@ -54,7 +53,12 @@ jac AS (SELECT t.doc_id, coalesce(lc.shared / (lc.n_doc + lc.n_item - lc.shared
 best AS (SELECT doc_id, max(j) AS novelty FROM jac GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(best.novelty, 0.0), 6) AS novelty,
        round(coalesce(best.novelty, 0.0), 6) < 0.9 AS passes
-FROM documents d LEFT JOIN best USING (doc_id)""")
+FROM docs_src d LEFT JOIN best USING (doc_id)"""
+
+
+@register("novelty_score", f"""
+WITH {_NEAR_SQL},
+{NOVELTY_TAIL}""")
 def q_novelty_score(spark, sf):
     return S.novelty_score(documents(spark, sf), _index(spark, sf), 100)
 
