@@ -10,10 +10,9 @@ from cadenza.plans.sqlbits import shingles_chars_sql
 from cadenza.sources.fixtures import balanced, documents, table
 
 
-_NEAR_SQL = f"""docs_src AS (SELECT doc_id, text FROM documents),
-bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
+_NEAR_SQL = f"""bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
 dch AS MATERIALIZED (SELECT doc_id, {shingles_chars_sql("string_split(text, '')")} AS s,
-                           {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM docs_src),
+                           {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM DOCS_SRC),
 bch AS MATERIALIZED (SELECT item_id, {shingles_chars_sql("string_split(text, '')")} AS s,
                            {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM bidx),
 dsh AS (SELECT doc_id, unnest(s) AS sh FROM dch),
@@ -28,6 +27,10 @@ def _index(spark, sf):
     return table(spark, sf, "benchmark", "item_id", "text")
 
 
+_NEAR_SQL_SRC = _NEAR_SQL
+_NEAR_SQL = _NEAR_SQL.replace("DOCS_SRC", "documents")
+
+
 @register("shingle_candidates", f"""
 WITH {_NEAR_SQL}
 SELECT doc_id, item_id, shared FROM top""")
@@ -53,12 +56,12 @@ jac AS (SELECT t.doc_id, coalesce(lc.shared / (lc.n_doc + lc.n_item - lc.shared
 best AS (SELECT doc_id, max(j) AS novelty FROM jac GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(best.novelty, 0.0), 6) AS novelty,
        round(coalesce(best.novelty, 0.0), 6) < 0.9 AS passes
-FROM docs_src d LEFT JOIN best USING (doc_id)"""
+FROM DOCS_SRC d LEFT JOIN best USING (doc_id)"""
 
 
 @register("novelty_score", f"""
 WITH {_NEAR_SQL},
-{NOVELTY_TAIL}""")
+{NOVELTY_TAIL.replace("DOCS_SRC", "documents")}""")
 def q_novelty_score(spark, sf):
     return S.novelty_score(documents(spark, sf), _index(spark, sf), 100)
 

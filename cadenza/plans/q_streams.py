@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans.q_similarity import _NEAR_SQL, NOVELTY_TAIL
+from cadenza.plans.q_similarity import _NEAR_SQL_SRC, NOVELTY_TAIL
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import clausula_ctes, last_word_sql
 from cadenza.sources.fixtures import table
@@ -44,12 +44,11 @@ def q_stream_batch_metrics(spark, sf):
     return streams.stream_batch_metrics(spark, f"{sf}/conversations.parquet")
 
 
-_STREAM_NOV = _NEAR_SQL.replace(
-    "docs_src AS (SELECT doc_id, text FROM documents)",
-    "docs_src AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')")
+_SRC = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')"
+_STREAM_NOV = _NEAR_SQL_SRC.replace("DOCS_SRC", _SRC)
 
 
-_TAIL = NOVELTY_TAIL.replace("\nSELECT d.doc_id,", ",\nsc AS (SELECT d.doc_id,") + ")"
+_TAIL = NOVELTY_TAIL.replace("DOCS_SRC", _SRC).replace("\nSELECT d.doc_id,", ",\nsc AS (SELECT d.doc_id,") + ")"
 
 
 @register("stream_novelty_gate", f"""

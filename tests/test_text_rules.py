@@ -26,8 +26,8 @@ def test_similarity_rows(spark):
 
 
 def test_jaccard_symmetric_bounded(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").limit(30)
-    pairs = docs.alias("x").join(docs.alias("y")).select(F.col("x.text").alias("a"), F.col("y.text").alias("b"))
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    pairs = curate.request_output_pairs(conv).select(F.col("input").alias("a"), F.col("output").alias("b"))
     r = pairs.select(curate.word_jaccard("a", "b").alias("ab"), curate.word_jaccard("b", "a").alias("ba"),
                      curate.shingle_jaccard("a", "b").alias("s1"), curate.shingle_jaccard("b", "a").alias("s2")).collect()
     for x in r:
