@@ -82,12 +82,15 @@ def three_line_ok(text) -> Column:
     def line_bad(l):
         t = toks(l)
         n = F.size(t)
-        x_and_x = F.exists(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-                           lambda i: (n >= 3) & (F.element_at(t, i) == F.element_at(t, i + 2))
-                           & (F.element_at(t, i + 1) == F.lit("и"))
-                           & ~F.array_contains(ok_words, F.element_at(t, i)))
-        adjacent = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                            lambda i: (n >= 2) & (F.element_at(t, i) == F.element_at(t, i + 1)))
+
+        def at(i):  # 1-based, NULL when out of range
+            return F.get(t, i - 1)
+
+        x_and_x = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                           lambda i: F.coalesce((at(i) == at(i + 2)) & (at(i + 1) == F.lit("и"))
+                                                & ~F.array_contains(ok_words, at(i)), F.lit(False)))
+        adjacent = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                            lambda i: F.coalesce(at(i) == at(i + 1), F.lit(False)))
         return x_and_x | adjacent
 
     l0, l1, l2 = F.element_at(lines, 1), F.element_at(lines, 2), F.element_at(lines, 3)

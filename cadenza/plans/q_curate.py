@@ -135,7 +135,20 @@ def q_strip_trailing_punct(spark, sf):
     return lines.select("doc_id", "line_no", T.strip_trailing_punct("text").alias("text"))
 
 
-@register("three_line_ok", None)
+_TOKS = "string_split_regex(l, '[.?,!:;…\\-\\s]')"
+_OKW = "[" + ", ".join(f"'{w}'" for w in curate.REPEAT_OK) + "]"
+_LINE_BAD = (f"coalesce(list_bool_or(list_transform(range(1, len({_TOKS}) + 1), lambda i: "
+             f"(i + 2 <= len({_TOKS}) AND {_TOKS}[i] = {_TOKS}[i + 2] AND {_TOKS}[i + 1] = 'и' "
+             f"AND NOT list_contains({_OKW}, {_TOKS}[i])) OR (i + 1 <= len({_TOKS}) AND {_TOKS}[i] = {_TOKS}[i + 1]))), false)")
+
+
+@register("three_line_ok", f"""
+WITH {PAIRS_CTE},
+x AS (SELECT conv_id, turn, list_transform(string_split(output, chr(10)),
+        lambda l: translate(regexp_replace(trim(l), '[.?,!:;…\\-\\s]+$', ''), 'ё', 'е')) AS ls FROM pairs)
+SELECT conv_id, turn, CASE WHEN len(ls) <> 3 THEN false ELSE NOT (ls[1] = ls[2] OR ls[2] = ls[3] OR ls[1] = ls[3]
+  OR list_bool_or(list_transform(ls, lambda l: {_LINE_BAD}))) END AS ok
+FROM x""")
 def q_three_line_ok(spark, sf):
     p = _pairs(spark, sf)
     return p.select("conv_id", "turn", curate.three_line_ok("output").alias("ok"))
