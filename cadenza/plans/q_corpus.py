@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import text as T
 from cadenza.operators import corpus, stress
 from cadenza.plans.registry import register
-from cadenza.plans.sqlbits import LINES_CTE, V, syllables_sql, verse_lines_sql, vowels_sql, words_sql
+from cadenza.plans.sqlbits import LINES_CTE, V, pattern_sql, syllables_sql, verse_lines_sql, vowels_sql, words_sql
 from cadenza.sources.fixtures import documents
 
 _WORDS_CTE = f"""{LINES_CTE},
@@ -97,3 +97,75 @@ def q_syllable_decode(spark, sf):
     lines = corpus.lines(documents(spark, sf))
     enc = lines.select("doc_id", "line_no", stress.syllable_encode("text").alias("encoded"))
     return enc.select("doc_id", "line_no", stress.syllable_decode("encoded").alias("decoded"))
+
+
+# ---------------------------------------------------------------------------
+# stress signatures (0/1 per syllable; one-syllable words count as stressed)
+# ---------------------------------------------------------------------------
+def _signature(spark, sf):
+    from cadenza.operators import metre
+    lp = metre.line_patterns(corpus.lines(documents(spark, sf)))
+    return lp.select("doc_id", "line_no", F.translate("pattern", "SUA", "101").alias("sig"))
+
+
+_SIG_CTE = f"""{LINES_CTE},
+sg AS (SELECT doc_id, line_no, translate({pattern_sql('text')}, 'SUA', '101') AS sig FROM lines)"""
+
+
+@register("unstressed_runs", f"""
+WITH {_SIG_CTE}
+SELECT doc_id, line_no, CAST(len(regexp_extract_all(sig, '0{{4,}}')) AS INTEGER) AS n_runs,
+       round(pow(0.1, len(regexp_extract_all(sig, '0{{4,}}'))), 6) AS factor
+FROM sg""")
+def q_unstressed_runs(spark, sf):
+    """Runs of four or more unstressed syllables; each multiplies by 0.1."""
+    s = _signature(spark, sf)
+    n = F.size(F.regexp_extract_all("sig", F.lit("0{4,}"), 0))
+    return s.select("doc_id", "line_no", n.cast("int").alias("n_runs"),
+                    F.round(F.pow(F.lit(0.1), n), 6).alias("factor"))
+
+
+@register("stress_gaps", f"""
+WITH {_SIG_CTE}
+SELECT doc_id, line_no, array_to_string(list_sort(list_distinct(list_transform(
+    string_split(sig, '1')[1:len(string_split(sig, '1')) - 1], lambda x: length(x)))), ',') AS gaps
+FROM sg""")
+def q_stress_gaps(spark, sf):
+    """Distinct lengths of the unstressed runs before each stress."""
+    s = _signature(spark, sf)
+    parts = F.split("sig", "1")
+    before = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    gaps = F.array_sort(F.array_distinct(F.transform(before, lambda x: F.length(x))))
+    return s.select("doc_id", "line_no",
+                    F.array_join(F.transform(gaps, lambda g: g.cast("string")), ",").alias("gaps"))
+
+
+@register("edge_consonants", f"""
+WITH {_WORDS_CTE}
+SELECT doc_id, line_no, word_pos, word,
+       CAST(length(regexp_extract(word, '^[^{V}]*')) AS INTEGER) AS lead_cons,
+       CAST(length(regexp_extract(word, '[^{V}]*$')) AS INTEGER) AS trail_cons
+FROM words""")
+def q_edge_consonants(spark, sf):
+    w = corpus.words(corpus.lines(documents(spark, sf)))
+    from cadenza.profiles import LATIN
+    nv = LATIN.non_vowel_class
+    return w.select("doc_id", "line_no", "word_pos", "word",
+                    F.length(F.regexp_extract("word", "^" + nv + "*", 0)).cast("int").alias("lead_cons"),
+                    F.length(F.regexp_extract("word", nv + "*$", 0)).cast("int").alias("trail_cons"))
+
+
+# Separators of the template tokenizer.
+TEMPLATE_SEPARATORS = r"[\s.,;:!?\"'«»()\-–—…]+"
+
+
+@register("template_tokens", f"""
+WITH {LINES_CTE}
+SELECT doc_id, line_no, array_to_string(list_filter(string_split_regex(translate(lower(text), 'ё', 'е'),
+    '[\\s.,;:!?"''«»()\\-–—…]+'), lambda x: x <> ''), ' ') AS tokens
+FROM lines""")
+def q_template_tokens(spark, sf):
+    """Lower-case, ё→е tokens split on the separator class, empties dropped."""
+    lines = corpus.lines(documents(spark, sf))
+    toks = F.filter(F.split(F.translate(F.lower("text"), "ё", "е"), TEMPLATE_SEPARATORS), lambda x: x != "")
+    return lines.select("doc_id", "line_no", F.array_join(toks, " ").alias("tokens"))
