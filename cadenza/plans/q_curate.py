@@ -262,3 +262,74 @@ SELECT doc_id, line_no, CASE WHEN rn <= floor(total * 0.9) THEN 'train' ELSE 'te
 def q_split_90_10(spark, sf):
     lines = corpus.lines(documents(spark, sf)).select("doc_id", "line_no")
     return sampling.split_fraction(lines, ["doc_id", "line_no"], 0.9)
+
+
+# ---------------------------------------------------------------------------
+# training rows and batching of the prose requests
+# ---------------------------------------------------------------------------
+# Short metre names used in training prompts.
+SHORT_METRES = [("iambos", "ямб"), ("choreios", "хорей"), ("dolnik3", "дольник"),
+                ("amphibrachys", "амфибрахий"), ("anapaistos", "анапест"),
+                ("daktylos", "дактиль"), ("dolnik2", "дольник")]
+# Training prompt formats (with and without source text).
+PROMPT_HEAD = "Преобразуй прозу в четверостишие с параметрами:\n Рифмовка: "
+PROMPT_GEN_HEAD = "Напиши четверостишие с параметрами:\n Рифмовка: "
+PROMPT_METRE = "\n Размер: "
+PROMPT_TEXT = "\n Исходный текст: "
+
+_REQ_SQL = f"""{_CHUNKS_SQL},
+pick AS (SELECT doc_id, para_no, sent_no, chunk,
+                row_number() OVER (ORDER BY {_CHUNK_HASH}, doc_id, para_no, sent_no) - 1 AS req_id
+         FROM chunks QUALIFY req_id < 1000),
+req AS (SELECT req_id, chunk AS text,
+          CASE WHEN req_id < 333 THEN 'AABB' WHEN req_id < 666 THEN 'ABAB' ELSE 'ABBA' END AS rhyme_scheme,
+          CASE WHEN req_id % 2 = 0 THEN 'choreios' ELSE 'iambos' END AS meter FROM pick)"""
+
+
+def _requests(spark, sf):
+    from cadenza.operators.requests import prose_requests
+    return prose_requests(_chunks(spark, sf))
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_SHORT_CASE = "CASE meter " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHORT_METRES) + " END"
+
+
+@register("training_rows", f"""
+WITH {_REQ_SQL}
+SELECT req_id,
+  {_sql_str(PROMPT_HEAD)} || rhyme_scheme || {_sql_str(PROMPT_METRE)} || {_SHORT_CASE} || {_sql_str(PROMPT_TEXT)} || text AS prompt,
+  {_sql_str(PROMPT_GEN_HEAD)} || rhyme_scheme || {_sql_str(PROMPT_METRE)} || {_SHORT_CASE} || chr(10) AS generate_prompt
+FROM req""")
+def q_training_rows(spark, sf):
+    """Training prompts per request (metre name through a small lookup table,
+    broadcast: seven rows)."""
+    r = _requests(spark, sf)
+    names = spark.createDataFrame(SHORT_METRES, "meter string, short string")
+    j = r.join(F.broadcast(names), "meter", "left")
+    prompt = F.concat(F.lit(PROMPT_HEAD), F.col("rhyme_scheme"), F.lit(PROMPT_METRE), F.col("short"),
+                      F.lit(PROMPT_TEXT), F.col("text"))
+    gen = F.concat(F.lit(PROMPT_GEN_HEAD), F.col("rhyme_scheme"), F.lit(PROMPT_METRE), F.col("short"), F.lit("\n"))
+    return j.select("req_id", prompt.alias("prompt"), gen.alias("generate_prompt"))
+
+
+@register("row_batches", f"""
+WITH {_REQ_SQL}
+SELECT req_id, CAST(req_id // 15 AS BIGINT) AS batch_id FROM req""")
+def q_row_batches(spark, sf):
+    """Numbered groups of 15 requests (the unit of resumable batch writes)."""
+    return _requests(spark, sf).select("req_id", F.floor(F.col("req_id") / 15).cast("long").alias("batch_id"))
+
+
+@register("length_grouping", f"""
+WITH {_REQ_SQL}
+SELECT req_id, CAST((row_number() OVER (ORDER BY length(text), req_id) - 1) // 15 AS BIGINT) AS batch_id FROM req""")
+def q_length_grouping(spark, sf):
+    """Batches of 15 requests of similar length (sorted by length; global row
+    numbers from a range-partitioned sort)."""
+    r = _requests(spark, sf).withColumn("len", F.length("text"))
+    n = sampling.global_row_number(r, [F.col("len"), F.col("req_id")])
+    return n.select("req_id", F.floor((F.col("rn") - 1) / 15).cast("long").alias("batch_id"))
