@@ -333,3 +333,38 @@ def q_length_grouping(spark, sf):
     r = _requests(spark, sf).withColumn("len", F.length("text"))
     n = sampling.global_row_number(r, [F.col("len"), F.col("req_id")])
     return n.select("req_id", F.floor((F.col("rn") - 1) / 15).cast("long").alias("batch_id"))
+
+
+# Fixed values (ours): verse formats and their line counts.
+FORMATS = [("one_liner", 1), ("couplet", 2), ("quatrain", 4)]
+# Control text that must not appear in a generated candidate.
+CONTROL_TEXT = ["<pad>", "<s>", "</s>", "<unk>", "<mask>", "<nl>", "|"]
+
+
+@register("line_count_ok", f"""
+WITH {PAIRS_CTE},
+f(format, n_lines) AS (VALUES {', '.join(f"('{a}', {b})" for a, b in FORMATS)}),
+c AS (SELECT conv_id, turn, len(list_filter(list_transform(string_split(output, chr(10)), lambda x: trim(x)),
+                                            lambda x: x <> '')) AS n FROM pairs)
+SELECT c.conv_id, c.turn, f.format FROM c JOIN f ON f.n_lines = c.n""")
+def q_line_count_ok(spark, sf):
+    """Candidates whose non-empty line count equals a format's (broadcast
+    join to the three-row format table)."""
+    from cadenza.operators.scores import nonblank_lines
+    p = _pairs(spark, sf).select("conv_id", "turn", F.size(nonblank_lines(F.col("output"))).alias("n"))
+    f = spark.createDataFrame(FORMATS, "format string, n_lines int")
+    return p.join(F.broadcast(f), p["n"] == f["n_lines"]).select("conv_id", "turn", "format")
+
+
+@register("bad_substring", f"""
+WITH {PAIRS_CTE}
+SELECT conv_id, turn FROM pairs
+WHERE NOT ({' OR '.join(f"contains(output, '{c}')" for c in CONTROL_TEXT)})""")
+def q_bad_substring(spark, sf):
+    """Candidates kept after dropping those that contain control text."""
+    p = _pairs(spark, sf)
+    bad = None
+    for c in CONTROL_TEXT:
+        cond = F.col("output").contains(c)
+        bad = cond if bad is None else bad | cond
+    return p.where(~bad).select("conv_id", "turn")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import corpus, metre
 from cadenza.plans.registry import register
-from cadenza.plans.sqlbits import LINES_CTE, metre_coef_values, metre_ctes, pattern_sql
+from cadenza.functions import text as T
+from cadenza.plans.sqlbits import LINES_CTE, metre_coef_values, metre_ctes, pattern_sql, vowels_sql, words_sql
 from cadenza.sources.fixtures import documents
 
 
@@ -61,3 +62,43 @@ FROM val QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v, midx) = 1"""
 def q_poem_metre(spark, sf):
     lines = corpus.lines(documents(spark, sf))
     return metre.poem_metre(lines)
+
+
+@register("too_complex_line", f"""
+WITH {LINES_CTE}
+SELECT doc_id, line_no, CAST(n_multi AS INTEGER) AS n_multi, n_multi >= 8 AS too_complex
+FROM (SELECT doc_id, line_no, len(list_filter(list_transform({words_sql('text')}, lambda w: {vowels_sql('w')}),
+                                      lambda k: k > 1)) AS n_multi FROM lines)""")
+def q_too_complex_line(spark, sf):
+    """Lines with 8 or more multi-vowel words are rejected."""
+    lines = corpus.lines(documents(spark, sf))
+    nv = F.transform(T.words("text"), lambda w: T.vowel_count(w))
+    x = lines.select("doc_id", "line_no", F.size(F.filter(nv, lambda k: k > 1)).cast("int").alias("n_multi"))
+    return x.withColumn("too_complex", F.col("n_multi") >= 8)
+
+
+@register("exclude_metres", f"""
+{_POEM_METRE_SQL.replace("SELECT doc_id, metre, v AS score, CAST(num_lines AS BIGINT) AS num_lines" + chr(10) + "FROM val QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v, midx) = 1",
+  "SELECT doc_id, metre, score FROM (SELECT doc_id, metre, v AS score FROM val QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v, midx) = 1) WHERE metre NOT IN ('dolnik2', 'dolnik3') ORDER BY doc_id LIMIT 20")}""")
+def q_exclude_metres(spark, sf):
+    """Evaluation subset: poems whose metre is not a dolnik, first 20 by id
+    (the limit is the feature)."""
+    pm = metre.poem_metre(corpus.lines(documents(spark, sf)))
+    return pm.where(~F.col("metre").isin("dolnik2", "dolnik3")).orderBy("doc_id").limit(20).select(
+        "doc_id", "metre", "score")
+
+
+@register("top_poems", f"""
+{_POEM_METRE_SQL.replace("SELECT doc_id, metre, v AS score, CAST(num_lines AS BIGINT) AS num_lines" + chr(10) + "FROM val QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v, midx) = 1",
+  "SELECT b.source, b.doc_id, b.score, CAST(b.rk AS INTEGER) AS rank FROM (SELECT d.source, p.doc_id, p.score, row_number() OVER (PARTITION BY d.source ORDER BY p.score, p.doc_id) AS rk FROM (SELECT doc_id, v AS score FROM val QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v, midx) = 1) p JOIN documents d USING (doc_id)) b WHERE b.rk <= 10")}""")
+def q_top_poems(spark, sf):
+    """Per source, the 10 poems that fit their best metre most closely
+    (lowest classifier value, ties by id): a per-group top-k."""
+    from pyspark.sql import Window
+    from cadenza.sources.fixtures import table
+    pm = metre.poem_metre(corpus.lines(documents(spark, sf)))
+    src = table(spark, sf, "documents", "doc_id", "source")
+    j = pm.join(src, "doc_id")
+    w = Window.partitionBy("source").orderBy("score", "doc_id")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10).select(
+        "source", "doc_id", "score", F.col("rank").cast("int"))
