@@ -203,3 +203,61 @@ def q_vocab_build(spark, sf):
     special units."""
     return L.vocab_build(_units(documents(spark, sf)),
                          _units(table(spark, sf, "conversations", "text")))
+
+
+_VOCAB_UNITS_SQL = f"""pu AS (SELECT DISTINCT unnest({syllables_sql('w')}) AS unit
+            FROM (SELECT unnest({words_sql('text')}) AS w FROM documents)),
+pr AS (SELECT DISTINCT unnest({syllables_sql('w')}) AS unit
+       FROM (SELECT unnest({words_sql('text')}) AS w FROM conversations)),
+extra AS (SELECT unit FROM pr WHERE unit NOT IN (SELECT unit FROM pu)),
+ch AS (SELECT DISTINCT '##' || unnest(string_split(unit, '')) AS unit FROM extra),
+units AS (SELECT unit FROM pu UNION SELECT unit FROM ch),
+specials(unit, id) AS (VALUES {', '.join(f"('{u}', {i})" for i, u in enumerate(L.SPECIAL_UNITS))}),
+vocab AS (SELECT unit, CAST(id AS BIGINT) AS id FROM specials
+          UNION ALL
+          SELECT unit, CAST(row_number() OVER (ORDER BY unit) + 5 AS BIGINT) FROM units
+          WHERE unit NOT IN (SELECT unit FROM specials))"""
+
+
+@register("subword_units", f"""
+WITH {_VOCAB_UNITS_SQL},
+pu_all AS (SELECT DISTINCT unit FROM pu)
+SELECT pr.unit, CASE WHEN p.unit IS NOT NULL THEN pr.unit ELSE
+  array_to_string(list_transform(list_reverse(string_split(pr.unit, '')), lambda c: '##' || c), ' ') END AS encoded
+FROM pr LEFT JOIN pu_all p ON p.unit = pr.unit""")
+def q_subword_units(spark, sf):
+    """Prose units (syllables of conversation turns): the whole unit when the
+    poem vocabulary has it, else its characters reversed as ``##c``."""
+    poem = _units(documents(spark, sf)).distinct()
+    prose = _units(table(spark, sf, "conversations", "text")).distinct()
+    j = prose.join(poem.withColumn("_in", F.lit(True)), "unit", "left")
+    enc = F.array_join(F.transform(F.reverse(F.filter(F.split("unit", ""), lambda c: c != "")),
+                                   lambda c: F.concat(F.lit("##"), c)), " ")
+    return j.select("unit", F.when(F.col("_in"), F.col("unit")).otherwise(enc).alias("encoded"))
+
+
+BLOCK = 32
+
+
+@register("token_blocks", f"""
+WITH {_VOCAB_UNITS_SQL},
+du AS (SELECT doc_id, flatten(list_transform({words_sql('text')}, lambda w: {syllables_sql('w')})) AS us FROM documents),
+pos AS (SELECT doc_id, unnest(range(len(us))) AS p, unnest(us) AS unit FROM du),
+ids AS (SELECT pos.doc_id, pos.p, v.id FROM pos JOIN vocab v USING (unit))
+SELECT doc_id, CAST(p // {BLOCK} AS BIGINT) AS block_no,
+       array_to_string(list_concat(list(id ORDER BY p), list_transform(range({BLOCK} - count(*)), lambda x: 0)), ',') AS ids
+FROM ids GROUP BY doc_id, p // {BLOCK}""")
+def q_token_blocks(spark, sf):
+    """Each document's unit ids (vocabulary join) cut into blocks of 32,
+    right-padded with 0."""
+    docs = documents(spark, sf)
+    vocab = L.vocab_build(_units(docs), _units(table(spark, sf, "conversations", "text")))
+    units = docs.select("doc_id", F.flatten(F.transform(T.words("text"), lambda w: T.syllables(w))).alias("us"))
+    pos = units.select("doc_id", F.posexplode("us").alias("p", "unit"))
+    ids = pos.join(vocab, "unit")
+    g = ids.groupBy("doc_id", F.floor(F.col("p") / BLOCK).cast("long").alias("block_no")).agg(
+        F.sort_array(F.collect_list(F.struct("p", "id"))).alias("s"))
+    arr = F.transform("s", lambda x: x["id"])
+    pad = F.array_repeat(F.lit(0).cast("long"), (F.lit(BLOCK) - F.size(arr)).cast("int"))
+    return g.select("doc_id", "block_no",
+                    F.array_join(F.transform(F.concat(arr, pad), lambda x: x.cast("string")), ",").alias("ids"))
