@@ -89,9 +89,13 @@ def nearest_words(queries: DataFrame, vocab: DataFrame, n: int = 5, max_dist: in
 def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame:
     """(word, member, hops): nodes within ``radius`` undirected hops of each
     seed (the seed itself at 0).  One join + distinct per hop on the frontier
-    only; visited pairs are kept with their smallest hop count."""
+    only; visited pairs are kept with their smallest hop count.  The edge list
+    is used by every hop, so it is written once to the checkpoint directory
+    (reliable ``checkpoint``: lineage cut, survives executor loss)."""
+    from cadenza.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(seeds.sparkSession)
     und = edges.select(F.col("word").alias("a"), F.col("other").alias("b")).unionByName(
-        edges.select(F.col("other").alias("a"), F.col("word").alias("b"))).distinct()
+        edges.select(F.col("other").alias("a"), F.col("word").alias("b"))).distinct().checkpoint()
     reached = seeds.select("word", F.col("word").alias("member"), F.lit(0).alias("hops"))
     frontier = reached
     for h in range(1, radius + 1):
