@@ -89,9 +89,10 @@ def nearest_words(queries: DataFrame, vocab: DataFrame, n: int = 5, max_dist: in
 def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame:
     """(word, member, hops): nodes within ``radius`` undirected hops of each
     seed (the seed itself at 0).  One join + distinct per hop on the frontier
-    only; visited pairs are kept with their smallest hop count.  The edge list
-    is used by every hop, so it is written once to the checkpoint directory
-    (reliable ``checkpoint``: lineage cut, survives executor loss)."""
+    only; visited pairs are kept with their smallest hop count.  The edge list,
+    the frontier and the visited set are written to the checkpoint directory
+    (reliable ``checkpoint``) each hop, so every hop's plan stays one join
+    deep instead of re-embedding all earlier hops, and survives executor loss."""
     from cadenza.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(seeds.sparkSession)
     und = edges.select(F.col("word").alias("a"), F.col("other").alias("b")).unionByName(
@@ -102,8 +103,8 @@ def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame
         step = (frontier.join(und, frontier["member"] == und["a"])
                 .select("word", F.col("b").alias("member")).distinct())
         new = step.join(reached.select("word", "member"), ["word", "member"], "left_anti") \
-                  .withColumn("hops", F.lit(h))
-        reached = reached.unionByName(new)
+                  .withColumn("hops", F.lit(h)).checkpoint()
+        reached = reached.unionByName(new).checkpoint()
         frontier = new
     return reached
 
