@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "cadenza", **conf) -> SparkS
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,3 +52,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cadenza`` importable in Python workers (functions used by
+    ``mapInPandas`` / ``applyInPandas`` are pickled by module reference):
+    zip the package once per application and add it with ``addPyFile``,
+    which distributes it to every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="cadenza-pkg-")
+    path = shutil.make_archive(os.path.join(out, "cadenza"), "zip", root_dir=root, base_dir="cadenza")
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
