@@ -173,7 +173,9 @@ def q_cognate_groups(spark, sf):
     """Nodes within 3 undirected hops over one-edit links between corpus words
     of at least 5 letters, for every benchmark word (the seed itself at 0)."""
     v5 = _vocab(spark, sf).where(F.length("word") >= 5)
-    edges = L.edit_neighbours(v5, v5).where(F.col("word") != F.col("other"))
+    # one direction per pair (ego_groups makes edges undirected); the filter
+    # is pushed into the variant join
+    edges = L.edit_neighbours(v5, v5).where(F.col("word") < F.col("other"))
     seeds = _query_words(spark, sf).where(F.length("word") >= 5)
     g = L.ego_groups(seeds, edges, 3)
     return g.groupBy("word", "member").agg(F.min("hops").alias("hops"))
