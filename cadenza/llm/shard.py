@@ -71,41 +71,39 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float, max_rounds: in
     total, lo, hi = first[0]["bytes"], int(first[0]["lo"], 16), int(first[0]["hi"], 16)
     targets = [j * total / parts for j in range(1, parts)]
     tol = tolerance * total / parts
-    # below[p]: exact bytes of the rows with key < p
-    below = {lo: 0, hi + 1: total}
-    cells = {lo: (lo, hi)}          # left edge -> smallest and largest key present
+    below = {lo: 0, hi + 1: total}      # edge -> exact bytes of the rows with a smaller key
+    cells = {lo: (lo, hi)}              # left edge -> smallest and largest key present
+    done: dict[int, int] = {}           # target -> its splitter
     best: dict[int, int] = {}
     for _ in range(max_rounds):
         edges = sorted(below)
-        new: set[int] = set()
-        open_edges: set[int] = set()
+        sums = [below[e] for e in edges]
+        probes: set[int] = set()
         for j, t in enumerate(targets):
-            i = bisect_right([below[e] for e in edges], t) - 1     # last edge with below <= t
-            near = min((abs(below[e] - t), e) for e in edges[max(0, i):i + 2])
-            best[j] = near[1]
-            if near[0] <= tol or i + 1 >= len(edges):
+            if j in done:
                 continue
-            a, b = cells[edges[i]]
-            if a == b:              # a single row: no boundary inside it
+            i = bisect_right(sums, t) - 1                          # last edge with below <= t
+            off, best[j] = min((abs(below[e] - t), e) for e in edges[i:i + 2])
+            a, b = cells.get(edges[i], (0, 0))
+            if off <= tol or a == b:    # near enough, or a single row: no boundary inside it
+                done[j] = best[j]
                 continue
             span = b - a
-            new.update(a + max(1, span * q // (PROBES + 1)) for q in range(1, PROBES + 1))
-            new.add(b)
-            open_edges.update(edges[i:i + 2])
-        new -= set(below)
-        if not new:
+            probes.update(edges[i:i + 2])
+            probes.update(a + max(1, span * q // (PROBES + 1)) for q in range(1, PROBES + 1))
+            probes.add(b)
+        if len(done) == len(targets):
             break
-        probes = sorted(new | {e for e in open_edges | set(best.values()) if lo < e <= hi})
-        got = {r["cell"]: r for r in _histogram(rows, [_hex(p) for p in probes])}
-        below, cells, acc = {lo: 0, hi + 1: total}, {}, 0
-        for c, edge in enumerate([lo, *probes]):
+        asked = sorted(p for p in probes if lo < p <= hi)
+        got = {r["cell"]: r for r in _histogram(rows, [_hex(p) for p in asked])}
+        below, cells, acc = {}, {}, 0
+        for c, edge in enumerate([lo, *asked]):
             below[edge] = acc
             if c in got:
                 cells[edge] = (int(got[c]["lo"], 16), int(got[c]["hi"], 16))
                 acc += got[c]["bytes"]
-            else:
-                cells[edge] = (edge, edge)
-    return [_hex(best[j]) for j in range(len(targets))]
+        below[hi + 1] = total
+    return [_hex(done.get(j, best[j])) for j in range(len(targets))]
 
 
 def histogram_shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 5e-4,
