@@ -42,3 +42,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = d.withColumn("text_sha256", F.sha2(normalised().cast("binary"), 256))
     return exact_groups(d).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary (a parameter of the packing operator)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_min_slack_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.pack import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op7_ordinal_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.toxic import grades, score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, grades(table(spark, sf_dir, "labels")))
+    return score(docs, model).drop("text")
