@@ -62,3 +62,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, grades(table(spark, sf_dir, "labels")))
     return score(docs, model).drop("text")
+
+
+@query("op9_dart_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.near import near_classes
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
