@@ -68,3 +68,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.near import near_classes
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_template_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.decon import flag_contaminated
+    return flag_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
