@@ -11,7 +11,7 @@
    the fill closest to the capacity is traced back to counts of lengths, and that
    multiset is used for as many windows as the counts allow.  So the plan has a
    few thousand window patterns at any input size.
-3. Pieces are numbered per length in parallel (length x 256 hash buckets, with
+3. Pieces are numbered per length in parallel (length x 64 hash buckets, with
    offsets), and the number decides window and offset by a lookup in the plan.
 
 Cases: null text counts as empty (one piece: the end id); a very long text is
@@ -24,6 +24,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +38,27 @@ from cadenza.session import ship_package
 
 CAPACITY = 2048
 END_ID = 1
-RANK_BUCKETS = 256
+RANK_BUCKETS = 64
 CACHE_CHUNKS = 500_000
 #: fixed values: Unicode white space, at whose runs a text may be cut for the tokenizer
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
 class ChunkEncoder:
-    """Ids of texts, chunk by chunk, with a bounded table of the chunks seen."""
+    """Ids of texts, chunk by chunk, with a bounded table of the chunks seen.
+
+    New chunks that open with white space are encoded many at a time, as one text:
+    the tokenizer never merges across the start of white space.  With a byte-level
+    vocabulary every id stands for a known number of bytes, which tells where a
+    chunk's ids end; with another one, chunks are encoded one by one."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(vocabulary)
+        added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.bytes = np.zeros(1 + max(self.tok.get_vocab().values()), np.int64)
+        for t, i in self.tok.get_vocab().items():
+            self.bytes[i] = len(added[i].encode()) if i in added else len(t)
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.reset()
 
@@ -55,18 +66,37 @@ class ChunkEncoder:
         self.known: dict[str, int] = {}
         self.off, self.len, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum()))
-        self.off = np.concatenate([self.off, self.used + np.cumsum(n) - n])
-        self.len = np.concatenate([self.len, n])
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.used], np.zeros(len(flat) + self.used // 2 + 1024, np.uint32)])
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        k = len(self.known)
-        self.known.update(zip(chunks, range(k, k + len(chunks))))
+        return np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum())), n
+
+    def _together(self, chunks: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        got = self.tok.encode_batch_fast(["".join(chunks[i:i + run]) for i in range(0, len(chunks), run)],
+                                         add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        size = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        ends = np.cumsum(self.bytes[ids])
+        at = np.searchsorted(ends, np.cumsum(size))
+        if len(ends) == 0 or at[-1] >= len(ends) or (ends[at] != np.cumsum(size)).any():
+            return self._one_by_one(chunks)
+        return ids, np.diff(np.concatenate([[0], at + 1]))
+
+    def _learn(self, chunks: list[str]) -> None:
+        run = [c for c in chunks if c[0] in SPACE and c[-1] not in SPACE]
+        rest = [c for c in chunks if c[0] not in SPACE or c[-1] in SPACE]
+        for part, how in ((run, self._together), (rest, self._one_by_one)):
+            if not part:
+                continue
+            flat, n = how(part)
+            self.off = np.concatenate([self.off, self.used + np.cumsum(n) - n])
+            self.len = np.concatenate([self.len, n])
+            if self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[:self.used], np.zeros(len(flat) + self.used // 2 + 1024, np.uint32)])
+            self.pool[self.used:self.used + len(flat)] = flat
+            self.used += len(flat)
+            k = len(self.known)
+            self.known.update(zip(part, range(k, k + len(part))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
@@ -74,10 +104,11 @@ class ChunkEncoder:
             self.reset()
         cut = [self.cut(t) for t in texts]
         flat = [c for cs in cut for c in cs]
-        new = set(flat).difference(self.known)
-        if new:
-            self._learn(list(new))
-        idx = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        idx = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        miss = np.flatnonzero(idx < 0).tolist()
+        if miss:
+            self._learn(list({flat[i] for i in miss}))
+            idx[miss] = [self.known[flat[i]] for i in miss]
         n = self.len[idx]
         total = int(n.sum())
         at = np.arange(total) + np.repeat(self.off[idx] - (np.cumsum(n) - n), n)
@@ -88,9 +119,15 @@ class ChunkEncoder:
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> ChunkEncoder:
+    """One encoder per Python worker, also across its tasks."""
+    return ChunkEncoder(vocabulary)
+
+
 def _piece_rows(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(vocabulary)
+        enc = encoder(vocabulary)
         for batch in batches:
             for part in pieces(batch):
                 docs = part.column("doc_id").to_pylist()
