@@ -74,3 +74,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.decon import flag_contaminated
     return flag_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_boosted_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.pii import KINDS, find_pii, of_kind, span_string
+    r = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return r.select("doc_id", *n, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                    span_string(F.col("spans")).alias("spans"))
