@@ -83,3 +83,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return r.select("doc_id", *n, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                     span_string(F.col("spans")).alias("spans"))
+
+
+def _op6_sql() -> str:
+    from cadenza.llm.license import oracle
+    return oracle()
+
+
+@query("op6_dice_licenses", _op6_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.license import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
