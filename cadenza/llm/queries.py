@@ -94,3 +94,16 @@ def _op6_sql() -> str:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.license import scan_licenses
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_tool_call_linking")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.chat import link_calls
+    return link_calls(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_kneser_ney_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.quality import quality, trusted_ids
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
