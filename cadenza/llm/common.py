@@ -69,6 +69,18 @@ def sortable(c: Column) -> Column:
     return F.lpad(F.hex(flipped), 16, "0")
 
 
+def shield(docs: DataFrame, *own: str) -> DataFrame:
+    """Only the columns an operator works on; all others wait in the struct ``_row``,
+    where no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*rest or [F.lit(None).cast("int").alias("_")]).alias("_row"))
+
+
+def unshield(df: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``docs``, in their order."""
+    return df.select(*[F.col(c) if c in own else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 #: Key filters hold at most this many integers whatever the input (about 32 MB
 #: as a broadcast relation): the proven bound under which they are broadcast.
 FILTER_BUCKETS = 1 << 20

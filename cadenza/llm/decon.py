@@ -2,7 +2,8 @@
 
 Texts become templates: lower-case words, with typed placeholders for numbers,
 for units after a number and for names (capitalised words that do not open a
-sentence).  A benchmark item is the set of its windows of eight template words.
+sentence).  Names are also left as words in a second form, so that a copy with other
+capitals is found as well.  A benchmark item is the set of its windows of eight template words.
 A document's windows first meet a filter of 2**25 bits (a fixed size, whatever
 the benchmark) inside the scan; the few survivors are hash-joined with the
 benchmark's windows.  Windows that keep the same distance between document and
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep
+from cadenza.llm.common import bucket_of, in_buckets, keep, shield, unshield
 from cadenza.llm.words import pieces, windows
 from cadenza.session import ship_package
 
@@ -47,9 +48,9 @@ _NUM, _UNIT, _NAME = (_U(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<unit
 _END, _POINT = "\x01", "\x02"
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """``(hash of each template word, is it a placeholder, index of its own word,
-    words, offsets)`` of the texts."""
+def templates(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, pa.Array, np.ndarray]:
+    """``(forms, index of each template word's own word, words, offsets)`` of the texts; a
+    form is (hash of each template word, is it a placeholder): names replaced, or left."""
     t = pc.replace_substring_regex(pc.fill_null(texts, ""), "[\x01\x02]", " ")
     for _ in range(2):  # decimal points, also in neighbouring digits
         t = pc.replace_substring_regex(t, r"([0-9])[.,]([0-9])", "\\1" + _POINT + "\\2")
@@ -71,11 +72,12 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.A
     before = np.concatenate([[0], k[:-1]]).astype(np.int8)
     opens = first | (before == 0)
     number, unit, name = k == 2, (k == 3) & (before == 2) & ~first, (k == 4) & ~opens
-    out = h[idx] if len(idx) else np.zeros(0, np.uint64)
-    out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, out)))
+    left = h[idx] if len(idx) else np.zeros(0, np.uint64)
+    left = np.where(number, _NUM, np.where(unit, _UNIT, left))
     real = k != 0
+    forms = [(np.where(name, _NAME, left)[real], (number | unit | name)[real]), (left[real], (number | unit)[real])]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[real], minlength=len(n)))]).astype(np.int64)
-    return out[real], (number | unit | name)[real], idx[real], vocab, offsets
+    return forms, idx[real], vocab, offsets
 
 
 def _slots(rows: np.ndarray, start: np.ndarray, width: np.ndarray, slot: np.ndarray, word: np.ndarray, vocab) -> pa.Array:
@@ -92,41 +94,51 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h >> _U(64 - FILTER_BITS), (h >> _U(8)) & _U((1 << FILTER_BITS) - 1)
 
 
+def _form_windows(forms, off: np.ndarray, width: int):
+    """Windows of both forms (of the second: those that the first does not have)."""
+    first = None
+    for h, slot in forms:
+        wh, text, pos = windows(h, off, width)
+        ok = np.ones(len(wh), bool) if first is None else wh != first
+        first = wh
+        yield slot, wh[ok], text[ok], pos[ok]
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            h, slot, word, vocab, off = templates(part.column("text"))
+            forms, word, vocab, off = templates(part.column("text"))
             n = np.diff(off)
-            wh, item, pos = windows(h, off, WIDTH)
-            ok = n[item] >= SHORTEST
-            wh, item, pos = wh[ok], item[ok], pos[ok]
-            width = np.minimum(n[item], WIDTH)
-            b1, b2 = _bits(wh)
-            yield pa.RecordBatch.from_arrays([
-                part.column("item_id").take(pa.array(item)), pa.array(wh.astype(np.int64)), pa.array(pos),
-                pa.array(width), pa.array(b1.astype(np.int64)), pa.array(b2.astype(np.int64)),
-                _slots(item, off[item] + pos, width, slot, word, vocab)],
-                ["item_id", "h", "idx", "width", "b1", "b2", "item_slots"])
+            for slot, wh, item, pos in _form_windows(forms, off, WIDTH):
+                ok = n[item] >= SHORTEST
+                wh, item, pos = wh[ok], item[ok], pos[ok]
+                width = np.minimum(n[item], WIDTH)
+                b1, b2 = _bits(wh)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("item_id").take(pa.array(item)), pa.array(wh.astype(np.int64)), pa.array(pos),
+                    pa.array(width), pa.array(b1.astype(np.int64)), pa.array(b2.astype(np.int64)),
+                    _slots(item, off[item] + pos, width, slot, word, vocab)],
+                    ["item_id", "h", "idx", "width", "b1", "b2", "item_slots"])
 
 
 def _doc_windows(bits: np.ndarray, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                h, slot, word, vocab, off = templates(part.column("text"))
+                forms, word, vocab, off = templates(part.column("text"))
                 n = np.diff(off)
                 for w in widths:
-                    wh, doc, pos = windows(h, off, w)
-                    ok = n[doc] >= w
-                    for b in _bits(wh):
-                        at = np.flatnonzero(ok)
-                        b = b[at]
-                        ok[at] = (bits[(b >> _U(6)).astype(np.int64)] >> (b & _U(63))) & _U(1) == 1
-                    wh, doc, pos = wh[ok], doc[ok], pos[ok]
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("k").take(pa.array(doc)), pa.array(wh.astype(np.int64)), pa.array(pos),
-                        _slots(doc, off[doc] + pos, np.full(len(doc), w), slot, word, vocab)],
-                        ["k", "h", "pos", "doc_slots"])
+                    for slot, wh, doc, pos in _form_windows(forms, off, w):
+                        ok = n[doc] >= w
+                        for b in _bits(wh):
+                            at = np.flatnonzero(ok)
+                            b = b[at]
+                            ok[at] = (bits[(b >> _U(6)).astype(np.int64)] >> (b & _U(63))) & _U(1) == 1
+                        wh, doc, pos = wh[ok], doc[ok], pos[ok]
+                        yield pa.RecordBatch.from_arrays([
+                            part.column("k").take(pa.array(doc)), pa.array(wh.astype(np.int64)), pa.array(pos),
+                            _slots(doc, off[doc] + pos, np.full(len(doc), w), slot, word, vocab)],
+                            ["k", "h", "pos", "doc_slots"])
     return run
 
 
@@ -141,8 +153,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship_package(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
         _item_windows, "item_id long, h long, idx long, width long, b1 long, b2 long, item_slots array<string>")
-    items = keep(items.dropDuplicates(["item_id", "h"]), "decon-items")
-    n = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    # a window that recurs in an item counts once, at its first place
+    first = items.groupBy("item_id", "h").agg(F.min("idx").alias("idx"))
+    items = keep(items.join(first, ["item_id", "h", "idx"]), "decon-items")
+    n = items.groupBy("item_id").agg(F.countDistinct("idx").alias("n"))
     both = items.select(F.explode(F.array("b1", "b2")).alias("b")).distinct()
     cells = (both.groupBy(F.shiftright("b", 6).alias("cell"))
              .agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("v")).collect())  # at most 2**19 rows
@@ -188,7 +202,9 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVE
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """``docs`` without contaminated rows; only rows that share a bucket with one are shuffled."""
     hits = contaminated(docs, benchmark, cover).select(F.col("k").alias("_k"))
-    marked = in_buckets(docs.withColumn("_k", _key()), bucket_of(F.col("_k")), hits.select(bucket_of(F.col("_k")).alias("b")), "_maybe")
+    own = ("doc_id", "text")
+    marked = in_buckets(shield(docs, *own).withColumn("_k", _key()), bucket_of(F.col("_k")),
+                        hits.select(bucket_of(F.col("_k")).alias("b")), "_maybe")
     sure = marked.where(~F.col("_maybe"))
     rest = marked.where("_maybe").join(hits, "_k", "left_anti")
-    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return unshield(sure, docs, *own).unionByName(unshield(rest, docs, *own))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep, text_of
+from cadenza.llm.common import bucket_of, in_buckets, keep, shield, text_of, unshield
 
 PREFIX = 64
 
@@ -64,21 +64,24 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One row per input row: its columns except ``text``, ``keep_id``,
     ``group_size`` and ``kept``."""
     docs = docs.drop("keep_id", "group_size", "kept")
-    rows = keep(_marked(docs, prefix).drop("text"), "exact-rows")
+    rows = keep(_marked(shield(docs, "doc_id", "text"), prefix).drop("text"), "exact-rows")
     g = _groups(rows)
-    j = rows.join(g, ["_len", "_ph", "_hash"], "left").drop("_len", "_ph", "_hash")
+    j = rows.join(g, ["_len", "_ph", "_hash"], "left")
     grouped = F.col("group_size").isNotNull()
-    return (j.withColumn("keep_id", F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id")))
-            .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    keep_id = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
+    size = F.coalesce("group_size", F.lit(1)).cast("long")
+    rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return j.select("doc_id", *rest, keep_id.alias("keep_id"), size.alias("group_size"),
+                    F.col("doc_id").eqNullSafe(keep_id).alias("kept"))
 
 
 def drop_exact(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """The rows that stay, with the columns of ``docs``.  Only texts whose length
     and prefix recur are shuffled."""
-    rows = _marked(docs, prefix)
+    own = ("doc_id", "text")
+    rows = _marked(shield(docs, *own), prefix)
     g = _groups(rows.select("doc_id", "_len", "_ph", "_hash"))
     alone = rows.where(F.col("_hash").isNull())
     again = (rows.where(F.col("_hash").isNotNull()).join(g, ["_len", "_ph", "_hash"], "left")
              .where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))))
-    return alone.select(*docs.columns).unionByName(again.select(*docs.columns))
+    return unshield(alone, docs, *own).unionByName(unshield(again, docs, *own))

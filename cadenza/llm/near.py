@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep
+from cadenza.llm.common import bucket_of, in_buckets, keep, shield, unshield
 from cadenza.llm.graph import components
 from cadenza.llm.words import hashes, mix, pieces, windows, words
 from cadenza.session import ship_package
@@ -359,7 +359,9 @@ def drop_near(docs: DataFrame, weights: str = "set") -> DataFrame:
     gone = near_classes(docs, weights).where("class_id is not null and doc_id <> class_id").select("doc_id").distinct()
     gone = keep(gone, "near-gone")
     # only rows whose bucket holds a dropped id are shuffled
-    marked = in_buckets(docs, bucket_of(F.col("doc_id").cast("long")), gone.select(bucket_of(F.col("doc_id")).alias("b")), "_maybe")
-    sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti")
-    return sure.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    own = ("doc_id",)
+    marked = in_buckets(shield(docs, *own), bucket_of(F.col("doc_id").cast("long")),
+                        gone.select(bucket_of(F.col("doc_id")).alias("b")), "_maybe")
+    sure = marked.where(~F.col("_maybe"))
+    rest = marked.where("_maybe").join(gone, "doc_id", "left_anti")
+    return unshield(sure, docs, *own).unionByName(unshield(rest, docs, *own))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import keep, text_of
+from cadenza.llm.common import keep, shield, text_of, unshield
 from cadenza.llm.words import pieces, words
 from cadenza.session import ship_package
 
@@ -195,3 +195,9 @@ def grades(labels: DataFrame) -> DataFrame:
     """Ordered grades of the 0/1 labels: 0 good, 1 poor but not toxic, 2 toxic."""
     toxic, good = F.col("toxic"), F.coalesce(F.col("quality"), F.lit(1))
     return labels.select("doc_id", F.when(toxic == 1, 2).when(toxic == 0, 1 - good).alias("grade"))
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
+    """The rows that are not rejected, with the columns of ``docs``."""
+    own = ("doc_id", "text")
+    return unshield(score(shield(docs, *own), model, cut).where("not rejected"), docs, *own)
