@@ -15,13 +15,13 @@ from cadenza.llm.exact import drop_exact
 from cadenza.llm.near import drop_near
 from cadenza.llm.pack import pack_documents
 from cadenza.llm.queries import table, tokenizer_file
-from cadenza.llm.toxic import grades, score, train
+from cadenza.llm.toxic import drop_toxic, grades, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the ordinal model rejects (trained on labelled documents)."""
     model = train(table(spark, sf_dir, "documents"), grades(table(spark, sf_dir, "labels")))
-    return score(docs, model).where("not rejected").select(*docs.columns)
+    return drop_toxic(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
