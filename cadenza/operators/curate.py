@@ -44,31 +44,33 @@ def flag_bad_pairs(pairs: DataFrame, jaccard_max: float = 0.7, len_gap_max: int
     ``jaccard_max``, length gap above ``len_gap_max``, or one of the first four
     verse lines found verbatim (case-insensitive) in the prose."""
     verse_lines = T.filter_lines("output")
-    st = F.slice(verse_lines, 1, 4)
-    verse = F.array_join(st, "\n")
+    verse = F.array_join(verse_lines, "\n")
     inp = T.clean_text("input")
     return (pairs.select(
         "conv_id", "turn",
         word_jaccard(inp, verse).alias("jac"),
         F.length(verse).alias("len_verse"), F.length(inp).alias("len_input"),
-        F.exists(st, lambda l: F.lower(inp).contains(F.lower(l))).alias("copied"),
+        F.exists(verse_lines, lambda l: F.lower(inp).contains(F.lower(l))).alias("copied"),
         F.size(verse_lines).alias("n_lines"))
         .withColumn("bad", (F.coalesce(F.col("jac"), F.lit(0.0)) > jaccard_max)
                     | (F.abs(F.col("len_verse") - F.col("len_input")) > len_gap_max)
                     | F.col("copied")))
 
 
-def conditional_update(pairs: DataFrame) -> DataFrame:
-    """Replace ``input`` by ``new_input`` when that lowers the word-Jaccard
-    with the verse or narrows the length gap (merge-by-key semantics)."""
-    verse = F.array_join(F.slice(T.filter_lines("output"), 1, 4), "\n")
+def conditional_update(pairs: DataFrame, jaccard_max: float = 0.7, len_gap_max: int = 250) -> DataFrame:
+    """Replace ``input`` of a flagged pair (the rule of :func:`flag_bad_pairs`) by
+    ``new_input`` when that lowers the word-Jaccard with the verse or narrows the
+    length gap; other pairs keep theirs.  One pass: the flag is computed in the row."""
+    lines = T.filter_lines("output")
+    verse = F.array_join(lines, "\n")
     inp, new = T.clean_text("input"), T.clean_text("new_input")
+    gap = F.abs(F.length(verse) - F.length(inp))
+    bad = ((F.coalesce(word_jaccard(inp, verse), F.lit(0.0)) > jaccard_max) | (gap > len_gap_max)
+           | F.exists(lines, lambda l: F.lower(inp).contains(F.lower(l))))
     better = ((word_jaccard(inp, verse) > word_jaccard(new, verse))
-              | (F.abs(F.length(verse) - F.length(inp)) > F.abs(F.length(verse) - F.length(new))))
-    return pairs.select("conv_id", "turn",
-                        F.when(F.col("new_input").isNotNull() & F.coalesce(better, F.lit(False)), new)
-                        .otherwise(inp).alias("input"),
-                        F.coalesce(F.col("new_input").isNotNull() & better, F.lit(False)).alias("updated"))
+              | (gap > F.abs(F.length(verse) - F.length(new))))
+    update = F.coalesce(F.col("new_input").isNotNull() & bad & better, F.lit(False))
+    return pairs.select("conv_id", "turn", F.when(update, new).otherwise(inp).alias("input"), update.alias("updated"))
 
 
 def three_line_ok(text) -> Column:

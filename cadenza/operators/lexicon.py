@@ -55,23 +55,25 @@ def stress_lookup(words: DataFrame, dictionary: DataFrame, prof: Profile | str =
     return words.drop("stress").join(resolved, "word")
 
 
-def deletion_variants(word_col: str = "word") -> F.Column:
-    """The word and every string with one character deleted."""
-    w = F.col(word_col)
-    dels = F.transform(F.sequence(F.lit(1), F.length(w)),
-                       lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.lit(1 << 30))))
-    return F.array_distinct(F.concat(F.array(w), dels))
+def deletion_variants(word_col: str = "word", max_dist: int = 1) -> F.Column:
+    """The word and every string with up to ``max_dist`` characters deleted."""
+    def cuts(w: F.Column) -> F.Column:
+        dels = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+                           lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.lit(1 << 30))))
+        return F.concat(F.array(w), dels)
+    out = F.array(F.col(word_col))
+    for _ in range(max_dist):
+        out = F.array_distinct(F.flatten(F.transform(out, cuts)))
+    return out
 
 
 def edit_neighbours(left: DataFrame, right: DataFrame, max_dist: int = 1) -> DataFrame:
-    """(word, other, dist) for Levenshtein distance <= 1: two words within one
-    edit share a one-deletion variant, so an equi-join on variants finds every
-    candidate exactly (no length-bucket all-pairs); candidates are verified
-    with ``levenshtein(a, b, 1)``."""
-    if max_dist != 1:
-        raise ValueError("deletion-neighbourhood join implemented for max_dist=1")
-    lv = left.select("word", F.explode(deletion_variants("word")).alias("v"))
-    rv = right.select(F.col("word").alias("other"), F.explode(deletion_variants("word")).alias("v"))
+    """(word, other, dist) for Levenshtein distance <= ``max_dist``: two words within
+    d edits share a variant with at most d deletions each, so an equi-join on variants
+    finds every candidate exactly (no length-bucket all-pairs); candidates are verified
+    with ``levenshtein(a, b, d)``."""
+    lv = left.select("word", F.explode(deletion_variants("word", max_dist)).alias("v"))
+    rv = right.select(F.col("word").alias("other"), F.explode(deletion_variants("word", max_dist)).alias("v"))
     cand = lv.join(rv, "v").select("word", "other").distinct()
     d = F.levenshtein("word", "other", max_dist)
     return cand.select("word", "other", d.alias("dist")).where((F.col("dist") >= 0) & (F.col("dist") <= max_dist))
@@ -119,7 +121,7 @@ def vocab_build(poem_units: DataFrame, prose_units: DataFrame) -> DataFrame:
     chars = extra.select(F.explode(F.split("unit", "")).alias("c")).where(F.col("c") != "") \
                  .select(F.concat(F.lit("##"), F.col("c")).alias("unit"))
     units = pu.unionByName(chars).distinct().where(~F.col("unit").isin(*specials))
-    numbered = global_row_number(units, [F.col("unit")]).select(
+    numbered = global_row_number(units, [F.col("unit")], [F.substring("unit", 1, 2)]).select(
         "unit", (F.col("rn") + len(SPECIAL_UNITS) - 1).alias("id"))
     spark = poem_units.sparkSession
     sp = spark.createDataFrame([(u, i) for i, u in enumerate(SPECIAL_UNITS)], "unit string, id long")

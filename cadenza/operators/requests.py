@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.sampling import seeded_hash
+from cadenza.operators.sampling import seeded_hash, shuffle_rows
 
 # Scheme blocks and alternating metres of the request table.
 SCHEME_BLOCKS = [("AABB", 333), ("ABAB", 333), ("ABBA", 334)]
@@ -31,3 +31,15 @@ def prose_requests(chunks: DataFrame, n: int = 1000, keys=("doc_id", "para_no",
                          (F.col("req_id") % len(METRE_CYCLE) + 1).cast("int"))
     return r.select(F.col("req_id").cast("long").alias("req_id"), *keys,
                     F.col("chunk").alias("text"), scheme.alias("rhyme_scheme"), meter.alias("meter"))
+
+
+def all_requests(chunks: DataFrame, keys=("doc_id", "para_no", "sent_no"), seed: int = 42) -> DataFrame:
+    """Every chunk as a request, numbered in seeded hash order; scheme by thirds of a
+    thousand (the blocks of :func:`prose_requests`, again and again), metre alternating."""
+    r = shuffle_rows(chunks.select(*keys, "chunk"), list(keys), seed).withColumnRenamed("new_index", "req_id")
+    at = F.col("req_id") % sum(n for _, n in SCHEME_BLOCKS)
+    scheme = F.when(at < SCHEME_BLOCKS[0][1], SCHEME_BLOCKS[0][0]).when(
+        at < SCHEME_BLOCKS[0][1] + SCHEME_BLOCKS[1][1], SCHEME_BLOCKS[1][0]).otherwise(SCHEME_BLOCKS[2][0])
+    meter = F.element_at(F.array(*[F.lit(m) for m in METRE_CYCLE]),
+                         (F.col("req_id") % len(METRE_CYCLE) + 1).cast("int"))
+    return r.select("req_id", *keys, F.col("chunk").alias("text"), scheme.alias("rhyme_scheme"), meter.alias("meter"))

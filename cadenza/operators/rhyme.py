@@ -71,20 +71,40 @@ def line_endings(lines: DataFrame, prof: Profile | str = LATIN, keys=("doc_id",
     return x.withColumn("clausula", clausula("last_word", prof))
 
 
-def exact_rhyme_pairs(endings: DataFrame, max_gap: int = 3, key: str = "doc_id",
-                      order: str = "line_no") -> DataFrame:
-    """(key, line_a, line_b, gap) for lines up to ``max_gap`` apart whose
-    clausulas are equal."""
-    w = Window.partitionBy(key).orderBy(order)
-    leads = []
-    for d in range(1, max_gap + 1):
-        leads += [F.lead(order, d).over(w).alias(f"_b{d}"), F.lead("clausula", d).over(w).alias(f"_k{d}")]
-    x = endings.select(key, order, "clausula", *leads)
-    nxt = F.array(*[F.struct(F.lit(d).alias("gap"), F.col(f"_b{d}").alias("b"), F.col(f"_k{d}").alias("kb"))
-                    for d in range(1, max_gap + 1)])
-    x = x.select(key, order, "clausula", F.explode(nxt).alias("n"))
-    return x.where(F.col("clausula") == F.col("n.kb")).select(
-        key, F.col(order).alias("line_a"), F.col("n.b").alias("line_b"), F.col("n.gap").alias("gap"))
+def _poem_keys(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """One row per poem: its lines' clausulas, in place (no shuffle)."""
+    return docs.select(key, line_keys(T.verse_lines(text_col)).alias("keys"))
+
+
+def rhyme_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, line_no, clausula, rhyme_group): lines with equal clausulas share a group,
+    numbered by first appearance from 1; NULL without clausula.  The lines of a poem
+    lie in one row, so nothing is shuffled."""
+    p = _poem_keys(docs, key, text_col).withColumn("_kinds", F.array_distinct(F.array_compact("keys")))
+    numbered = F.transform("keys", lambda k: F.struct(
+        k.alias("clausula"), F.array_position("_kinds", k).cast("long").alias("rhyme_group")))
+    x = p.select(key, F.posexplode(numbered).alias("line_no", "g"))
+    return x.select(key, F.col("line_no").cast("long").alias("line_no"), "g.clausula", "g.rhyme_group")
+
+
+def exact_rhyme_pairs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, line_a, line_b, rhyme_group): each line with the nearest earlier line that
+    rhymes with it, however far.  Two lines rhyme exactly if they share the group."""
+    g = rhyme_groups(docs, key, text_col).where(F.col("rhyme_group").isNotNull())
+    w = Window.partitionBy(key, "rhyme_group").orderBy("line_no")
+    return (g.select(key, "rhyme_group", F.col("line_no").alias("line_b"), F.lag("line_no").over(w).alias("line_a"))
+            .where(F.col("line_a").isNotNull()))
+
+
+def near_rhyme_pairs(docs: DataFrame, window: int = 3, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, line_a, line_b, gap): rhyming lines up to ``window`` lines apart."""
+    keys = F.col("keys")
+    near = F.transform(keys, lambda k, i: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(window)), lambda d: F.get(keys, i + d) == k),
+        lambda d: F.struct(i.alias("a"), d.alias("gap"))))
+    x = _poem_keys(docs, key, text_col).select(key, F.explode(F.flatten(near)).alias("p"))
+    return x.select(key, F.col("p.a").cast("long").alias("line_a"),
+                    (F.col("p.a") + F.col("p.gap")).cast("long").alias("line_b"), F.col("p.gap").alias("gap"))
 
 
 def quatrain_scheme(k0, k1, k2, k3) -> Column:

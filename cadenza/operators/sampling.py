@@ -1,10 +1,11 @@
 """Reproducible ordering, sampling and splits.
 
 Randomness is a seeded hash (``md5(key || ':' || seed)``), identical in every
-engine, with the key as tie-break.  Global row numbers come from a distributed
-sort plus per-partition offsets (no single-partition window): the sorted data
-is range-partitioned; a tiny table of per-partition counts is turned into
-offsets and broadcast back (its size is the number of partitions).
+engine, with the key as tie-break.  Global row numbers need no single-partition
+window over the rows: a *bucket* that rises with the order (the first hash
+digits, say) is counted, the counts become offsets, and rows are numbered inside
+their bucket.  A row's bucket depends on its values alone, so evaluating the
+input twice, or again after a lost executor, gives the same numbers.
 """
 
 from __future__ import annotations
@@ -20,31 +21,38 @@ def seeded_hash(*keys: str, seed: int = 42) -> Column:
     return F.md5(F.concat(*parts, F.lit(str(seed))))
 
 
-def global_row_number(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
-    """Add a 1-based row number in ``order`` (which must be a total order)."""
-    s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    # one row per partition: a window over it is tiny
-    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offs), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
-            .drop("_pid", "_mid", "_m0", "_off"))
+def global_row_number(df: DataFrame, order: list, bucket: list, name: str = "rn",
+                      total: str | None = None) -> DataFrame:
+    """Add a 1-based row number in ``order`` (a total order), and the row count as
+    ``total`` if asked.
 
+    ``bucket``: expressions that never fall along ``order`` and cut the rows into
+    many parts.  One row per bucket is counted; the running sum goes over those
+    counts only."""
+    rows = df.withColumn("_bucket", F.struct(*[b.alias(f"b{i}") for i, b in enumerate(bucket)]))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    out = (rows.withColumn("_i", inside).join(offs, "_bucket")
+           .withColumn(name, (F.col("_before") + F.col("_i")).cast("long")))
+    if total:
+        out = out.withColumn(total, F.col("_all"))
+    return out.drop("_bucket", "_i", "_before", "_all")
 
-def with_total(df: DataFrame, name: str = "_total") -> DataFrame:
-    """Attach the row count: a one-row aggregate broadcast on a constant key."""
-    total = df.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+
+def _hash_order(df: DataFrame, keys: list[str], seed: int, total: str | None = None) -> DataFrame:
+    """Rows numbered in seeded hash order (4,096 buckets of equal size)."""
+    h = df.withColumn("_h", seeded_hash(*keys, seed=seed))
+    order = [F.col("_h")] + [F.col(k) for k in keys]
+    return global_row_number(h, order, [F.substring("_h", 1, 3)], total=total).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
-    """Random permutation: ``new_index`` 0-based, old key kept."""
-    h = df.withColumn("_h", seeded_hash(*keys, seed=seed))
-    out = global_row_number(h, [F.col("_h")] + [F.col(k) for k in keys])
-    return out.withColumn("new_index", F.col("rn") - 1).drop("_h", "rn")
+    """Random permutation: ``new_index`` 0-based, old key and payload kept."""
+    out = _hash_order(df, keys, seed)
+    return out.withColumn("new_index", F.col("rn") - 1).drop("rn")
 
 
 def train_test_split(df: DataFrame, keys: list[str], n_test: int = 1000, n_train: int = 10000,
@@ -52,9 +60,7 @@ def train_test_split(df: DataFrame, keys: list[str], n_test: int = 1000, n_train
     """After a seeded shuffle: first ``n_test`` rows test, next ``n_train``
     train, the rest pretrain in ``n_shards`` contiguous shards (remainder in
     the last one)."""
-    h = df.withColumn("_h", seeded_hash(*keys, seed=seed))
-    r = global_row_number(h, [F.col("_h")] + [F.col(k) for k in keys]).drop("_h")
-    r = with_total(r)
+    r = _hash_order(df.select(*keys), keys, seed, total="_total")
     per = F.floor((F.col("_total") - n_test - n_train) / n_shards)
     split = (F.when(F.col("rn") <= n_test, "test")
              .when(F.col("rn") <= n_test + n_train, "train").otherwise("pretrain"))
@@ -66,8 +72,6 @@ def train_test_split(df: DataFrame, keys: list[str], n_test: int = 1000, n_train
 
 def split_fraction(df: DataFrame, keys: list[str], frac: float = 0.9, seed: int = 42) -> DataFrame:
     """``floor(frac * n)`` seeded-random rows train, the rest test."""
-    h = df.withColumn("_h", seeded_hash(*keys, seed=seed))
-    r = global_row_number(h, [F.col("_h")] + [F.col(k) for k in keys]).drop("_h")
-    r = with_total(r)
+    r = _hash_order(df.select(*keys), keys, seed, total="_total")
     return r.select(*keys, F.when(F.col("rn") <= F.floor(F.col("_total") * frac), "train")
                     .otherwise("test").alias("split"))

@@ -42,14 +42,14 @@ def q_shingle_jaccard(spark, sf):
     return p.select("conv_id", "turn", F.round(curate.shingle_jaccard("input", "output"), 6).alias("jaccard"))
 
 
-_VERSE = f"array_to_string({filter_lines_sql('output')}[1:4], chr(10))"
+_VERSE = f"array_to_string({filter_lines_sql('output')}, chr(10))"
 _INP = clean_text_sql("input")
 
 
 @register("flag_bad_pairs", f"""
 WITH {PAIRS_CTE},
 x AS (SELECT conv_id, turn, {_VERSE} AS verse, {_INP} AS inp,
-             {filter_lines_sql('output')}[1:4] AS st, len({filter_lines_sql('output')}) AS n_lines
+             {filter_lines_sql('output')} AS st, len({filter_lines_sql('output')}) AS n_lines
       FROM pairs)
 SELECT conv_id, turn, round({jaccard_sql('inp', 'verse')}, 6) AS jac,
        length(verse) AS len_verse, length(inp) AS len_input,
@@ -86,12 +86,14 @@ def q_drop_missing_inputs(spark, sf):
 
 
 _NEW = clean_text_sql("new_input")
+_BAD = f"""(coalesce({jaccard_sql('inp', 'verse')}, 0) > 0.7 OR abs(length(verse) - length(inp)) > 250
+        OR coalesce(list_bool_or(list_transform(st, lambda l: contains(lower(inp), lower(l)))), false))"""
 
 
 @register("conditional_update", f"""
 WITH {PAIRS_CTE},
-x AS (SELECT conv_id, turn, new_input, {_VERSE} AS verse, {_INP} AS inp, {_NEW} AS new FROM pairs),
-y AS (SELECT conv_id, turn, inp, new, new_input IS NOT NULL AND coalesce(
+x AS (SELECT conv_id, turn, new_input, {_VERSE} AS verse, {filter_lines_sql('output')} AS st, {_INP} AS inp, {_NEW} AS new FROM pairs),
+y AS (SELECT conv_id, turn, inp, new, new_input IS NOT NULL AND {_BAD} AND coalesce(
         {jaccard_sql('inp', 'verse')} > {jaccard_sql('new', 'verse')}
         OR abs(length(verse) - length(inp)) > abs(length(verse) - length(new)), false) AS upd FROM x)
 SELECT conv_id, turn, CASE WHEN upd THEN new ELSE inp END AS input, upd AS updated FROM y""")
@@ -280,22 +282,22 @@ PROMPT_TEXT = "\n Исходный текст: "
 _REQ_SQL = f"""{_CHUNKS_SQL},
 pick AS (SELECT doc_id, para_no, sent_no, chunk,
                 row_number() OVER (ORDER BY {_CHUNK_HASH}, doc_id, para_no, sent_no) - 1 AS req_id
-         FROM chunks QUALIFY req_id < 1000),
+         FROM chunks),
 req AS (SELECT req_id, chunk AS text,
-          CASE WHEN req_id < 333 THEN 'AABB' WHEN req_id < 666 THEN 'ABAB' ELSE 'ABBA' END AS rhyme_scheme,
+          CASE WHEN req_id % 1000 < 333 THEN 'AABB' WHEN req_id % 1000 < 666 THEN 'ABAB' ELSE 'ABBA' END AS rhyme_scheme,
           CASE WHEN req_id % 2 = 0 THEN 'choreios' ELSE 'iambos' END AS meter FROM pick)"""
 
 
 def _requests(spark, sf):
-    from cadenza.operators.requests import prose_requests
-    return prose_requests(_chunks(spark, sf))
+    from cadenza.operators.requests import all_requests
+    return all_requests(_chunks(spark, sf))
 
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_SHORT_CASE = "CASE meter " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHORT_METRES) + " END"
+_SHORT_CASE = "CASE meter " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHORT_METRES) + " ELSE meter END"
 
 
 @register("training_rows", f"""
@@ -309,7 +311,8 @@ def q_training_rows(spark, sf):
     broadcast: seven rows)."""
     r = _requests(spark, sf)
     names = spark.createDataFrame(SHORT_METRES, "meter string, short string")
-    j = r.join(F.broadcast(names), "meter", "left")
+    # a metre without a short name is written as it is
+    j = r.join(F.broadcast(names), "meter", "left").withColumn("short", F.coalesce("short", "meter"))
     prompt = F.concat(F.lit(PROMPT_HEAD), F.col("rhyme_scheme"), F.lit(PROMPT_METRE), F.col("short"),
                       F.lit(PROMPT_TEXT), F.col("text"))
     gen = F.concat(F.lit(PROMPT_GEN_HEAD), F.col("rhyme_scheme"), F.lit(PROMPT_METRE), F.col("short"), F.lit("\n"))
@@ -328,10 +331,11 @@ def q_row_batches(spark, sf):
 WITH {_REQ_SQL}
 SELECT req_id, CAST((row_number() OVER (ORDER BY length(text), req_id) - 1) // 15 AS BIGINT) AS batch_id FROM req""")
 def q_length_grouping(spark, sf):
-    """Batches of 15 requests of similar length (sorted by length; global row
-    numbers from a range-partitioned sort)."""
+    """Batches of 15 requests of similar length (sorted by length)."""
     r = _requests(spark, sf).withColumn("len", F.length("text"))
-    n = sampling.global_row_number(r, [F.col("len"), F.col("req_id")])
+    # one length may hold many requests: its numbers are cut further
+    n = sampling.global_row_number(r, [F.col("len"), F.col("req_id")],
+                                   [F.col("len"), F.floor(F.col("req_id") / 65536)])
     return n.select("req_id", F.floor((F.col("rn") - 1) / 15).cast("long").alias("batch_id"))
 
 

@@ -39,20 +39,41 @@ def q_rhyme_key(spark, sf):
     return e.select("doc_id", "line_no", "last_word", "clausula", rhyme.rhyme_key("text").alias("rhyme_key"))
 
 
+_GROUPS_SQL = f"""{_ENDINGS_SQL},
+fst AS (SELECT doc_id, clausula, min(line_no) AS first_line FROM cl WHERE clausula IS NOT NULL GROUP BY doc_id, clausula),
+num AS (SELECT doc_id, clausula, first_line, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS rhyme_group FROM fst)"""
+
+
+@register("rhyme_groups", f"""
+WITH {_GROUPS_SQL}
+SELECT c.doc_id, CAST(c.line_no AS BIGINT) AS line_no, c.clausula, CAST(n.rhyme_group AS BIGINT) AS rhyme_group
+FROM cl c LEFT JOIN num n ON n.doc_id = c.doc_id AND n.clausula = c.clausula""")
+def q_rhyme_groups(spark, sf):
+    """Every line with the number of its rhyme group (by first appearance)."""
+    return rhyme.rhyme_groups(documents(spark, sf)).select("doc_id", "line_no", "clausula", "rhyme_group")
+
+
 @register("exact_rhyme_pairs", f"""
-WITH {_ENDINGS_SQL},
-nx AS (SELECT doc_id, line_no, clausula,
-         lead(line_no, 1) OVER w AS b1, lead(clausula, 1) OVER w AS k1,
-         lead(line_no, 2) OVER w AS b2, lead(clausula, 2) OVER w AS k2,
-         lead(line_no, 3) OVER w AS b3, lead(clausula, 3) OVER w AS k3
-       FROM cl WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, line_no AS line_a, b1 AS line_b, 1 AS gap FROM nx WHERE clausula = k1
-UNION ALL SELECT doc_id, line_no, b2, 2 FROM nx WHERE clausula = k2
-UNION ALL SELECT doc_id, line_no, b3, 3 FROM nx WHERE clausula = k3""")
+WITH {_GROUPS_SQL}
+SELECT c.doc_id, CAST(lag(c.line_no) OVER w AS BIGINT) AS line_a, CAST(c.line_no AS BIGINT) AS line_b,
+       CAST(n.rhyme_group AS BIGINT) AS rhyme_group
+FROM cl c JOIN num n ON n.doc_id = c.doc_id AND n.clausula = c.clausula
+WINDOW w AS (PARTITION BY c.doc_id, c.clausula ORDER BY c.line_no)
+QUALIFY line_a IS NOT NULL""")
 def q_exact_rhyme_pairs(spark, sf):
-    p = rhyme.exact_rhyme_pairs(_endings(spark, sf))
-    return p.select("doc_id", F.col("line_a").cast("long"), F.col("line_b").cast("long"),
-                    F.col("gap").cast("int"))
+    """Each line linked to the line before it that rhymes, at any distance: with the
+    group number this holds every pair, in as many rows as there are lines."""
+    return rhyme.exact_rhyme_pairs(documents(spark, sf)).select("doc_id", "line_a", "line_b", "rhyme_group")
+
+
+@register("near_rhyme_pairs", f"""
+WITH {_ENDINGS_SQL}
+SELECT a.doc_id, CAST(a.line_no AS BIGINT) AS line_a, CAST(b.line_no AS BIGINT) AS line_b,
+       CAST(b.line_no - a.line_no AS INTEGER) AS gap
+FROM cl a JOIN cl b ON a.doc_id = b.doc_id AND a.clausula = b.clausula AND b.line_no - a.line_no BETWEEN 1 AND 3""")
+def q_near_rhyme_pairs(spark, sf):
+    """Feature: rhyming lines within a window of three lines."""
+    return rhyme.near_rhyme_pairs(documents(spark, sf)).select("doc_id", "line_a", "line_b", "gap")
 
 
 _QUATRAIN_SQL = f"""{_ENDINGS_SQL},
@@ -232,7 +253,7 @@ def q_batch_metrics(spark, sf):
 
 @register("scheme4", f"""
 WITH {REQ_PAIRS_CTE},
-nl AS (SELECT conv_id, turn, {filter_lines_sql('output')}[1:4] AS ls FROM req),
+nl AS (SELECT conv_id, turn, {filter_lines_sql('output')} AS ls FROM req WHERE len({filter_lines_sql('output')}) = 4),
 ul AS (SELECT conv_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM nl),
 src AS (SELECT conv_id, turn, i, line, {last_word_sql('line')} AS lw FROM ul),
 {clausula_ctes('src', 'conv_id, turn, i, line')},
@@ -252,8 +273,9 @@ SELECT conv_id, turn,
        ELSE 0.5 END AS DOUBLE) AS factor
 FROM f""")
 def q_scheme4(spark, sf):
-    r = requests_with_outputs(spark, sf)
-    r = r.select("conv_id", "turn", rhyme.line_keys(F.slice(T.filter_lines("output"), 1, 4)).alias("keys"))
+    """Scheme of the outputs that have exactly four lines."""
+    r = requests_with_outputs(spark, sf).where(F.size(T.filter_lines("output")) == 4)
+    r = r.select("conv_id", "turn", rhyme.line_keys(T.filter_lines("output")).alias("keys"))
     return rhyme.scheme4(r).select("conv_id", "turn", "scheme", "factor")
 
 

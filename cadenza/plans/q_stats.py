@@ -21,7 +21,7 @@ def q_value_counts(spark, sf):
 
 @register("length_profile", f"""
 WITH {PAIRS_CTE},
-x AS (SELECT length(array_to_string({filter_lines_sql('output')}[1:4], chr(10))) AS verse,
+x AS (SELECT length(array_to_string({filter_lines_sql('output')}, chr(10))) AS verse,
              length({clean_text_sql('input')}) AS prose FROM pairs),
 v AS (SELECT 'verse' AS kind, verse AS x FROM x UNION ALL SELECT 'prose', prose FROM x
       UNION ALL SELECT 'diff', verse - prose FROM x),
@@ -33,7 +33,7 @@ def q_length_profile(spark, sf):
     """40-bin histograms of verse length, prose length and their difference."""
     conv = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     p = curate.request_output_pairs(conv)
-    x = p.select(F.length(F.array_join(F.slice(T.filter_lines("output"), 1, 4), "\n")).alias("verse"),
+    x = p.select(F.length(F.array_join(T.filter_lines("output"), "\n")).alias("verse"),
                  F.length(T.clean_text("input")).alias("prose"))
     v = x.select(F.explode(F.array(
         F.struct(F.lit("verse").alias("kind"), F.col("verse").alias("x")),
