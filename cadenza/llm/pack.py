@@ -21,6 +21,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,11 +40,17 @@ from cadenza.session import ship_package
 CAPACITY = 2048
 END_ID = 1
 RANK_BUCKETS = 64
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000       # chunks kept between batches; the ones seen again stay
+TEXT_BYTES = 1 << 20          # text encoded at a time
 #: fixed values: Unicode white space, at whose runs a text may be cut for the tokenizer
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions ``start[i] ... start[i] + n[i] - 1``, one run after the other."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 class ChunkEncoder:
     """Ids of texts, chunk by chunk, with a bounded table of the chunks seen.
 
@@ -63,8 +70,20 @@ class ChunkEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.off, self.len, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.known: dict[str, int] = {}          # chunk -> its place in off, len and hits
+        self.off, self.len, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(0, np.uint32), 0
+
+    def _trim(self) -> None:
+        """Keep the chunks that came again; at most half of the table."""
+        least, kept = 2, np.flatnonzero(self.hits >= 2)
+        while len(kept) > CACHE_CHUNKS // 2:
+            least *= 2
+            kept = np.flatnonzero(self.hits >= least)
+        names, n, off = list(self.known), self.len[kept], self.off[kept]
+        self.pool = self.pool[_runs(off, n)]
+        self.known = {names[i]: j for j, i in enumerate(kept.tolist())}
+        self.off, self.len, self.hits, self.used = np.cumsum(n) - n, n, self.hits[kept] // 2, len(self.pool)
 
     def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -91,6 +110,7 @@ class ChunkEncoder:
             flat, n = how(part)
             self.off = np.concatenate([self.off, self.used + np.cumsum(n) - n])
             self.len = np.concatenate([self.len, n])
+            self.hits = np.concatenate([self.hits, np.zeros(len(n), np.int64)])
             if self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool[:self.used], np.zeros(len(flat) + self.used // 2 + 1024, np.uint32)])
             self.pool[self.used:self.used + len(flat)] = flat
@@ -101,7 +121,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
         if len(self.known) > CACHE_CHUNKS:
-            self.reset()
+            self._trim()
         cut = [self.cut(t) for t in texts]
         flat = [c for cs in cut for c in cs]
         idx = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
@@ -109,10 +129,9 @@ class ChunkEncoder:
         if miss:
             self._learn(list({flat[i] for i in miss}))
             idx[miss] = [self.known[flat[i]] for i in miss]
+        self.hits += np.bincount(idx, minlength=len(self.hits))
         n = self.len[idx]
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(self.off[idx] - (np.cumsum(n) - n), n)
-        ids = self.pool[at]
+        ids = self.pool[_runs(self.off[idx], n)]
         per = np.fromiter(map(len, cut), np.int64, len(cut))
         ends = np.concatenate([[0], np.cumsum(n)])
         bounds = np.concatenate([[0], np.cumsum(per)])
@@ -122,6 +141,7 @@ class ChunkEncoder:
 @lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> ChunkEncoder:
     """One encoder per Python worker, also across its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark deals out the cores
     return ChunkEncoder(vocabulary)
 
 
@@ -129,7 +149,7 @@ def _piece_rows(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, size=TEXT_BYTES):
                 docs = part.column("doc_id").to_pylist()
                 ids, n = enc.encode([t or "" for t in part.column("text").to_pylist()])
                 rows = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}

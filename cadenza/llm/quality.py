@@ -184,8 +184,8 @@ def perplexity(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """``docs`` without text, with ``perplexity``, ``threshold`` and ``kept``."""
     results = ("perplexity", "threshold", "kept")
-    own = ("doc_id", "lang", "text")
-    rows = keep(perplexity(shield(docs.drop(*results), *own), train(docs, trusted)), "quality-scores")
+    kept = ("doc_id", "lang", "text")
+    rows = keep(perplexity(shield(docs.drop(*results), *kept), train(docs, trusted)), "quality-scores")
     t = trusted.select("doc_id").where("doc_id is not null").distinct()
     known = rows.where("perplexity is not null").join(t, "doc_id", "left_semi")
     q = F.percentile_approx("perplexity", quantile, 10_000)
@@ -194,7 +194,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sla
     own = own.select(F.col("lang").alias("_l"), (F.col("q") * slack).alias("_q"))   # one row per language
     j = rows.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
     limit = F.coalesce("_q", F.lit(every * slack if every is not None else float("inf")))
-    rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in own + results]
+    rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in kept + results]
     ok = F.col("perplexity").isNull() | (F.col("perplexity") <= limit)
     return j.select("doc_id", "lang", *rest, "perplexity", limit.alias("threshold"), ok.alias("kept"))
 

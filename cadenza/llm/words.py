@@ -14,13 +14,13 @@ import xxhash
 PIECE_BYTES = 4 << 20
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``PIECE_BYTES`` of text."""
+def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about ``size`` bytes of text."""
     n = batch.num_rows
     if n == 0:
         return
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64) + 64
-    part = (np.cumsum(size) - size) // PIECE_BYTES
+    own = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64) + 64
+    part = (np.cumsum(own) - own) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
