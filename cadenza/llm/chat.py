@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import keep
-from cadenza.session import ship_package
+from cadenza.llm.common import arrow_ready, keep
 
 SHORT = 24
 TURN_BLOCK = 1024
@@ -134,7 +133,7 @@ def _event_rows(schemas: dict, derive: bool):
 
 def events(messages: DataFrame, schemas: dict | None = None, derive: bool = True) -> DataFrame:
     """The events of ``messages`` (``conv_id, turn, role, text``)."""
-    ship_package(messages.sparkSession)
+    arrow_ready(messages.sparkSession)
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     if derive:
         # the previous user turn: the latest inside the block of turns, else the last of an earlier block

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.session import ship_package
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -58,6 +60,18 @@ def _clear_at_exit() -> None:
         _MADE.clear()
 
 
+#: Rows and bytes of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def arrow_ready(spark: SparkSession) -> None:
+    """Ship the package to Python workers and keep Arrow batches small: a batch lies in
+    memory several times (JVM, socket, worker), and texts may be long."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -30,9 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep, shield, unshield
+from cadenza.llm.common import arrow_ready, bucket_of, in_buckets, keep, shield, unshield
 from cadenza.llm.words import pieces, windows
-from cadenza.session import ship_package
 
 WIDTH, SHORTEST, COVER = 8, 5, 0.5
 FILTER_BITS = 25
@@ -150,7 +149,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``k`` (row key of a document), ``item_id``, ``coverage``: every document and
     item with a consistent alignment."""
     spark = docs.sparkSession
-    ship_package(spark)
+    arrow_ready(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
         _item_windows, "item_id long, h long, idx long, width long, b1 long, b2 long, item_slots array<string>")
     # a window that recurs in an item counts once, at its first place

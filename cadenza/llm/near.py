@@ -42,10 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep, shield, unshield
+from cadenza.llm.common import arrow_ready, bucket_of, in_buckets, keep, shield, unshield
 from cadenza.llm.graph import components
 from cadenza.llm.words import hashes, mix, pieces, windows, words
-from cadenza.session import ship_package
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS, COORDS = 20, 4, 128          # bands use the first 80 coordinates, estimates all
@@ -178,7 +177,7 @@ def _sign(weights: str, width: int):
 
 def signatures(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> DataFrame:
     """``doc_id, fa, fb`` (fingerprint), ``size`` (total weight), ``bands``, ``sketch``."""
-    ship_package(docs.sparkSession)
+    arrow_ready(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(_sign(weights, width), "doc_id long, fa long, fb long, size long, bands array<long>, sketch binary")
 

@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import keep
+from cadenza.llm.common import arrow_ready, keep
 from cadenza.llm.words import pieces
-from cadenza.session import ship_package
 
 CAPACITY = 2048
 END_ID = 1
 RANK_BUCKETS = 64
 CACHE_CHUNKS = 200_000       # chunks kept between batches; the ones seen again stay
-TEXT_BYTES = 1 << 20          # text encoded at a time
 #: fixed values: Unicode white space, at whose runs a text may be cut for the tokenizer
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -149,7 +147,7 @@ def _piece_rows(vocabulary: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in pieces(batch, size=TEXT_BYTES):
+            for part in pieces(batch):
                 docs = part.column("doc_id").to_pylist()
                 ids, n = enc.encode([t or "" for t in part.column("text").to_pylist()])
                 rows = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -174,7 +172,7 @@ def _piece_rows(vocabulary: str, capacity: int, with_ids: bool):
 
 def tokenized(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, start, length, ids_crc32, doc_tokens[, ids]``."""
-    ship_package(docs.sparkSession)
+    arrow_ready(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(_piece_rows(vocabulary, capacity, with_ids), schema)

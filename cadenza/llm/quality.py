@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bucket_of, in_buckets, keep, shield
+from cadenza.llm.common import arrow_ready, bucket_of, in_buckets, keep, shield
 from cadenza.llm.words import pieces
-from cadenza.session import ship_package
 
 ORDER, SYMBOLS = 4, 48
 QUANTILE, SLACK, MIN_TRUSTED = 0.995, 1.1, 50
@@ -92,7 +91,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    ship_package(texts.sparkSession)
+    arrow_ready(texts.sparkSession)
     return texts.select("text").mapInArrow(_count_rows, "g long, n long").groupBy("g").agg(F.sum("n").alias("c"))
 
 
@@ -174,7 +173,7 @@ def train(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 def perplexity(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """``docs`` with ``perplexity`` instead of ``text``."""
     spark: SparkSession = docs.sparkSession
-    ship_package(spark)
+    arrow_ready(spark)
     docs = docs.drop("perplexity")
     cols = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import keep, shield, text_of, unshield
+from cadenza.llm.common import arrow_ready, keep, shield, text_of, unshield
 from cadenza.llm.words import pieces, words
-from cadenza.session import ship_package
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -184,7 +183,7 @@ def _scores(model: OrdinalModel, cols: list[str]):
 def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``p_toxic`` (grade TOP or above),
     ``grade`` (most likely) and ``rejected`` (``p_toxic >= cut``)."""
-    ship_package(docs.sparkSession)
+    arrow_ready(docs.sparkSession)
     docs = docs.drop("severity", "p_toxic", "grade", "rejected")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs.mapInArrow(_scores(model, docs.columns), schema + ", severity double, p_toxic double, grade int")

@@ -11,7 +11,7 @@ import xxhash
 
 #: Texts are handled in pieces of about this many bytes, which bounds a task's memory
 #: whatever the size of the batches that Spark sends (a longer text is one piece).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +24,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES) -
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()   # idle workers keep little
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
