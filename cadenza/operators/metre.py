@@ -1,16 +1,17 @@
 """Metre matching: line S/U/A patterns against the nine metre templates.
 
-Design (scale): a line pattern is a string of at most 20 letters over {S,U,A},
-so the corpus has far fewer *distinct* patterns than lines.  We
+Design (scale): lines of no vowel or of more than ``BORDER_SYLLABLES`` syllables get a
+constant answer and never leave their row.  The other patterns are strings of at
+most 20 letters over {S,U,A}, so the corpus has far fewer *distinct* patterns than
+lines.  We
 
 1. derive the pattern of every line in-row (no shuffle),
-2. de-duplicate patterns (hash aggregate with map-side combine),
-3. match each distinct pattern against every template with a bounded
-   frontier walk written as a higher-order ``aggregate`` expression (JVM-side,
-   one row at a time, no Python), and
-4. join the small result back on ``pattern`` (AQE turns this into a broadcast
-   join at runtime when the de-duplicated side is small; otherwise it is a
-   shuffle join whose hot keys AQE splits).
+2. de-duplicate the short patterns (hash aggregate with map-side combine),
+3. match each distinct pattern against the asked templates with a bounded frontier
+   walk over sorted neighbours (Arrow batches; the same walk exists as a JVM
+   higher-order expression, ``engine="expr"``, which took 12 times as long), and
+4. join the result, one row per pattern, back on ``pattern``: both sides of that join
+   are plain exchanges, so adaptive execution can split a hot pattern.
 
 The templates are regular expressions over ``usUS``; each is compiled once on
 the driver into a position automaton (a literal transition array folded into
@@ -254,22 +255,21 @@ class _Walker:
         return (b[0], b[1], b[2], False) if b else (0, 0, "", True)
 
 
-PATTERN_ERRORS_SCHEMA = ("pattern string, metre_idx int, metre string, strong int, weak int, "
-                         "template string, failed boolean")
+PATTERN_SCHEMA = ("pattern string, strong array<int>, weak array<int>, template array<string>, "
+                  "failed array<boolean>")
 
 
-def _walk_partition(batches):
-    import pandas as pd
-    walkers = [(i, name, _Walker(tpl, border)) for i, (name, tpl, border, _, _) in enumerate(METRES)]
-    for pdf in batches:
-        pats = pdf["pattern"].tolist()
-        rows = []
-        for i, name, w in walkers:
-            for p in pats:
-                st, wk, t, f = w.match(p)
-                rows.append((p, i, name, st, wk, t, f))
-        yield pd.DataFrame(rows, columns=["pattern", "metre_idx", "metre", "strong", "weak",
-                                          "template", "failed"])
+def _walk_partition(names: tuple[str, ...]):
+    def run(batches):
+        import pandas as pd
+        walkers = [_Walker(tpl, border) for name, tpl, border, _, _ in METRES if name in names]
+        for pdf in batches:
+            pats = pdf["pattern"].tolist()
+            found = [[w.match(p) for p in pats] for w in walkers]
+            cols = {c: [[f[i][j] for f in found] for i in range(len(pats))]
+                    for j, c in enumerate(("strong", "weak", "template", "failed"))}
+            yield pd.DataFrame({"pattern": pats, **cols})
+    return run
 
 
 # ---------------------------------------------------------------------------
@@ -289,56 +289,62 @@ def compute_parallelism(spark) -> int:
                int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def distinct_patterns(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
-    """De-duplicated patterns spread evenly over all cores (explicit
-    round-robin repartition: AQE keeps an explicit partition count)."""
-    d = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
-    return d.repartition(compute_parallelism(patterns.sparkSession))
+def matchable(pattern) -> "F.Column":
+    """Patterns that are matched at all; the others have no errors by definition."""
+    return F.length(pattern).between(1, BORDER_SYLLABLES)
 
 
-def pattern_metre_errors(patterns: DataFrame, pattern_col: str = "pattern",
-                         engine: str = "walk") -> DataFrame:
-    """Distinct patterns -> one row per (pattern, metre) with the error record.
+def pattern_matches(patterns: DataFrame, pattern_col: str = "pattern", metres: list[str] | None = None,
+                    engine: str = "walk") -> DataFrame:
+    """One row per distinct matchable pattern: arrays ``strong, weak, template, failed``
+    in template order of the asked ``metres`` (all by default).
 
-    ``engine="walk"`` (default): distinct patterns are range-partitioned and
-    sorted so that each task walks neighbouring patterns and shares prefixes.
-    ``engine="expr"``: the same walk as one JVM higher-order expression per
-    metre (no Python workers; more CPU per pattern)."""
+    ``engine="walk"``: patterns are range-partitioned and sorted so that each task walks
+    neighbours and shares prefixes.  ``engine="expr"``: the same walk as one JVM
+    higher-order expression per metre."""
+    names = tuple(n for n in METRE_NAMES if metres is None or n in metres)
+    d = patterns.select(F.col(pattern_col).alias("pattern")).where(matchable("pattern")).distinct()
     if engine == "expr":
-        d = distinct_patterns(patterns, pattern_col)
-        return (d.select("pattern", F.posexplode(F.expr(all_metres_expr("pattern"))).alias("metre_idx", "r"))
-                .select("pattern", "metre_idx", F.col("r.metre").alias("metre"),
-                        F.col("r.strong").alias("strong"), F.col("r.weak").alias("weak"),
-                        F.col("r.t").alias("template"), F.col("r.failed").alias("failed")))
-    d = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
-    d = d.repartitionByRange(compute_parallelism(patterns.sparkSession), "pattern") \
-         .sortWithinPartitions("pattern")
-    return d.mapInPandas(_walk_partition, PATTERN_ERRORS_SCHEMA)
-
-
-def pattern_metre_table(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
-    """Distinct patterns -> (pattern, s_norm, w_norm): per metre (template
-    order) the line's strong/weak errors divided by their sum over the nine
-    metres when that sum is not zero (the classifier's first normalisation,
-    which depends on the pattern only)."""
-    e = pattern_metre_errors(patterns, pattern_col)
-    g = e.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("metre_idx", "strong", "weak"))).alias("errs"))
-    ssum = F.aggregate("errs", F.lit(0), lambda a, r: a + r["strong"])
-    wsum = F.aggregate("errs", F.lit(0), lambda a, r: a + r["weak"])
-    return g.select(
-        "pattern",
-        F.transform("errs", lambda r: F.when(ssum != 0, r["strong"] / ssum)
-                    .otherwise(r["strong"].cast("double"))).alias("s_norm"),
-        F.transform("errs", lambda r: F.when(wsum != 0, r["weak"] / wsum)
-                    .otherwise(r["weak"].cast("double"))).alias("w_norm"))
+        d = d.repartition(compute_parallelism(patterns.sparkSession))
+        e = d.select("pattern", F.filter(F.expr(all_metres_expr("pattern")), lambda r: r["metre"].isin(*names)).alias("e"))
+        return e.select("pattern", F.col("e.strong").alias("strong"), F.col("e.weak").alias("weak"),
+                        F.col("e.t").alias("template"), F.col("e.failed").alias("failed"))
+    d = d.repartitionByRange(compute_parallelism(patterns.sparkSession), "pattern").sortWithinPartitions("pattern")
+    return d.mapInPandas(_walk_partition(names), PATTERN_SCHEMA)
+
+
+def _per_metre(df: DataFrame, keep: list[str], metres: list[str] | None = None) -> DataFrame:
+    """Rows of :func:`pattern_matches`, one per metre."""
+    names = [n for n in METRE_NAMES if metres is None or n in metres]
+    zipped = F.arrays_zip(F.array(*[F.lit(METRE_NAMES.index(n)) for n in names]).alias("metre_idx"),
+                          F.array(*[F.lit(n) for n in names]).alias("metre"), "strong", "weak", "template", "failed")
+    x = df.select(*keep, F.explode(zipped).alias("e"))
+    return x.select(*keep, *[F.col(f"e.{c}").alias(c) for c in ("metre_idx", "metre", "strong", "weak", "template", "failed")])
+
+
+def _constant(df: DataFrame) -> DataFrame:
+    """The answer of patterns that are not matched, in the form of :func:`pattern_matches`."""
+    n = len(METRES)
+    return df.select("*", F.array_repeat(F.lit(0), n).alias("strong"), F.array_repeat(F.lit(0), n).alias("weak"),
+                     F.array_repeat(F.lit(""), n).alias("template"), F.array_repeat(F.lit(False), n).alias("failed"))
+
+
+def pattern_metre_errors(patterns: DataFrame, pattern_col: str = "pattern",
+                         engine: str = "walk") -> DataFrame:
+    """Distinct patterns -> one row per (pattern, metre) with the error record."""
+    d = patterns.select(F.col(pattern_col).alias("pattern"))
+    rest = _constant(d.where(~matchable("pattern")).distinct())
+    return _per_metre(pattern_matches(d, engine=engine).unionByName(rest), ["pattern"])
 
 
 def line_metre_errors(lines: DataFrame, prof: Profile | str = LATIN,
                       keys=("doc_id", "line_no")) -> DataFrame:
     """Per line and metre: strong, weak, template, failed."""
     lp = line_patterns(lines, prof).select(*keys, "pattern")
-    errs = pattern_metre_errors(lp)
-    return lp.join(errs, "pattern").select(*keys, "metre", "strong", "weak", "template", "failed")
+    hit = lp.where(matchable("pattern")).join(pattern_matches(lp), "pattern")
+    cols = [*keys, "strong", "weak", "template", "failed"]
+    every = hit.select(*cols).unionByName(_constant(lp.where(~matchable("pattern"))).select(*cols))
+    return _per_metre(every, list(keys)).drop("metre_idx")
 
 
 def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id",
@@ -348,14 +354,21 @@ def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id
     Per line, strong (weak) errors are divided by their sum over the nine
     metres when that sum is not zero; per poem the normalised values are summed
     and ``sum_coef + (S + W/2) * coef / num_lines`` is minimised, ties going
-    to template order.  All lines count in ``num_lines``.
+    to template order.  All lines count in ``num_lines``; unmatched ones add 0.
     """
-    lp = line_patterns(lines, prof).select(key, line_key, "pattern")
-    j = lp.join(pattern_metre_table(lp), "pattern")
+    lp = line_patterns(lines, prof).select(key, "pattern")
+
+    def norm(errs: str):
+        total = F.aggregate(errs, F.lit(0), lambda a, x: a + x)
+        return F.transform(errs, lambda x: F.when(total != 0, x / total).otherwise(x.cast("double")))
+    table = pattern_matches(lp).select("pattern", norm("strong").alias("s"), norm("weak").alias("w"))
+    hit = lp.where(matchable("pattern")).join(table, "pattern").select(key, "s", "w")
+    zero = F.array_repeat(F.lit(0.0), len(METRES))
+    every = hit.unionByName(lp.where(~matchable("pattern")).select(key, zero.alias("s"), zero.alias("w")))
     aggs = [F.count(F.lit(1)).alias("num_lines")]
     for i in range(len(METRES)):
-        aggs += [F.sum(F.col("s_norm")[i]).alias(f"s{i}"), F.sum(F.col("w_norm")[i]).alias(f"w{i}")]
-    g = j.groupBy(key).agg(*aggs)
+        aggs += [F.sum(F.col("s")[i]).alias(f"s{i}"), F.sum(F.col("w")[i]).alias(f"w{i}")]
+    g = every.groupBy(key).agg(*aggs)
     vals = []
     for i, (name, _, _, coef, sum_coef) in enumerate(METRES):
         v = F.lit(sum_coef) + (F.col(f"s{i}") + F.col(f"w{i}") / 2.0) * coef / F.col("num_lines")
@@ -366,18 +379,21 @@ def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id
 
 
 def meter_score(texts: DataFrame, text_col: str = "text", metre_col: str = "meter",
-                keys=("req_id",), prof: Profile | str = LATIN, max_lines: int = 8) -> DataFrame:
+                keys=("req_id",), prof: Profile | str = LATIN, max_lines: int = 8,
+                metres: list[str] | None = None) -> DataFrame:
     """Mean over a text's (first ``max_lines``) letter-bearing lines of
     (strong+weak)/syllables against the requested metre; lines without
-    syllables add 0; NULL for a text without lines."""
+    syllables add 0; NULL for a text without lines.  ``metres``: the names that
+    may be requested (only these are matched; all by default)."""
     keys = list(keys)
     lines = texts.select(*keys, metre_col, F.posexplode(
         F.slice(T.filter_lines(text_col), 1, max_lines)).alias("line_no", "line"))
-    lp = lines.withColumn("pattern", T.line_pattern_default("line", prof))
-    errs = pattern_metre_errors(lp).select("pattern", F.col("metre").alias("_m"), "strong", "weak")
-    j = lp.join(errs, (lp["pattern"] == errs["pattern"]) & (lp[metre_col] == errs["_m"]), "left")
-    per_line = F.when(F.length(lp["pattern"]) > 0,
-                      (F.coalesce(errs["strong"], F.lit(0)) + F.coalesce(errs["weak"], F.lit(0)))
-                      / F.length(lp["pattern"])).otherwise(F.lit(0.0))
-    agg = j.groupBy(*keys).agg(F.avg(per_line).alias("meter_score"))
-    return texts.select(*keys).join(agg, keys, "left")
+    lp = lines.select(*keys, F.col(metre_col).alias("_m"), T.line_pattern_default("line", prof).alias("pattern"))
+    names = [n for n in METRE_NAMES if metres is None or n in metres]
+    errs = pattern_matches(lp, metres=names).select("pattern", "strong", "weak")
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_m")).cast("int") - 1
+    hit = lp.where(matchable("pattern")).join(errs, "pattern")
+    per_line = (F.coalesce(F.get("strong", at), F.lit(0)) + F.coalesce(F.get("weak", at), F.lit(0))) / F.length("pattern")
+    every = hit.select(*keys, per_line.alias("v")).unionByName(
+        lp.where(~matchable("pattern")).select(*keys, F.lit(0.0).alias("v")))
+    return texts.select(*keys).join(every.groupBy(*keys).agg(F.avg("v").alias("meter_score")), keys, "left")

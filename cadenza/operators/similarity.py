@@ -3,9 +3,9 @@
 Near-copy scoring is an inverted-index equi-join on character trigrams.  The
 Jaccard value needs no second pass over the texts: with per-text distinct
 shingle counts ``nA``, ``nB`` and the join's intersection count ``i``,
-``|A ∪ B| = nA + nB - i``.  The indexed corpus side is broadcast only after a
-row-count check (``checked_broadcast``); above the bound the join is a
-shuffle join and AQE splits hot shingles.
+``|A ∪ B| = nA + nB - i``.  Join strategies are left to Spark: adaptive execution
+broadcasts the index side when its measured bytes allow it and splits hot
+shingles otherwise.
 """
 
 from __future__ import annotations
@@ -15,19 +15,13 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (counted with
-    a bounded ``limit``); otherwise leave the join strategy to Spark/AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def distinct_docs(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """Each distinct text once, represented by its smallest key."""
-    return df.groupBy(text_col).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies"))
+    """Each distinct text once, represented by its smallest key.  Rows are grouped by
+    a 256-bit digest; NULL texts are one group."""
+    return (df.groupBy(F.sha2(F.col(text_col).cast("binary"), 256).alias("_digest"))
+            .agg(F.first(text_col).alias(text_col), F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies"))
+            .drop("_digest"))
 
 
 def _shingle_rows(df: DataFrame, key: str, lower: bool, text_col: str = "text") -> DataFrame:
@@ -42,7 +36,7 @@ def shared_shingle_counts(docs: DataFrame, index: DataFrame, doc_key: str = "doc
                           item_key: str = "item_id", lower: bool = False) -> DataFrame:
     """(doc, item, shared, n_doc, n_item): distinct trigrams in common."""
     d = _shingle_rows(docs, doc_key, lower).withColumnRenamed("n", "n_doc")
-    i = checked_broadcast(_shingle_rows(index, item_key, lower).withColumnRenamed("n", "n_item"))
+    i = _shingle_rows(index, item_key, lower).withColumnRenamed("n", "n_item")
     return (d.join(i, "sh").groupBy(doc_key, item_key, "n_doc", "n_item")
             .agg(F.count(F.lit(1)).alias("shared")))
 
@@ -58,10 +52,10 @@ def top_shared(docs: DataFrame, index: DataFrame, n: int = 100, doc_key: str = "
         doc_key, item_key, "shared", "rank")
 
 
-def novelty_score(docs: DataFrame, index: DataFrame, n: int | None = 100, doc_key: str = "doc_id",
+def novelty_score(docs: DataFrame, index: DataFrame, n: int | None = None, doc_key: str = "doc_id",
                   item_key: str = "item_id", gate: float = 0.90) -> DataFrame:
-    """Max lower-case trigram Jaccard against the ``n`` nearest distinct
-    indexed texts (``n=None``: against all sharing a trigram); ``passes`` when
+    """Max lower-case trigram Jaccard against all distinct indexed texts that share a
+    trigram (with ``n``: only the ``n`` of :func:`top_shared`, a cut); ``passes`` when
     below ``gate``.  Texts without candidates score 0."""
     index = distinct_docs(index, item_key)
     lc = shared_shingle_counts(docs, index, doc_key, item_key, lower=True)

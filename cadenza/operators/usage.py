@@ -1,4 +1,4 @@
-"""Usage counters over the event stream (batch form; see streaming.usage)."""
+"""Usage counters over the event stream (batch form; the stream is in streaming.streams)."""
 
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import (LINES_CTE, PAIRS_CTE, clean_text_sql, filter_lines_sql,
                                    jaccard_sql, seeded_hash_sql, sentence_split_sql,
                                    shingle_jaccard_sql)
-from cadenza.sources.fixtures import balanced, documents, table
+from cadenza.sources.fixtures import documents, table
 
 
 def _pairs(spark, sf):
@@ -176,7 +176,7 @@ FROM (SELECT doc_id, source, unnest(range(len(ls))) AS line_no, unnest(ls) AS li
 WHERE line_no < 20000""")
 def q_scan_prose_head(spark, sf):
     """First N=20000 lines of each document, right-trimmed, keyed by source."""
-    d = balanced(table(spark, sf, "documents", "doc_id", "source", "text"), "doc_id")
+    d = documents(spark, sf, "doc_id", "source", "text")
     x = d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return x.where(F.col("line_no") < 20000).select(
         "doc_id", "source", F.col("line_no").cast("long").alias("line_no"), F.rtrim("line").alias("text"))

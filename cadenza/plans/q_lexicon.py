@@ -13,11 +13,13 @@ from cadenza.functions import text as T
 from cadenza.operators import corpus, lexicon as L
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import LINES_CTE, V, syllables_sql, vowels_sql, words_sql
-from cadenza.sources.fixtures import balanced, documents, table
+from cadenza.sources.fixtures import documents, table
 
 # Fixed values (ours): source priority per language, and the stress rule each
 # language source applies ('first', 'last', 'penult' vowel).
 LANG_SOURCES = [("en", 1, "first"), ("de", 2, "first"), ("fr", 3, "last"), ("es", 4, "penult")]
+# Every other language, and text without one: last source, the default stress rule.
+OTHER_SOURCE = 5
 
 
 def _rule(rule: str, n):
@@ -29,7 +31,7 @@ def _rule_sql(rule: str, n: str) -> str:
 
 
 def stress_sources(spark, sf):
-    d = balanced(table(spark, sf, "documents", "doc_id", "lang", "text"), "doc_id")
+    d = documents(spark, sf, "lang", "text")
     w = d.select("lang", F.explode(T.words("text")).alias("word")).distinct()
     w = w.withColumn("n", T.vowel_count("word")).where(F.col("n") > 0)
     lang_rank = None
@@ -38,8 +40,8 @@ def stress_sources(spark, sf):
         c = F.col("lang") == lang
         lang_rank = F.when(c, prio) if lang_rank is None else lang_rank.when(c, prio)
         stress = F.when(c, _rule(rule, F.col("n"))) if stress is None else stress.when(c, _rule(rule, F.col("n")))
-    return w.select("word", stress.cast("int").alias("stress"), lang_rank.alias("priority")) \
-            .where(F.col("priority").isNotNull())
+    return w.select("word", stress.otherwise(T.default_stress("n")).cast("int").alias("stress"),
+                    lang_rank.otherwise(OTHER_SOURCE).alias("priority")).distinct()
 
 
 def stress_overrides(spark, sf):
@@ -57,8 +59,9 @@ def stress_overrides(spark, sf):
 _SRC_CASE_PRIO = " ".join(f"WHEN lang = '{l}' THEN {p}" for l, p, _ in LANG_SOURCES)
 _SRC_CASE_STRESS = " ".join(f"WHEN lang = '{l}' THEN {_rule_sql(r, 'n')}" for l, _, r in LANG_SOURCES)
 _DICT_SQL = f"""src0 AS (SELECT DISTINCT lang, unnest({words_sql('text')}) AS word FROM documents),
-src AS (SELECT word, CAST(CASE {_SRC_CASE_STRESS} END AS INTEGER) AS stress, CASE {_SRC_CASE_PRIO} END AS priority
-        FROM (SELECT *, {vowels_sql('word')} AS n FROM src0) WHERE n > 0 AND (CASE {_SRC_CASE_PRIO} END) IS NOT NULL),
+src AS (SELECT word, CAST(CASE {_SRC_CASE_STRESS} ELSE (n + 1) // 2 END AS INTEGER) AS stress,
+               CASE {_SRC_CASE_PRIO} ELSE {OTHER_SOURCE} END AS priority
+        FROM (SELECT *, {vowels_sql('word')} AS n FROM src0) WHERE n > 0),
 ovb AS (SELECT DISTINCT unnest({words_sql('text')}) AS word FROM benchmark),
 ovc AS (SELECT DISTINCT unnest({words_sql('text')}) AS word FROM conversations WHERE role = 'user'),
 ovr AS (SELECT word, CAST(({vowels_sql('word')} + 1) // 2 AS INTEGER) AS stress, 1 AS priority FROM ovb WHERE {vowels_sql('word')} > 0

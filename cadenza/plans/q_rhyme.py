@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators import corpus, curate, metre, rhyme
+from cadenza.operators.requests import METRE_CYCLE
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import (LINES_CTE, REQ_PAIRS_CTE, SYL_RX, V, clausula_ctes,
                                    filter_lines_sql, last_word_sql, metre_ctes, pattern_sql)
@@ -197,7 +198,7 @@ _METER_SQL = REQ_PAIRS_CTE + ",\n" + _METER_PARTS
 
 def _meter_scores(spark, sf):
     r = requests_with_outputs(spark, sf)
-    return metre.meter_score(r, text_col="output", metre_col="meter", keys=("conv_id", "turn"))
+    return metre.meter_score(r, text_col="output", metre_col="meter", keys=("conv_id", "turn"), metres=list(METRE_CYCLE))
 
 
 @register("meter_score", f"""

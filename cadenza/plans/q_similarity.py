@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import similarity as S
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import shingles_chars_sql
-from cadenza.sources.fixtures import balanced, documents, table
+from cadenza.sources.fixtures import documents, table
 
 
 _NEAR_SQL = f"""bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
@@ -27,7 +27,6 @@ def _index(spark, sf):
     return table(spark, sf, "benchmark", "item_id", "text")
 
 
-_NEAR_SQL_SRC = _NEAR_SQL
 _NEAR_SQL = _NEAR_SQL.replace("DOCS_SRC", "documents")
 
 
@@ -47,23 +46,23 @@ def q_top_shared(spark, sf):
     return S.top_shared(documents(spark, sf), idx, 100)
 
 
-NOVELTY_TAIL = """dl AS (SELECT doc_id, len(sl) AS n_doc, unnest(sl) AS sh FROM dch),
+NOVELTY_SQL = f"""bidx AS (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text),
+dch AS MATERIALIZED (SELECT doc_id, {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM DOCS_SRC),
+bch AS MATERIALIZED (SELECT item_id, {shingles_chars_sql("string_split(lower(text), '')")} AS sl FROM bidx),
+dl AS (SELECT doc_id, len(sl) AS n_doc, unnest(sl) AS sh FROM dch),
 bl AS (SELECT item_id, len(sl) AS n_item, unnest(sl) AS sh FROM bch),
 lc AS (SELECT dl.doc_id, bl.item_id, dl.n_doc, bl.n_item, count(*) AS shared
        FROM dl JOIN bl USING (sh) GROUP BY dl.doc_id, bl.item_id, dl.n_doc, bl.n_item),
-jac AS (SELECT t.doc_id, coalesce(lc.shared / (lc.n_doc + lc.n_item - lc.shared + 1e-6), 0.0) AS j
-        FROM top t LEFT JOIN lc USING (doc_id, item_id)),
-best AS (SELECT doc_id, max(j) AS novelty FROM jac GROUP BY doc_id)
+best AS (SELECT doc_id, max(shared / (n_doc + n_item - shared + 1e-6)) AS novelty FROM lc GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(best.novelty, 0.0), 6) AS novelty,
        round(coalesce(best.novelty, 0.0), 6) < 0.9 AS passes
 FROM DOCS_SRC d LEFT JOIN best USING (doc_id)"""
 
 
 @register("novelty_score", f"""
-WITH {_NEAR_SQL},
-{NOVELTY_TAIL.replace("DOCS_SRC", "documents")}""")
+WITH {NOVELTY_SQL.replace("DOCS_SRC", "documents")}""")
 def q_novelty_score(spark, sf):
-    return S.novelty_score(documents(spark, sf), _index(spark, sf), 100)
+    return S.novelty_score(documents(spark, sf), _index(spark, sf))
 
 
 @register("distinct_docs", """
@@ -88,7 +87,7 @@ FROM pr JOIN rc USING (cand, ref)"""
 @register("soft_match_score", _SOFT_SQL)
 def q_soft_match_score(spark, sf):
     """Bag ``label`` (candidate) against bag ``label + 1`` (reference)."""
-    vec = balanced(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+    vec = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     labs = vec.select(F.col("label").cast("long").alias("cand")).distinct()
     pairs = labs.join(labs.select((F.col("cand") - 1).alias("cand"), F.col("cand").alias("ref")), "cand")
     out = S.soft_match_score(vec, pairs)

@@ -9,7 +9,7 @@ from cadenza.functions import text as T
 from cadenza.operators import corpus, curate
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import LINES_CTE, PAIRS_CTE, clean_text_sql, filter_lines_sql, words_sql
-from cadenza.sources.fixtures import balanced, documents, table
+from cadenza.sources.fixtures import documents, table
 
 
 @register("value_counts", """
@@ -72,7 +72,7 @@ FROM d""")
 def q_usage_stats(spark, sf):
     """Per-day counters; running totals over the (small) per-day table."""
     from cadenza.operators.usage import daily_usage
-    ev = balanced(table(spark, sf, "events", "ts", "user_id", "event_type"))
+    ev = table(spark, sf, "events", "ts", "user_id", "event_type")
     d = daily_usage(ev)
     w = Window.orderBy("day")  # one row per calendar day
     return d.select("*", F.sum("n_events").over(w).cast("long").alias("events_to_date"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans.q_similarity import _NEAR_SQL_SRC, NOVELTY_TAIL
+from cadenza.plans.q_similarity import NOVELTY_SQL
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import clausula_ctes, last_word_sql
 from cadenza.sources.fixtures import table
@@ -44,17 +44,12 @@ def q_stream_batch_metrics(spark, sf):
     return streams.stream_batch_metrics(spark, f"{sf}/conversations.parquet")
 
 
-_SRC = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')"
-_STREAM_NOV = _NEAR_SQL_SRC.replace("DOCS_SRC", _SRC)
-
-
-_TAIL = NOVELTY_TAIL.replace("DOCS_SRC", _SRC).replace("\nSELECT d.doc_id,", ",\nsc AS (SELECT d.doc_id,") + ")"
+_SRC = "(SELECT {'conv_id': conv_id, 'turn': turn} AS doc_id, text FROM conversations WHERE role = 'assistant')"
 
 
 @register("stream_novelty_gate", f"""
-WITH {_STREAM_NOV},
-{_TAIL}
-SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, novelty, passes FROM sc""")
+SELECT doc_id.conv_id AS conv_id, doc_id.turn AS turn, novelty, passes FROM (
+WITH {NOVELTY_SQL.replace("DOCS_SRC", _SRC)})""")
 def q_stream_novelty_gate(spark, sf):
     index = table(spark, sf, "benchmark", "item_id", "text")
     return streams.stream_novelty_gate(spark, f"{sf}/conversations.parquet", index)

@@ -22,6 +22,7 @@ def get_spark(master: str | None = None, app: str = "cadenza", **conf) -> SparkS
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
+        .config("spark.cadenza.scanPartitions", cpus)  # local fixtures have one row group
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
