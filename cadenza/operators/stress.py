@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import text as T
 from cadenza.profiles import LATIN, Profile, profile as get_profile
 
-ACUTE = "́"
+ACUTE, GRAVE = "\u0301", "\u0300"
 
 
 def render_word(w, prof: Profile | str = LATIN, stress=None) -> Column:
@@ -27,24 +27,28 @@ def render_line(line, prof: Profile | str = LATIN) -> Column:
 
 
 def stress_markup(stressed, prof: Profile | str = LATIN, add_count: bool = True) -> Column:
-    """``<S{i}>`` (vowels up to the marked one) and ``<count{n}>`` before each
-    marked word of a stressed line; unmarked words stay as they are."""
+    """Tags before each word of a stressed line: ``<S{i}>`` per primary and ``<s{i}>``
+    per secondary mark (i: the vowel that carries it, from 1), then ``<count{n}>`` (n
+    vowels).  Hyphen parts are tagged one by one and joined by `` - ``; words without
+    vowels stay as they are."""
     p = get_profile(prof)
 
     def vowels(x):
-        return F.length(F.regexp_replace(x, p.non_vowel_class, ""))
+        return F.length(F.regexp_replace(F.lower(x), p.non_vowel_class, ""))
+
+    def marks(w, mark, letter):
+        parts = F.split(w, mark)
+        return F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.concat(
+            F.lit(f"<{letter}"), vowels(F.array_join(F.slice(parts, 1, i + 1), "")).cast("string"), F.lit(">"))), "")
 
     def tag(w):
-        clean = F.regexp_replace(w, ACUTE, "")
-        parts = F.split(w, ACUTE)
-        marks = F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1),
-                                         lambda x, i: F.concat(F.lit("<S"), vowels(
-                                             F.array_join(F.slice(parts, 1, i + 1), "")).cast("string"),
-                                             F.lit(">"))), "")
-        cnt = F.concat(F.lit("<count"), vowels(clean).cast("string"), F.lit(">")) if add_count else F.lit("")
-        return F.when(~w.contains(ACUTE), w).otherwise(F.concat(marks, cnt, F.lit(" "), clean))
-
-    return F.array_join(F.transform(F.split(stressed, " "), tag), " ")
+        cnt = F.concat(F.lit("<count"), vowels(w).cast("string"), F.lit(">")) if add_count else F.lit("")
+        tags = F.concat(marks(w, ACUTE, "S"), marks(w, GRAVE, "s"), cnt)
+        clean = T.strip_diacritics(w)
+        return F.when(vowels(w) == 0, w).when(tags == "", clean).otherwise(F.concat(tags, F.lit(" "), clean))
+
+    return F.array_join(F.transform(F.split(stressed, " "), lambda t: F.array_join(
+        F.transform(F.split(t, "-"), tag), " - ")), " ")
 
 
 def syllable_encode(line, prof: Profile | str = LATIN) -> Column:

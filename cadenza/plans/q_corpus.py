@@ -66,19 +66,46 @@ def q_stress_render(spark, sf):
     return lines.select("doc_id", "line_no", stress.render_line("text").alias("stressed"))
 
 
+def _tag_sql(w: str) -> str:
+    a, g = "chr(769)", "chr(768)"
+    return (f"CASE WHEN {vowels_sql(w)} = 0 THEN {w} ELSE "
+            f"CASE WHEN strpos({w}, {a}) > 0 THEN '<S' || CAST({vowels_sql(f'split_part({w}, {a}, 1)')} AS VARCHAR) || '>' ELSE '' END || "
+            f"CASE WHEN strpos({w}, {g}) > 0 THEN '<s' || CAST({vowels_sql(f'split_part({w}, {g}, 1)')} AS VARCHAR) || '>' ELSE '' END || "
+            f"'<count' || CAST({vowels_sql(w)} AS VARCHAR) || '> ' || replace(replace({w}, {a}, ''), {g}, '') END")
+
+
+# marked lines with every case: words with acute, without and with grave mark in turn, the last two hyphenated
+_MIXED_SQL = f"""{_RENDER_SQL},
+mx AS (SELECT doc_id, line_no, regexp_replace(array_to_string(list_transform(rws, lambda w, i:
+         CASE i % 3 WHEN 1 THEN w WHEN 2 THEN replace(w, chr(769), '') ELSE replace(w, chr(769), chr(768)) END), ' '),
+         ' ([^ ]+)$', '-\\1') AS stressed FROM rw)"""
+
+
 @register("stress_markup", f"""
-WITH {_RENDER_SQL}
-SELECT doc_id, line_no, array_to_string(list_transform(rws, lambda w:
-    CASE WHEN strpos(w, chr(769)) = 0 THEN w ELSE
-      '<S' || CAST({vowels_sql("split_part(w, chr(769), 1)")} AS VARCHAR) || '><count'
-      || CAST({vowels_sql("replace(w, chr(769), '')")} AS VARCHAR) || '> ' || replace(w, chr(769), '') END), ' ') AS markup
-FROM rw""")
+WITH {_MIXED_SQL}
+SELECT doc_id, line_no, array_to_string(list_transform(string_split(stressed, ' '), lambda t:
+    array_to_string(list_transform(string_split(t, '-'), lambda w: {_tag_sql('w')}), ' - ')), ' ') AS markup
+FROM mx""")
 def q_stress_markup(spark, sf):
+    """Tags of marked lines; the input has primary, secondary and missing marks and
+    hyphenated words in turn."""
     lines = corpus.lines(documents(spark, sf))
-    r = lines.select("doc_id", "line_no", stress.render_line("text").alias("stressed"))
+    turn = F.transform(T.words("text"), lambda w, i: F.when(i % 3 == 0, stress.render_word(w)).when(i % 3 == 1, w)
+                       .otherwise(F.translate(stress.render_word(w), stress.ACUTE, stress.GRAVE)))
+    mixed = F.regexp_replace(F.array_join(turn, " "), " ([^ ]+)$", "-$1")
+    r = lines.select("doc_id", "line_no", mixed.alias("stressed"))
     return r.select("doc_id", "line_no", stress.stress_markup("stressed").alias("markup"))
 
 
+@register("strip_diacritics", f"""
+WITH {_RENDER_SQL}
+SELECT doc_id, line_no, replace(replace(array_to_string(rws, ' '), chr(769), ''), chr(768), '') AS text FROM rw""")
+def q_strip_diacritics(spark, sf):
+    """Stress marks dropped from the rendered lines."""
+    lines = corpus.lines(documents(spark, sf))
+    return lines.select("doc_id", "line_no", T.strip_diacritics(stress.render_line("text")).alias("text"))
+
+
 @register("syllable_encode", f"""
 WITH {LINES_CTE}
 SELECT doc_id, line_no, array_to_string(list_reverse(list_transform({words_sql('text')},
@@ -155,17 +182,25 @@ def q_edge_consonants(spark, sf):
                     F.length(F.regexp_extract("word", nv + "*$", 0)).cast("int").alias("trail_cons"))
 
 
-# Separators of the template tokenizer.
-TEMPLATE_SEPARATORS = r"[\s.,;:!?\"'«»()\-–—…]+"
+# Separators of the template tokenizer (besides white space).
+TEMPLATE_SEPARATORS = "[+<>`~;.,?？!-…№”“„{}/'\"–—_:«»*]()）》"
+_SEP_CLASS = "[\\s" + "".join("\\" + c if c in "[]-^" else c for c in TEMPLATE_SEPARATORS) + "]+"
+_SEP_SQL = _SEP_CLASS.replace("'", "''")
 
 
 @register("template_tokens", f"""
 WITH {LINES_CTE}
-SELECT doc_id, line_no, array_to_string(list_filter(string_split_regex(translate(lower(text), 'ё', 'е'),
-    '[\\s.,;:!?"''«»()\\-–—…]+'), lambda x: x <> ''), ' ') AS tokens
+SELECT doc_id, line_no, array_to_string(list_transform(list_filter(string_split_regex(text, '{_SEP_SQL}'), lambda x: x <> ''),
+    lambda x: CASE WHEN strpos(x, '°') > 1 AND strpos(x, '°') < length(x) AND NOT regexp_matches(x, '[0-9]')
+                   THEN lower(x) ELSE translate(lower(x), 'ё', 'е') END), ' ') AS tokens
 FROM lines""")
 def q_template_tokens(spark, sf):
-    """Lower-case, ё→е tokens split on the separator class, empties dropped."""
+    """Lower-case tokens split on the separator class, empties dropped; ё→е except in
+    words with an inner degree sign and no digit."""
+    def norm(x):
+        at = F.instr(x, "°")
+        keep = (at > 1) & (at < F.length(x)) & ~x.rlike("[0-9]")
+        return F.when(keep, F.lower(x)).otherwise(F.translate(F.lower(x), "ё", "е"))
     lines = corpus.lines(documents(spark, sf))
-    toks = F.filter(F.split(F.translate(F.lower("text"), "ё", "е"), TEMPLATE_SEPARATORS), lambda x: x != "")
+    toks = F.transform(F.filter(F.split("text", _SEP_CLASS), lambda x: x != ""), norm)
     return lines.select("doc_id", "line_no", F.array_join(toks, " ").alias("tokens"))
