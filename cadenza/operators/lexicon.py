@@ -40,19 +40,34 @@ def stress_conflicts(overrides: DataFrame) -> DataFrame:
     ).where(F.col("n_stresses") > 1)
 
 
+HOT_WORDS = 1_000
+
+
+def _resolved(words: DataFrame, dictionary: DataFrame, prof: Profile | str) -> DataFrame:
+    r = words.join(dictionary, "word", "left").select("word", T.vowel_count("word", prof).alias("n_vowels"), "stress", "origin")
+    some = F.col("n_vowels") > 0
+    return r.select("word", F.when(some, F.coalesce("stress", T.default_stress("n_vowels"))).cast("int").alias("stress"),
+                    F.when(some, F.coalesce("origin", F.lit("default"))).alias("origin"))
+
+
 def stress_lookup(words: DataFrame, dictionary: DataFrame, prof: Profile | str = LATIN) -> DataFrame:
     """Stress of every token: dictionary hit, else the default rule; words
-    without vowels get NULL.  Distinct words are resolved once and joined back."""
-    distinct = words.select("word").distinct()
-    resolved = distinct.join(dictionary, "word", "left").select(
-        "word", T.vowel_count("word", prof).alias("n_vowels"), "stress", "origin")
-    resolved = resolved.select(
-        "word",
-        F.when(F.col("n_vowels") == 0, F.lit(None)).otherwise(
-            F.coalesce(F.col("stress"), T.default_stress("n_vowels"))).cast("int").alias("stress"),
-        F.when(F.col("n_vowels") == 0, F.lit(None)).otherwise(
-            F.coalesce(F.col("origin"), F.lit("default"))).alias("origin"))
-    return words.drop("stress").join(resolved, "word")
+    without vowels get NULL.  Distinct words are resolved once and joined back.
+
+    The ``HOT_WORDS`` most frequent words (a fixed number) are broadcast and their
+    tokens spread over keys that match nothing; no other word can hold more than one
+    token in ``HOT_WORDS``, so the shuffle join has no hot key."""
+    n = words.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    top = n.orderBy(F.desc("_n"), "word").limit(HOT_WORDS).select("word")
+    hot = _resolved(top, dictionary, prof).select("word", F.lit(True).alias("_hot"), F.col("stress").alias("_hs"), F.col("origin").alias("_ho"))
+    tokens = words.drop("stress", "origin")
+    t = tokens.join(F.broadcast(hot), "word", "left")
+    idle = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*tokens.columns), F.lit(4096)).cast("string"))
+    t = t.withColumn("_key", F.when(F.col("_hot"), idle).otherwise(F.col("word")))
+    cold = _resolved(n.select("word"), dictionary, prof).withColumnRenamed("word", "_key")
+    return t.join(cold, "_key", "left").select(
+        *tokens.columns, F.when(F.col("_hot"), F.col("_hs")).otherwise(F.col("stress")).alias("stress"),
+        F.when(F.col("_hot"), F.col("_ho")).otherwise(F.col("origin")).alias("origin"))
 
 
 def deletion_variants(word_col: str = "word", max_dist: int = 1) -> F.Column:
@@ -91,10 +106,9 @@ def nearest_words(queries: DataFrame, vocab: DataFrame, n: int = 5, max_dist: in
 def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame:
     """(word, member, hops): nodes within ``radius`` undirected hops of each
     seed (the seed itself at 0).  One join + distinct per hop on the frontier
-    only; visited pairs are kept with their smallest hop count.  The edge list,
-    the frontier and the visited set are written to the checkpoint directory
-    (reliable ``checkpoint``) each hop, so every hop's plan stays one join
-    deep instead of re-embedding all earlier hops, and survives executor loss."""
+    only.  The edge list and each hop's frontier are checkpointed once (reliable
+    ``checkpoint``); the visited pairs are the union of those frontiers and are
+    never written again."""
     from cadenza.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(seeds.sparkSession)
     und = edges.select(F.col("word").alias("a"), F.col("other").alias("b")).unionByName(
@@ -104,10 +118,9 @@ def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame
     for h in range(1, radius + 1):
         step = (frontier.join(und, frontier["member"] == und["a"])
                 .select("word", F.col("b").alias("member")).distinct())
-        new = step.join(reached.select("word", "member"), ["word", "member"], "left_anti") \
-                  .withColumn("hops", F.lit(h)).checkpoint()
-        reached = reached.unionByName(new).checkpoint()
-        frontier = new
+        frontier = step.join(reached.select("word", "member"), ["word", "member"], "left_anti") \
+                       .withColumn("hops", F.lit(h)).checkpoint()
+        reached = reached.unionByName(frontier)
     return reached
 
 

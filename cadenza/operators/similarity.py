@@ -74,35 +74,51 @@ def novelty_score(docs: DataFrame, index: DataFrame, n: int | None = None, doc_k
 # ---------------------------------------------------------------------------
 # soft token matching (vectors are an input table)
 # ---------------------------------------------------------------------------
-SOFT_SCHEMA = "cand long, ref long, precision double, recall double, f1 double"
+SOFT_SCHEMA = "cand long, ref long, side int, token long, best double"
+SOFT_BLOCK = 512
 
 
-def _soft_match_group(key, pdf):
+def _soft_block(key, pdf):
+    """Best cosine of every token of two blocks against the other block."""
     import numpy as np
     import pandas as pd
-    cand_id, ref_id = int(key[0]), int(key[1])
-    a = np.stack(pdf.loc[pdf["side"] == 0, "embedding"].to_numpy()).astype(np.float64)
-    b = np.stack(pdf.loc[pdf["side"] == 1, "embedding"].to_numpy()).astype(np.float64)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    sim = a @ b.T
-    p = float(sim.max(axis=1).mean())
-    r = float(sim.max(axis=0).mean())
-    f = 2 * p * r / (p + r) if p + r != 0 else 0.0
-    return pd.DataFrame([(cand_id, ref_id, p, r, f)],
-                        columns=["cand", "ref", "precision", "recall", "f1"])
-
-
-def soft_match_score(vectors: DataFrame, pairs: DataFrame, bag_col: str = "label") -> DataFrame:
+
+    def unit(side):
+        x = np.stack(pdf.loc[pdf["side"] == side, "embedding"].to_numpy()).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    if pdf["side"].nunique() < 2:
+        return pd.DataFrame({c: [] for c in ("cand", "ref", "side", "token", "best")})
+    sim = unit(0) @ unit(1).T
+    out = []
+    for side, best in ((0, sim.max(axis=1)), (1, sim.max(axis=0))):
+        out.append(pd.DataFrame({"cand": int(key[0]), "ref": int(key[1]), "side": side,
+                                 "token": pdf.loc[pdf["side"] == side, "token"].to_numpy(), "best": best}))
+    return pd.concat(out)
+
+
+def soft_match_score(vectors: DataFrame, pairs: DataFrame, bag_col: str = "label", token_col: str = "vec_id") -> DataFrame:
     """Greedy soft matching of two token-vector bags (candidate vs reference):
     precision = mean over candidate tokens of the best cosine against the
     reference tokens, recall the reverse, F1 their harmonic mean.
 
-    ``pairs(cand, ref)`` names bag pairs.  Each pair's two bags meet in one
-    group (vectors are replicated once per pair they take part in) and the
-    similarity matrix is a numpy product inside the task: no pair rows."""
-    v = vectors.select(F.col(bag_col).cast("long").alias("bag"), "embedding")
-    c = pairs.join(v.withColumnRenamed("bag", "cand"), "cand").withColumn("side", F.lit(0))
-    r = pairs.join(v.withColumnRenamed("bag", "ref"), "ref").withColumn("side", F.lit(1))
-    both = c.select("cand", "ref", "side", "embedding").unionByName(r.select("cand", "ref", "side", "embedding"))
-    return both.groupBy("cand", "ref").applyInPandas(_soft_match_group, SOFT_SCHEMA)
+    ``pairs(cand, ref)`` names bag pairs.  Bags are cut into blocks of about
+    ``SOFT_BLOCK`` tokens; each pair of blocks is one group with a bounded matrix, which
+    gives every token its best match there; the maxima over blocks, then the means, are
+    ordinary aggregates."""
+    v = vectors.select(F.col(bag_col).cast("long").alias("bag"), F.col(token_col).cast("long").alias("token"), "embedding")
+    size = v.groupBy("bag").agg(F.ceil(F.count(F.lit(1)) / SOFT_BLOCK).cast("int").alias("nb"))
+    p = (pairs.join(size.select(F.col("bag").alias("cand"), F.col("nb").alias("nc")), "cand")
+         .join(size.select(F.col("bag").alias("ref"), F.col("nb").alias("nr")), "ref"))
+
+    def rows(side: int, name: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        x = p.join(v.withColumnRenamed("bag", name), name)
+        return x.select("cand", "ref", F.lit(side).alias("side"), "token", "embedding",
+                        F.pmod(F.xxhash64("token"), F.col(own)).cast("int").alias(mine),
+                        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
+    both = rows(0, "cand", "nc", "nr", "i", "j").unionByName(rows(1, "ref", "nr", "nc", "j", "i"))
+    part = both.groupBy("cand", "ref", "i", "j").applyInPandas(_soft_block, SOFT_SCHEMA)
+    best = part.groupBy("cand", "ref", "side", "token").agg(F.max("best").alias("best"))
+    g = best.groupBy("cand", "ref").agg(F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("precision"),
+                                        F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("recall"))
+    s = F.col("precision") + F.col("recall")
+    return g.withColumn("f1", F.when(s != 0, 2 * F.col("precision") * F.col("recall") / s).otherwise(F.lit(0.0)))
