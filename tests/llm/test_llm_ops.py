@@ -487,3 +487,55 @@ def test_quality(spark, odd, docs, labels):
     mixed = quality(docs.select("doc_id", "lang", "text").unionByName(odd.select("doc_id", "lang", "text")), trusted_ids(labels))
     assert mixed.where("doc_id = 4 and not kept").count() == 0
     assert quality(odd.limit(0), trusted_ids(labels)).count() == 0
+
+
+# pipeline and SQL ------------------------------------------------------------
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op6_dice_licenses"])
+def test_sql(spark, name):
+    import duckdb
+
+    from cadenza.llm.queries import ORACLE, QUERIES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    df = QUERIES[name](spark, SF)
+    rel = con.execute(ORACLE[name])
+    at = [[d[0] for d in rel.description].index(c) for c in df.columns]
+    same([tuple(r) for r in df.collect()], [tuple(r[i] for i in at) for r in rel.fetchall()])
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    """Each stage judged on its own input; the last packs every id of what is left."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from cadenza.llm.common import keep
+    from cadenza.llm.queries import tokenizer_file
+    assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = [re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in bench]
+
+    def leaked(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        own = {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+        return any(len(own & g) >= 0.5 * len(g) for g in items)
+    for name, stage in P.STAGES[:-1]:
+        out = keep(stage(spark, d, SF), "test-stage")
+        assert out.columns == d.columns
+        before, after = texts(d), sorted(i for i, _ in texts(out))
+        if name == "toxicity":
+            bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+            gone = {i for i, _ in before} - set(after)
+            assert len(gone) <= 0.2 * len(before) and len(gone & bad) >= 0.5 * len(bad)
+        else:
+            want = {"exact_dedup": lambda: [i for i, _, _, k in brute_exact(before) if k],
+                    "near_dedup": lambda: [i for i, c, _ in brute_classes(before) if i == c],
+                    "decontamination": lambda: [i for i, t in before if not leaked(t)]}[name]()
+            assert after == sorted(want), name
+        d = out
+    r = P.STAGES[-1][1](spark, d, SF).toPandas()
+    tok = Tokenizer.from_file(tokenizer_file())
+    assert dict(r.groupby("doc_id").length.sum()) == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts(d)}
+    whole = P.run(spark, SF).toPandas()
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, whole[key].to_numpy().tolist())) == sorted(map(tuple, r[key].to_numpy().tolist()))
