@@ -5,12 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from cadenza.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "benchmark", "conversations", "labels", "embeddings", "events"]
-NAMES = ["poem_metre", "line_metre_errors", "quatrains", "rhyme_score", "scorecard", "novelty_score",
-         "train_test_split", "nearest_words", "dictionary_merge", "stress_lookup", "sentence_chunks",
-         "flag_bad_pairs", "usage_stats", "vocab_build", "soft_match_score"]
+registry.load_all()
+NAMES = sorted(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
