@@ -4,7 +4,8 @@ A text's segments are its lines and, if it has several, the whole text.  A
 segment is normalised to lower-case words; its distinct word bigrams are compared
 with those of each licence template: ``2 |A n B| / (|A| + |B|)``.  A Dice of ``t``
 needs ``|A|`` between ``t / (2 - t) |B|`` and ``(2 - t) / t |B|``, so only templates
-whose bounds admit the segment's size are compared.  All of it happens inside the
+whose bounds admit the segment's size are compared; segments with too many distinct words for any
+template are left out before their bigrams are made.  All of it happens inside the
 row: nothing is shuffled.
 
 Cases: null, empty and one-word segments match nothing; the best match of a text
@@ -70,19 +71,32 @@ def _dices(b: Column, threshold: float) -> Column:
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per text: ``doc_id, license, dice, line, licenses`` (sorted, comma-joined), ``n_lines``."""
-    least = min(bounds(len(t), threshold)[0] for t in TEMPLATE_BIGRAMS)
-    t = F.regexp_replace(F.lower(text_of()), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split(t, "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.regexp_replace(t, "\n", " "))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(F.concat(whole, lines), lambda x: F.filter(F.split(x, " "), lambda y: y != ""))
+    sizes = [bounds(len(t), threshold) for t in TEMPLATE_BIGRAMS]
+    least, most = min(x for x, _ in sizes), max(x for _, x in sizes)
+    # one step a select: what a step uses more than once is not computed more than once
+    d = docs.select("doc_id", F.regexp_replace(F.lower(text_of()), r"[^\p{L}\p{N}\n]+", " ").alias("t"))
+    d = d.select("doc_id", "t", F.split("t", "\n").alias("lines"))
+    lines = F.col("lines")
+    whole = F.when(F.size(lines) > 1, F.array(F.translate("t", "\n", " "))).otherwise(F.array().cast("array<string>"))
+
+    def words(x: Column) -> Column:
+        return F.filter(F.split(x, " "), lambda y: y != "")
+
+    def admitted(w: Column) -> Column:
+        """Words of a segment whose bigrams may be within some template's bounds: a text
+        of n distinct words has n - 1 distinct bigrams or more."""
+        n = F.size(w)
+        fits = F.when(n - 1 <= most, n - 1 >= least).otherwise(F.size(F.array_distinct(w)) - 1 <= most)
+        return F.when(fits, w).otherwise(F.array().cast("array<string>"))
 
     def grams(w: Column) -> Column:
         n = F.size(w) - 1
         pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.when(n >= least, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-    best = F.transform(F.transform(words, grams), lambda b: F.when(F.size(b) > 0, _dices(b, threshold)))
+    segments = F.transform(F.transform(F.concat(whole, lines), words), admitted)
+    best = F.transform(F.transform(segments, grams), lambda b: F.when(F.size(b) > 0, _dices(b, threshold)))
     first = F.when(F.size(lines) > 1, F.lit(-1)).otherwise(F.lit(0))
-    d = docs.select("doc_id", best.alias("best"), first.alias("first"))
+    d = d.select("doc_id", best.alias("best"), first.alias("first"))
     hits = F.filter(F.transform("best", lambda m, i: F.struct(m["dice"].alias("dice"), m["t"].alias("t"),
                                                               (-(i + F.col("first"))).alias("line"))),
                     lambda m: m["dice"].isNotNull())
