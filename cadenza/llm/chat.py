@@ -152,21 +152,40 @@ def events(messages: DataFrame, schemas: dict | None = None, derive: bool = True
     return m.mapInArrow(_event_rows(schemas or SCHEMAS, derive), _EVENT)
 
 
-def _levels(edges: DataFrame, calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Longest-path levels of ``calls (conv_id, call_id)`` by frontier rounds (Kahn): a
-    round settles the calls whose dependencies are all settled."""
-    waiting = keep(edges, "chat-edges")
-    open_ = keep(calls.distinct(), "chat-open")
-    done = None
-    for level in range(max_rounds):
-        free = keep(open_.join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"), "chat-free")
-        if free.isEmpty():
-            break
-        step = free.withColumn("level", F.lit(level).cast("long"))
-        done = step if done is None else done.unionByName(step)
-        open_ = keep(open_.join(free, ["conv_id", "call_id"], "left_anti"), "chat-open")
-        waiting = keep(waiting.join(free.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left_anti"), "chat-edges")
-    return done if done is not None else calls.withColumn("level", F.lit(None).cast("long")).limit(0)
+def _levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """Longest-path levels of ``calls (conv_id, call_id)``; cyclic calls and those behind
+    them have no row.  A call with one dependency points at it, and pointers are doubled
+    until they end at a call with none or several, so a chain of n calls takes log n
+    rounds.  The other calls are settled by frontier rounds (Kahn) until nothing changes."""
+    key = ["conv_id", "call_id"]
+    edges = keep(edges.where("call_id is not null").distinct(), "chat-edges")
+    calls = calls.where("call_id is not null").distinct()
+    one = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("anc")).where("n = 1")
+    one = keep(one.select(*key, "anc", F.lit(1).cast("long").alias("dist")), "chat-pointers")
+    longest = one.groupBy("conv_id").count().agg(F.max("count").alias("n")).collect()[0]["n"] or 0
+    ends = one.select("conv_id", F.col("call_id").alias("anc"))
+    ptr = one
+    for _ in range(longest.bit_length()):
+        step = ptr.select("conv_id", F.col("call_id").alias("anc"), F.col("anc").alias("_a"), F.col("dist").alias("_d"))
+        ptr = keep(ptr.join(step, ["conv_id", "anc"], "left").select(
+            *key, F.coalesce("_a", "anc").alias("anc"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist")), "chat-pointers")
+    ptr = keep(ptr.join(ends, ["conv_id", "anc"], "left_anti"), "chat-pointers")        # a pointer into a cycle never ends
+    via = ptr.select("conv_id", F.col("call_id").alias("parent"), "anc", "dist")
+    waiting = keep(edges.join(one, key, "left_anti").join(via, ["conv_id", "parent"], "left")
+                   .select(*key, F.coalesce("anc", "parent").alias("parent"), (F.coalesce("dist", F.lit(0)) + 1).alias("w"),
+                           F.lit(None).cast("long").alias("v")), "chat-waiting")
+    free = keep(calls.join(edges, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")), "chat-free")
+    done = free
+    while not free.isEmpty():
+        ready = free.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("_l"))
+        waiting = keep(waiting.join(ready, ["conv_id", "parent"], "left")
+                       .select(*key, "parent", "w", F.coalesce("v", F.col("_l") + F.col("w")).alias("v")), "chat-waiting")
+        free = keep(waiting.groupBy(*key).agg(F.max("v").alias("level"), F.count(F.lit(1)).alias("n"), F.count("v").alias("k"))
+                    .where("n = k").select(*key, "level"), "chat-free")
+        waiting = keep(waiting.join(free, key, "left_anti"), "chat-waiting")
+        done = keep(done.unionByName(free), "chat-done")
+    base = done.select("conv_id", F.col("call_id").alias("anc"), F.col("level").alias("_l"))
+    return done.unionByName(ptr.join(base, ["conv_id", "anc"]).select(*key, (F.col("_l") + F.col("dist")).alias("level")))
 
 
 def link_calls(messages: DataFrame, schemas: dict | None = None, derive: bool = True) -> DataFrame:
@@ -192,13 +211,20 @@ def link_calls(messages: DataFrame, schemas: dict | None = None, derive: bool =
          .join(forward.withColumn("_hard", F.lit(True)), "conv_id", "left"))
     # sort key of a call: its turn, or its level where turn order does not do; cyclic calls last
     c = c.withColumn("_o", F.when(F.col("_hard"), F.coalesce("level", F.lit(2**40))).otherwise(F.coalesce("turn", F.lit(-1))))
-    c = keep(c.withColumn("_b", F.floor(F.col("_o") / TURN_BLOCK)), "chat-linked")
-    per = c.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("conv_id", "_b").orderBy("_o", "turn", "call_id", "row")
+    # blocks of turns; where levels rule, blocks of turns of one level
+    c = c.withColumn("_b", F.when(F.col("_hard"), F.col("_o")).otherwise(F.floor(F.col("_o") / TURN_BLOCK)))
+    c = keep(c.withColumn("_b2", F.when(F.col("_hard"), F.floor(F.col("turn") / TURN_BLOCK))), "chat-linked")
+    per = c.groupBy("conv_id", "_b", "_b2").agg(F.count(F.lit(1)).alias("_n")).withColumn("_t", F.floor(F.col("_b") / TURN_BLOCK))
+    tiers = per.groupBy("conv_id", "_t").agg(F.sum("_n").alias("_n"))
+    over = Window.partitionBy("conv_id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    tiers = tiers.select(F.col("conv_id").alias("_c"), F.col("_t").alias("_tt"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_first"))
+    over = Window.partitionBy("conv_id", "_t").orderBy("_b", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    per = (per.withColumn("_inner", F.coalesce(F.sum("_n").over(over), F.lit(0)))
+           .join(tiers, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_t").eqNullSafe(F.col("_tt")))
+           .select("_c", F.col("_b").alias("_bb"), F.col("_b2").alias("_bb2"), (F.col("_first") + F.col("_inner")).alias("_before")))
+    inside = Window.partitionBy("conv_id", "_b", "_b2").orderBy("_o", "turn", "call_id", "row")
     c = (c.withColumn("_i", F.row_number().over(inside))
-         .join(per, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_bb")))
+         .join(per, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_bb")) & F.col("_b2").eqNullSafe(F.col("_bb2")))
          .withColumn("position", (F.col("_before") + F.col("_i") - 1).cast("long")))
     out = ["conv_id", "turn", "role", "kind", "call_id", "name", "status", "valid", "errors", "n_results", "unknown_after",
            "level", "position", "json", "result_json"]

@@ -54,3 +54,16 @@ def test_quality_whole_alphabet(spark):
     wide = "".join(map(chr, range(0x20000, 0x20000 + 50_000)))
     g, at, text = text_grams([wide, "", "ab"])
     assert g[at].tolist() == [("\0\0\0" + t)[i:i + 4] for t in (wide, "ab") for i in range(len(t))] and set(text) == {0, 2}
+
+
+# 8 ---------------------------------------------------------------------------
+def test_long_chain_levels(spark):
+    """A chain beyond 10,000 calls (the rest once counted as cyclic), joints, a cycle and what hangs on it."""
+    from cadenza.llm.chat import _levels
+    n = 10_050
+    edges = [(1, f"c{i}", f"c{i - 1}") for i in range(1, n)] + [(1, "m", "c7"), (1, "m", f"c{n - 1}"), (1, "t", "m"),
+             (2, "x", "y"), (2, "y", "x"), (2, "z", "x"), (2, "q", "z"), (2, "q", "r"), (2, "s", "s"), (2, "u", "r")]
+    d = spark.createDataFrame(edges, "conv_id long, call_id string, parent string")
+    calls = spark.createDataFrame(sorted({(c, x) for c, *xs in edges for x in xs}), "conv_id long, call_id string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in _levels(d, calls).collect()}
+    assert got == {(1, f"c{i}"): i for i in range(n)} | {(1, "m"): n, (1, "t"): n + 1, (2, "r"): 0, (2, "u"): 1}
