@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import corpus, metre
+from cadenza.operators import corpus, correct, lexicon as L, metre
+from cadenza.plans.q_lexicon import _DICT_SQL, stress_overrides, stress_sources
 from cadenza.plans.registry import register
 from cadenza.functions import text as T
 from cadenza.plans.sqlbits import LINES_CTE, metre_coef_values, metre_ctes, pattern_sql, vowels_sql, words_sql
@@ -41,7 +42,7 @@ WITH RECURSIVE {LINES_CTE},
 lp AS (SELECT doc_id, line_no, {pattern_sql('text')} AS pattern FROM lines),
 {metre_ctes('lp')},
 coefs(metre, midx, coef, sum_coef) AS (VALUES {metre_coef_values()}),
-le AS (SELECT lp.doc_id, lp.line_no, e.metre, e.strong, e.weak FROM lp JOIN pat_err e ON e.pattern = lp.pattern),
+le AS MATERIALIZED (SELECT lp.doc_id, lp.line_no, e.metre, e.strong, e.weak FROM lp JOIN pat_err e ON e.pattern = lp.pattern),
 tot AS (SELECT doc_id, line_no, sum(strong) AS ss, sum(weak) AS ws FROM le GROUP BY doc_id, line_no),
 norm AS (
   SELECT le.doc_id, le.metre,
@@ -102,3 +103,76 @@ def q_top_poems(spark, sf):
     w = Window.partitionBy("source").orderBy("score", "doc_id")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10).select(
         "source", "doc_id", "score", F.col("rank").cast("int"))
+
+
+def _marked_stresses(spark, sf):
+    """word -> stresses: all that the override feeds list, else the dictionary's."""
+    over = stress_overrides(spark, sf)
+    listed = over.groupBy("word").agg(F.sort_array(F.collect_set("stress")).alias("l"))
+    dic = L.merge_stress_sources(stress_sources(spark, sf), over)
+    return dic.join(listed, "word", "left").select("word", F.coalesce("l", F.array("stress")).alias("stresses"))
+
+
+def _flag_lines(spark, sf):
+    return correct.flag_lines(corpus.lines(documents(spark, sf)), _marked_stresses(spark, sf))
+
+
+#: flag lines, their templates and the fixes of every (line, metre), syllable by syllable
+_FIX_SQL = f"""{_DICT_SQL}, {LINES_CTE},
+lw AS MATERIALIZED (SELECT doc_id, line_no, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT doc_id, line_no, {words_sql('text')} AS ws FROM lines)),
+marks AS MATERIALIZED (SELECT d.word, coalesce(o.l, [d.stress]) AS l FROM dict d LEFT JOIN (SELECT word, list(DISTINCT stress) AS l FROM ovr GROUP BY word) o USING (word)),
+wn AS MATERIALIZED (SELECT lw.*, {vowels_sql('lw.word')} AS n, m.l FROM lw LEFT JOIN marks m USING (word)),
+wf AS MATERIALIZED (SELECT doc_id, line_no, pos, n, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN CASE WHEN length(word) <= 3 THEN '0' ELSE '1' END
+              ELSE array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(l, i) THEN '1' ELSE '0' END), '') END AS f FROM wn),
+fl AS MATERIALIZED (SELECT doc_id, line_no, array_to_string(list(f ORDER BY pos), '|') AS flags,
+              array_to_string(list(CASE WHEN n = 1 THEN 'A' ELSE translate(f, '10', 'SU') END ORDER BY pos), '') AS pattern FROM wf GROUP BY doc_id, line_no),
+{metre_ctes('fl')},
+dl AS MATERIALIZED (SELECT flags, any_value(pattern) AS pattern FROM fl GROUP BY flags),
+dw AS MATERIALIZED (SELECT flags, pattern, unnest(range(len(a))) AS w, unnest(a) AS f FROM (SELECT flags, pattern, string_split(flags, '|') AS a FROM dl)),
+dp AS MATERIALIZED (SELECT *, coalesce(sum(length(f)) OVER (PARTITION BY flags ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM dw),
+sy AS MATERIALIZED (SELECT dp.flags, dp.w, x.i, length(dp.f) AS n, length(replace(dp.f, '0', '')) AS cnt, substr(dp.f, x.i + 1, 1) AS mark,
+              e.metre, lower(substr(e.template, CAST(dp.at + x.i + 1 AS INT), 1)) AS place
+       FROM dp, unnest(range(20)) AS x(i), pat_err e WHERE x.i < length(dp.f) AND e.pattern = dp.pattern AND NOT e.failed AND e.template <> ''),
+fix AS MATERIALIZED (SELECT flags, metre, w, i AS syl, 'addition' AS kind, 0 AS src FROM sy WHERE cnt = 0 AND place = 's'
+        UNION ALL SELECT a.flags, a.metre, a.w, b.i, CASE WHEN a.cnt = 1 THEN 'correction' ELSE 'resolution' END, a.i
+        FROM sy a JOIN sy b USING (flags, metre, w) WHERE a.n > 1 AND a.mark = '1' AND a.place = 'u' AND b.i <> a.i AND b.place = 's'),
+nfix AS MATERIALIZED (SELECT flags, metre, count(*) FILTER (WHERE kind = 'correction') AS c, count(*) FILTER (WHERE kind = 'resolution') AS r,
+                count(*) FILTER (WHERE kind = 'addition') AS a FROM fix GROUP BY ALL),
+coefs(metre, midx, coef, sum_coef) AS (VALUES {metre_coef_values()}),
+le AS MATERIALIZED (SELECT fl.doc_id, fl.line_no, fl.flags, e.metre, e.strong + coalesce(n.c, 0) AS strong, e.weak
+       FROM fl JOIN pat_err e USING (pattern) LEFT JOIN nfix n ON n.flags = fl.flags AND n.metre = e.metre),
+sh AS MATERIALIZED (SELECT doc_id, line_no, metre, CASE WHEN sum(strong) OVER w <> 0 THEN strong / sum(strong) OVER w ELSE strong END AS s,
+              CASE WHEN sum(weak) OVER w <> 0 THEN weak / sum(weak) OVER w ELSE weak END AS w
+       FROM le WINDOW w AS (PARTITION BY doc_id, line_no)),
+pm AS MATERIALIZED (SELECT doc_id, metre, round(c.sum_coef + (sum(s) + sum(w) / 2.0) * c.coef / count(*), 9) AS score, count(*) AS num_lines
+       FROM sh JOIN coefs c USING (metre) GROUP BY doc_id, metre, c.sum_coef, c.coef, c.midx
+       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, c.midx) = 1)"""
+
+
+@register("poem_metre_corrected", f"""
+WITH RECURSIVE {_FIX_SQL}
+SELECT doc_id, metre, score, num_lines FROM pm""")
+def q_poem_metre_corrected(spark, sf):
+    """Best metre when every stress that would have to move counts as a strong error."""
+    return correct.poem_metre_corrected(_flag_lines(spark, sf))
+
+
+@register("improved_stress", f"""
+WITH RECURSIVE {_FIX_SQL},
+used AS (SELECT fl.doc_id, fl.line_no, fl.flags, pm.metre FROM fl JOIN pm USING (doc_id)),
+moved AS (SELECT flags, metre, w, syl FROM fix WHERE kind <> 'addition' QUALIFY row_number() OVER (PARTITION BY flags, metre, w ORDER BY src DESC, syl DESC) = 1),
+added AS (SELECT flags, metre, w, list(syl) AS syls FROM fix WHERE kind = 'addition' GROUP BY ALL),
+lm AS (SELECT DISTINCT flags, metre FROM used),
+nw AS (SELECT dp.flags, lm.metre, dp.w, CASE WHEN dp.f = '' THEN '' ELSE array_to_string(list_transform(range(length(dp.f)), lambda i:
+         CASE WHEN list_contains(coalesce(a.syls, []), i) THEN '1' WHEN m.syl IS NOT NULL THEN CASE WHEN m.syl = i THEN '1' ELSE '0' END
+              ELSE substr(dp.f, CAST(i + 1 AS INT), 1) END), '') END AS f
+       FROM dp JOIN lm USING (flags) LEFT JOIN moved m ON m.flags = dp.flags AND m.metre = lm.metre AND m.w = dp.w
+       LEFT JOIN added a ON a.flags = dp.flags AND a.metre = lm.metre AND a.w = dp.w),
+im AS (SELECT flags, metre, array_to_string(list(f ORDER BY w), '|') AS improved FROM nw GROUP BY flags, metre)
+SELECT u.doc_id, u.line_no, u.flags, im.improved, CAST(coalesce(n.c, 0) AS INT) AS n_corrections, CAST(coalesce(n.r, 0) AS INT) AS n_resolutions,
+       CAST(coalesce(n.a, 0) AS INT) AS n_additions
+FROM used u JOIN im USING (flags, metre) LEFT JOIN nfix n ON n.flags = u.flags AND n.metre = u.metre""")
+def q_improved_stress(spark, sf):
+    """Stress flags of every line after the corrections of its poem's metre."""
+    lines = _flag_lines(spark, sf)
+    return correct.improved_stress(lines, correct.poem_metre_corrected(lines))

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that it registers its queries."""
     from cadenza.plans import (  # noqa: F401
-        q_corpus, q_curate, q_lexicon, q_metre, q_rhyme, q_similarity, q_sinks, q_stats, q_streams, q_tokens,
+        q_align, q_corpus, q_curate, q_lexicon, q_metre, q_phonetics, q_rhyme, q_similarity, q_sinks, q_stats, q_streams, q_tokens,
     )
