@@ -41,3 +41,9 @@ def syllables(word_df: DataFrame, prof: Profile | str = LATIN,
     s = word_df.select(*keys, "stress", F.posexplode(T.syllables("word", prof)).alias("syl_pos", "syllable"))
     return s.select(*keys, "syl_pos", "syllable",
                     F.coalesce(F.col("syl_pos") + 1 == F.col("stress"), F.lit(False)).alias("stressed"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-element ``explode``: expressions above read the columns as values and
+    are not merged with the (large) expressions that made them.  Nothing is shuffled or written."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_s")).select("_s.*")

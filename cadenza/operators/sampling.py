@@ -75,3 +75,25 @@ def split_fraction(df: DataFrame, keys: list[str], frac: float = 0.9, seed: int
     r = _hash_order(df.select(*keys), keys, seed, total="_total")
     return r.select(*keys, F.when(F.col("rn") <= F.floor(F.col("_total") * frac), "train")
                     .otherwise("test").alias("split"))
+
+
+def rank_weights(keys: Column) -> Column:
+    """``ARRAY<STRUCT<rank, key>>`` of an array of distinct keys: most spaces and letters first (spaces
+    plus a fourth of the length), ties by key; rank r has the weight 1/r."""
+    def size(k: Column) -> Column:
+        return F.length(k) - F.length(F.replace(k, F.lit(" "), F.lit(""))) + F.floor(F.length(k) / 4)
+    ordered = F.array_sort(F.transform(keys, lambda k: F.struct((-size(k)).alias("s"), k.alias("key"))))
+    return F.transform(ordered, lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["key"].alias("key")))
+
+
+def uniform(*keys: str, seed: int = 42) -> Column:
+    """A number between 0 and 1, fixed by the keys and the seed."""
+    return (F.conv(F.substring(seeded_hash(*keys, seed=seed), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def weighted_pick(rows: DataFrame, group: str, key: str, weight: Column, seed: int = 42) -> DataFrame:
+    """One key per group with probability in proportion to its weight: the largest ``u ** (1 / weight)``
+    (as a logarithm) wins.  The largest of parts is the largest of all, so tasks combine their rows before
+    the shuffle and a hot group is one row per task."""
+    score = F.log(uniform(group, key, seed=seed)) / weight
+    return rows.groupBy(group).agg(F.max_by(F.col(key), F.struct(score.alias("s"), F.col(key).alias("k"))).alias(key), F.count("*").alias("n_keys"))

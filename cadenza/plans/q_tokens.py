@@ -9,7 +9,7 @@ from cadenza.functions import text as T
 from cadenza.operators import corpus, rhyme
 from cadenza.plans.q_corpus import _SIG_CTE, _WORDS_CTE
 from cadenza.plans.registry import register
-from cadenza.plans.sqlbits import LINES_CTE, PAIRS_CTE, clausula_ctes, last_word_sql
+from cadenza.plans.sqlbits import LINES_CTE, clausula_ctes, last_word_sql
 from cadenza.sources.fixtures import documents, table
 
 # Particles that keep a hyphenated word whole.
@@ -244,16 +244,15 @@ def q_vocab_vectors(spark, sf):
     return _with_one_row(v.drop("dim"), head)
 
 
-@register("answers_join", f"""
-WITH {PAIRS_CTE},
-a AS (SELECT conv_id, turn, output FROM pairs WHERE conv_id % 2 = 0),
-q AS (SELECT conv_id, turn, input FROM pairs WHERE turn < 4)
+@register("answers_join", """
+WITH q AS (SELECT conv_id, turn, text AS input FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS output FROM conversations WHERE role = 'assistant')
 SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.turn, a.turn) AS turn, q.input, a.output
 FROM q FULL OUTER JOIN a ON q.conv_id = a.conv_id AND q.turn = a.turn""")
 def q_answers_join(spark, sf):
-    """Generated answers (even conversations) attached to source rows (first turns) by row key, full outer."""
-    from cadenza.plans.q_curate import _pairs
-    p = _pairs(spark, sf)
-    a = p.where("conv_id % 2 = 0").select("conv_id", "turn", "output")
-    q = p.where("turn < 4").select("conv_id", "turn", "input")
+    """Every source row (user turn) with its generated answer (the assistant turn right after it) by row
+    key, full outer: sources without an answer and answers without a source stay."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("input"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
     return q.join(a, ["conv_id", "turn"], "full").select("conv_id", "turn", "input", "output")

@@ -26,6 +26,13 @@ from cadenza.operators.usage import EVENT_TYPES
 from cadenza.session import ensure_checkpoint_dir
 
 MAX_FILES = 64
+#: Schemas of the tables that are streamed: later files may differ in how they store a number, so the
+#: schema is not taken from whichever file is listed first.  Other tables use a footer.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 
 
 def _root(spark: SparkSession) -> str:
@@ -45,7 +52,8 @@ def _is_directory(spark: SparkSession, path: str) -> bool:
 def _source(spark: SparkSession, path: str, max_files: int) -> DataFrame:
     """File stream over a table directory, or over one file (the file source watches
     directories; a name filter selects the file)."""
-    schema = spark.read.parquet(path).schema  # footer only
+    table = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
+    schema = SCHEMAS.get(table) or spark.read.parquet(path).schema  # footer only
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if _is_directory(spark, path):
         return r.parquet(path)

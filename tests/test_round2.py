@@ -55,7 +55,7 @@ def test_stream_usage_equals_batch_and_resumes(spark, unordered):
     seen = sorted(os.listdir(f"{root}/checkpoint/commits"))
     assert rows(streams.stream_usage(spark, path, max_files=1)) == batch      # nothing read twice
     assert sorted(os.listdir(f"{root}/checkpoint/commits")) == seen
-    more = spark.read.parquet(path).limit(7).withColumn("user_id", F.lit(10**9))
+    more = spark.read.parquet(path).limit(7).withColumn("user_id", F.lit(10**9).cast("long"))
     more.coalesce(1).write.mode("append").parquet(path)                       # a later file is added
     assert rows(streams.stream_usage(spark, path, max_files=1)) == rows(daily_usage(spark.read.parquet(path)))
 
