@@ -17,7 +17,9 @@
    is numbered without gathering it in one task.
 
 Cases: null and empty texts are plain messages; a text that starts like JSON but
-does not parse is plain; null arguments are an empty object; results without a
+does not parse is plain; null arguments are an empty object; lone surrogates are written as their
+escapes, and NaN or infinite numbers are violations, written as strings; a null conversation links
+nothing (its calls stay unanswered, its results are orphans), a null turn sorts first; results without a
 call are orphans, calls without a result unanswered; a dependency on an unknown
 call is counted and ignored; repeated rows are separate messages (equal
 identifiers link to the same result); an empty table gives an empty result;
@@ -27,6 +29,8 @@ further columns are ignored.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,15 +48,32 @@ SCHEMAS: dict[str, dict[str, tuple[str, bool, int | None]]] = {
 }
 _TYPES = {"string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool),
           "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
-          "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+          "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v),
           "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
 
 _EVENT = ("conv_id long, turn long, role string, kind string, call_id string, name string, after array<string>, "
           "errors array<string>, json string")
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def whole(text: str) -> str:
+    """The text with lone surrogates (which no UTF-8 text can hold) as their escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def finite(value):
+    """The value with numbers that JSON does not have (NaN, infinities) as their names."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return str(value)
+    if isinstance(value, dict):
+        return {k: finite(v) for k, v in value.items()}
+    return [finite(v) for v in value] if isinstance(value, list) else value
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return whole(json.dumps(finite(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def check(name: str | None, arguments, schemas: dict) -> list[str]:
@@ -69,7 +90,7 @@ def check(name: str | None, arguments, schemas: dict) -> list[str]:
             out.append(f"{field} is no {kind}")
         elif top is not None and (len(arguments[field]) if kind in ("string", "array") else arguments[field]) > top:
             out.append(f"{field} over {top}")
-    return sorted(out + [f"unexpected {f}" for f in arguments if f not in schema])
+    return sorted(out + [f"unexpected {whole(f)}" for f in arguments if f not in schema])
 
 
 def _parsed(text: str | None):
@@ -84,7 +105,7 @@ def _parsed(text: str | None):
 
 
 def _text(v) -> str | None:
-    return v if v is None or isinstance(v, str) else canonical(v)
+    return v if v is None else whole(v) if isinstance(v, str) else canonical(v)
 
 
 def _events(conv, turn, role, text, previous, schemas: dict, derive: bool) -> Iterator[tuple]:

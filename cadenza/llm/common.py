@@ -40,6 +40,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])).parquet(path)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with every nested field nullable."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind
+
+
+def keep_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`keep`, in as many buckets of ``key`` as the session has shuffle partitions: joins and
+    groupings on ``key`` find the rows in place."""
+    spark = df.sparkSession
+    full = f"cadenza_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cadenza-llm/{full}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(full)
+    _MADE.append((spark, path))
+    return spark.table(full)
+
+
 def clear() -> None:
     """Remove the scratch tables written by :func:`keep`."""
     while _MADE:

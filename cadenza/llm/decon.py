@@ -9,11 +9,14 @@ the benchmark) inside the scan; the few survivors are hash-joined with the
 benchmark's windows.  Windows that keep the same distance between document and
 item form an alignment; within one, the values in the placeholders must map one
 to one between item and document, so a question with new numbers and names is
-caught and an accidental match of shape is not.  A document is contaminated by
-an item when consistent alignments cover at least half of the item's windows.
-
-Cases: null and empty texts have no windows; items of five to seven words have
-one window of all their words, shorter ones cannot be matched; very long texts
+caught and an accidental match of shape is not.  The mapping is the majority's: of several
+values for one slot value the most frequent holds, and only the windows with another one are
+dropped.  Windows whose slots equal the item's always count.  A document is contaminated by
+an item when the remaining windows cover at least half of the item's, or when ``VERBATIM`` words
+in a row stand in it unchanged.
+
+Cases: null and empty texts have no windows; items of up to seven words have one window of all their
+words, and those under ``SHORTEST`` words match only texts that consist of them; very long texts
 are scanned whole; equal windows of an item count once; repeated rows get equal
 results; an empty benchmark or table flags nothing; further columns are ignored
 (``drop_contaminated`` keeps them).
@@ -27,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import arrow_ready, bucket_of, in_buckets, keep, shield, unshield
 from cadenza.llm.words import pieces, windows
 
 WIDTH, SHORTEST, COVER = 8, 5, 0.5
+VERBATIM = 20      # words of an item in a row that give a document away whatever their share
 FILTER_BITS = 25
 #: fixed values: units of measure, as lower-case words
 UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres
@@ -109,8 +113,6 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             forms, word, vocab, off = templates(part.column("text"))
             n = np.diff(off)
             for slot, wh, item, pos in _form_windows(forms, off, WIDTH):
-                ok = n[item] >= SHORTEST
-                wh, item, pos = wh[ok], item[ok], pos[ok]
                 width = np.minimum(n[item], WIDTH)
                 b1, b2 = _bits(wh)
                 yield pa.RecordBatch.from_arrays([
@@ -128,7 +130,7 @@ def _doc_windows(bits: np.ndarray, widths: list[int]):
                 n = np.diff(off)
                 for w in widths:
                     for slot, wh, doc, pos in _form_windows(forms, off, w):
-                        ok = n[doc] >= w
+                        ok = n[doc] >= w if w >= SHORTEST else n[doc] == w
                         for b in _bits(wh):
                             at = np.flatnonzero(ok)
                             b = b[at]
@@ -146,8 +148,8 @@ def _key() -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``k`` (row key of a document), ``item_id``, ``coverage``: every document and
-    item with a consistent alignment."""
+    """``k`` (row key of a document), ``item_id``, ``coverage``, ``verbatim``: every document and
+    item with a consistent window."""
     spark = docs.sparkSession
     arrow_ready(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
@@ -169,20 +171,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                .select("k", "item_id", "idx", (F.col("pos") - F.col("idx")).alias("shift"), "item_slots", "doc_slots"),
                "decon-met")
     align = ["k", "item_id", "shift"]
+    met = met.withColumn("same", F.coalesce(F.col("item_slots") == F.col("doc_slots"), F.lit(False)))
     pair = (met.where(F.size("item_slots") > 0)
             .select(*align, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
-            .select(*align, F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y")).distinct())
+            .groupBy(*align, F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    pair = keep(pair, "decon-pairs")
     clash = (pair.groupBy(*align).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("nx"),
                                       F.countDistinct("y").alias("ny"))
              .where("n > nx or n > ny").select(*align))
-    good = met.join(clash, align, "left_anti").select("k", "item_id", "idx").distinct()
-    return (good.groupBy("k", "item_id").agg(F.count(F.lit(1)).alias("seen")).join(n, "item_id")
-            .select("k", "item_id", (F.col("seen") / F.col("n")).alias("coverage")))
+    # alignments with a clash: the pairs that are most frequent for both their values
+    odd = pair.join(clash, align, "left_semi")
+    by_x = odd.groupBy(*align, "x").agg(F.min(F.struct((-F.col("n")).alias("n"), "y")).alias("b")).select(*align, "x", F.col("b.y").alias("y"))
+    by_y = odd.groupBy(*align, "y").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("b")).select(*align, F.col("b.x").alias("x"), "y")
+    right = by_x.join(by_y, [*align, "x", "y"]).withColumn("right", F.lit(True))
+    window = [*align, "idx"]
+    torn = met.join(clash, align, "left_semi").where(~F.col("same"))
+    wrong = (torn.select(*window, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p"))
+             .select(*window, F.col("p.item_slots").alias("x"), F.col("p.doc_slots").alias("y"))
+             .join(right, [*align, "x", "y"], "left").where(F.col("right").isNull()).select(*window).distinct().withColumn("wrong", F.lit(True)))
+    good = (met.join(wrong, window, "left").where(F.col("same") | F.col("wrong").isNull())
+            .groupBy(*window).agg(F.max("same").alias("same")))
+    good = keep(good, "decon-windows")
+    # unchanged windows in a row of one alignment
+    islands = Window.partitionBy(*align).orderBy("idx")
+    run = (good.where("same").withColumn("_g", F.col("idx") - F.row_number().over(islands))
+           .groupBy(*align, "_g").agg(F.count(F.lit(1)).alias("n")).groupBy("k", "item_id").agg(F.max("n").alias("run")))
+    seen = good.groupBy("k", "item_id").agg(F.countDistinct("idx").alias("seen")).join(n, "item_id")
+    return (seen.join(run, ["k", "item_id"], "left")
+            .select("k", "item_id", (F.col("seen") / F.col("n")).alias("coverage"),
+                    (F.coalesce("run", F.lit(0)) >= VERBATIM - WIDTH + 1).alias("verbatim")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """``k, n_items, item_id, coverage`` of the documents to drop (best item; the smallest at ties)."""
-    hit = overlaps(docs, benchmark).where(F.col("coverage") >= cover)
+    hit = overlaps(docs, benchmark).where((F.col("coverage") >= cover) | F.col("verbatim"))
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("i")))
     return keep(hit.groupBy("k").agg(F.count(F.lit(1)).alias("n_items"), best.alias("_m"))
                 .select("k", "n_items", (-F.col("_m.i")).alias("item_id"), F.col("_m.coverage").alias("coverage")),

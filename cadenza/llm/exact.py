@@ -76,12 +76,17 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``.  Only texts whose length
-    and prefix recur are shuffled."""
+    """Exactly one row of each group of equal texts (one with the smallest doc_id, nulls last), with the
+    columns of ``docs``.  Only texts whose length and prefix recur are shuffled; of a group one row a
+    task is."""
     own = ("doc_id", "text")
+    key = ["_len", "_ph", "_hash"]
     rows = _marked(shield(docs, *own), prefix)
-    g = _groups(rows.select("doc_id", "_len", "_ph", "_hash"))
+    g = _groups(rows.select("doc_id", *key))
     alone = rows.where(F.col("_hash").isNull())
-    again = (rows.where(F.col("_hash").isNotNull()).join(g, ["_len", "_ph", "_hash"], "left")
-             .where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))))
-    return unshield(alone, docs, *own).unionByName(unshield(again, docs, *own))
+    again = rows.where(F.col("_hash").isNotNull()).join(g, key, "left")
+    single = again.where(F.col("group_size").isNull())
+    chosen = again.where(F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    one = chosen.groupBy(*key).agg(F.first(F.struct("doc_id", "text", "_row")).alias("_one")).select("_one.*")
+    parts = [unshield(x, docs, *own) for x in (alone, single, one)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -39,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import arrow_ready, bucket_of, in_buckets, keep, shield, unshield
@@ -166,20 +166,25 @@ def _sign(weights: str, width: int):
                     bands[:, j] = h
                 sketch = (mix(sig) & _U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(fa), pa.array(fb),
+                    part.column("doc_id"), part.column("th"), pa.array(fa), pa.array(fb),
                     pa.array(np.bincount(doc, n, m).astype(np.int64)),
                     pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * BANDS,
                                              pa.array(bands.ravel().astype(np.int64))),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
-                ], ["doc_id", "fa", "fb", "size", "bands", "sketch"])
+                ], ["doc_id", "th", "fa", "fb", "size", "bands", "sketch"])
     return run
 
 
 def signatures(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> DataFrame:
-    """``doc_id, fa, fb`` (fingerprint), ``size`` (total weight), ``bands``, ``sketch``."""
+    """``doc_id, th`` (hash of the text: with doc_id, the row's key), ``fa, fb`` (fingerprint), ``size`` (total
+    weight), ``bands``, ``sketch``."""
     arrow_ready(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(_sign(weights, width), "doc_id long, fa long, fb long, size long, bands array<long>, sketch binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("th"))
+    return d.mapInArrow(_sign(weights, width), "doc_id long, th long, fa long, fb long, size long, bands array<long>, sketch binary")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -319,8 +324,9 @@ def _gram_rows(weights: str, width: int):
     return run
 
 
-def near_classes(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, class_size``."""
+def _classes(docs: DataFrame, weights: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """``(rows, ids)``: the signature rows, and for each fingerprint ``fa, fb, class_id, class_size, head``
+    (whether it is the class's first: smallest doc_id, nulls last, then smallest fingerprint)."""
     sig = keep(signatures(docs, weights, width), "near-signatures")
     full = sig.where("size > 0")
     nodes = (full.groupBy("fa", "fb", "size").agg(
@@ -345,22 +351,43 @@ def near_classes(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> D
     label = components(keep(exact, "near-exact"))
     whole = nodes.select("node", "fa", "fb", "rep", "copies").join(label, "node", "left")
     whole = whole.withColumn("label", F.coalesce("label", "node"))
-    best = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    ids = keep(whole.join(best, "label").select("fa", "fb", "class_id", "class_size"), "near-ids")
+    first = F.struct(F.col("rep").isNull().alias("n"), "rep", "fa", "fb")
+    best = whole.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(first).alias("_f"))
+    head = (F.col("fa") == F.col("_f.fa")) & (F.col("fb") == F.col("_f.fb"))
+    return sig, keep(whole.join(best, "label").select("fa", "fb", "class_id", "class_size", head.alias("head")), "near-ids")
+
+
+def near_classes(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> DataFrame:
+    """One row per input row: ``doc_id, class_id, class_size``."""
+    sig, ids = _classes(docs, weights, width)
     out = sig.select("doc_id", "fa", "fb", (F.col("size") > 0).alias("_full"))
     joined = out.where("_full").join(ids, ["fa", "fb"]).select("doc_id", "class_id", "class_size")
     alone = out.where("not _full").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return joined.unionByName(alone)
 
 
-def drop_near(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """One document of each class (the smallest doc_id), with the columns of ``docs``."""
-    gone = near_classes(docs, weights).where("class_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    gone = keep(gone, "near-gone")
-    # only rows whose bucket holds a dropped id are shuffled
-    own = ("doc_id",)
-    marked = in_buckets(shield(docs, *own), bucket_of(F.col("doc_id").cast("long")),
-                        gone.select(bucket_of(F.col("doc_id")).alias("b")), "_maybe")
+def drop_near(docs: DataFrame, weights: str = "set", width: int = WIDTH) -> DataFrame:
+    """Exactly one row of each class, with the columns of ``docs``: of the class's first fingerprint the row with
+    the smallest doc_id (nulls last), then the smallest text hash.  Rows are told apart by (doc_id, text
+    hash), so a text that only shares its doc_id with a dropped one stays; of rows that repeat both, one
+    stays."""
+    sig, ids = _classes(docs, weights, width)
+    several = ids.where("class_size > 1")
+    row = sig.where("size > 0").select("doc_id", "th", "fa", "fb").join(several, ["fa", "fb"])
+    row = keep(row.groupBy("doc_id", "th", "fa", "fb", "head").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    stays = row.where("head").groupBy("fa", "fb").agg(F.min(order).alias("_s"))
+    fate = (row.join(stays, ["fa", "fb"], "left")
+            .withColumn("stays", F.coalesce(F.col("head") & F.col("doc_id").eqNullSafe(F.col("_s.doc_id")) & (F.col("th") == F.col("_s.th")), F.lit(False))))
+    fate = keep(fate.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "stays"), "near-fate")
+    # only rows whose bucket holds a key with a fate are shuffled
+    own = ("doc_id", "text")
+    key = (F.col("doc_id").cast("long"), F.col("th"))
+    marked = in_buckets(shield(docs, *own).withColumn("th", _text_hash()), bucket_of(*key),
+                        fate.select(bucket_of(F.col("_d"), F.col("_t")).alias("b")), "_maybe")
     sure = marked.where(~F.col("_maybe"))
-    rest = marked.where("_maybe").join(gone, "doc_id", "left_anti")
-    return unshield(sure, docs, *own).unionByName(unshield(rest, docs, *own))
+    rest = marked.where("_maybe").join(fate, key[0].eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    free = rest.where(F.col("stays").isNull())
+    once = rest.where("stays").groupBy("_d", "_t").agg(F.first(F.struct("doc_id", "text", "_row")).alias("_one")).select("_one.*")
+    parts = [unshield(x, docs, *own) for x in (sure, free, once)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

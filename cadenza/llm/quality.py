@@ -10,15 +10,15 @@ these tables are Spark tables sharded by gram; they grow with the trusted text,
 none of them is broadcast or collected.
 
 The texts are written once, compressed, in blocks of about ``BLOCK_BYTES`` with the
-distinct grams of each block; the numbers of a block's trusted texts come to it by a
-join on ids, so no text is shuffled for it.  For scoring, the distinct grams of all blocks meet the model by joins (a gram that
+distinct grams of each block, in buckets by block number; the numbers of a block's trusted texts and
+later the probabilities of its grams come to it, so no text is shuffled.  For scoring, the distinct grams of all blocks meet the model by joins (a gram that
 is not in it backs off to its context's weight and the lower order), and the
 probabilities return to the blocks by gram.  So a join row is a (block, gram) and not
 a (document, gram); a gram has at most one row in each block, so no key is hot.
 
 Perplexity is per character.  A text is kept if its perplexity is at most the
-``QUANTILE`` of trusted texts of its language, times ``SLACK``; languages with fewer
-than ``MIN_TRUSTED`` trusted texts use the quantile over all.  A character that no
+``QUANTILE`` of the trusted texts of its language; ``basis`` says whether its language has any
+(``language``) or not (``none``: there is no threshold and the text is kept).  A character that no
 trusted text has is the unknown symbol, one more beside the seen ones.
 
 Cases: null and empty texts have no perplexity and are kept (nothing speaks
@@ -26,10 +26,6 @@ against them); null language counts as a language of its own; without trusted
 text the unknown symbol is the only one, every perplexity is 1 and everything is
 kept; very long texts are scored whole; repeated rows are scored each; further
 columns pass through.
-
-``codes``, ``gram_counts`` and ``table_of`` give the same model over a small folded
-alphabet as a table of all its grams, against which the tests check ``probabilities``;
-the operator does not use them.
 """
 
 from __future__ import annotations
@@ -43,70 +39,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cadenza.llm.common import arrow_ready, keep, shield
+from cadenza.llm.common import arrow_ready, keep, keep_bucketed, nullable, shield
 from cadenza.llm.words import pieces
 
-ORDER, SYMBOLS = 4, 48
-QUANTILE, SLACK, MIN_TRUSTED = 0.995, 1.1, 50
+ORDER = 4
+QUANTILE = 0.995
 #: Bytes of text whose distinct grams are looked up together
 BLOCK_BYTES = 16 << 20
-#: fixed values: the folded alphabet; 0 is the text border
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "éèêàçäöüßñíó"
-OTHER_LETTER, DIGIT, UPPER, MARK = 45, 46, 44, 47
-
-
-def _classes() -> np.ndarray:
-    out = np.full(65536, MARK, np.uint8)
-    for c in range(65536):
-        ch = chr(c)
-        if ch.isspace():
-            out[c] = 1
-        elif ch.isdigit():
-            out[c] = DIGIT
-        elif ch.isupper():
-            out[c] = UPPER
-        elif ch.isalpha():
-            out[c] = OTHER_LETTER
-    for i, ch in enumerate(LETTERS):
-        out[ord(ch)] = 2 + i
-    for i, ch in enumerate(".,;'"):
-        out[ord(ch)] = 2 + len(LETTERS) + i
-    out[0] = 0
-    return out
-
-
-_TABLE = None
-
-
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Four-gram codes of all texts (three borders before each) and their text numbers.
-    A NUL character in a text counts as a border and is not predicted."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _classes()
-    pad = "\0" * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < 65536, _TABLE[np.minimum(points, 65535)], MARK).astype(np.int64)
-    g = np.zeros(max(0, len(s) - ORDER + 1), np.int64)
-    for j in range(ORDER):
-        g = g * SYMBOLS + s[j:len(s) - ORDER + 1 + j]
-    n = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER - 1
-    text = np.repeat(np.arange(len(texts)), n)[ORDER - 1:]
-    real = s[ORDER - 1:] != 0
-    return g[real], text[real]
-
-
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch):
-            g, n = np.unique(codes([t or "" for t in part.column("text").to_pylist()])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    arrow_ready(texts.sparkSession)
-    return texts.select("text").mapInArrow(_count_rows, "g long, n long").groupBy("g").agg(F.sum("n").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -118,30 +59,30 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return (1 - 2 * y * n[2] / n[1], max(0.0, 2 - 3 * y * n[3] / n[2]), max(0.0, 3 - 4 * y * n[4] / n[3]) if n[3] else 0.9)
 
 
-def _context(g: Column, k: int, text: bool) -> Column:
+def _context(g: Column, k: int, symbols: int) -> Column:
     """A gram of order ``k`` without its last symbol."""
-    return F.substring(g, 1, k - 1) if text else F.floor(g / SYMBOLS)
+    return F.floor(g / symbols) if symbols else F.substring(g, 1, k - 1)
 
 
-def _lower(g: Column, k: int, text: bool) -> Column:
+def _lower(g: Column, k: int, symbols: int) -> Column:
     """A gram of order ``k`` without its first symbol."""
-    return F.substring(g, 2, k - 1) if text else g % SYMBOLS ** (k - 1)
+    return g % symbols ** (k - 1) if symbols else F.substring(g, 2, k - 1)
 
 
-def probabilities(c4: DataFrame, base: float = 1.0 / SYMBOLS) -> list[tuple[DataFrame, DataFrame]]:
+def probabilities(c4: DataFrame, base: float, symbols: int = 0) -> list[tuple[DataFrame, DataFrame]]:
     """Per order 1 to 4: ``(g, p)`` interpolated probabilities of the seen grams and
-    ``(ctx, gamma)`` weights of the lower order.  Grams are strings of characters or
-    codes of the folded alphabet; ``base`` is the probability below order 1."""
-    counts, text = [c4], c4.schema["g"].dataType.simpleString() == "string"
+    ``(ctx, gamma)`` weights of the lower order.  Grams are strings of characters, or numbers to
+    the base ``symbols``; ``base`` is the probability below order 1."""
+    counts = [c4]
     g = F.col("g")
     for k in range(ORDER - 1, 0, -1):            # grams of order k followed by how many left neighbours
-        counts.insert(0, keep(counts[0].select(_lower(g, k + 1, text).alias("g")).groupBy("g")
+        counts.insert(0, keep(counts[0].select(_lower(g, k + 1, symbols).alias("g")).groupBy("g")
                               .agg(F.count(F.lit(1)).alias("c")), f"quality-c{k}"))
     out, lower = [], None
     for k, c in enumerate(counts, 1):
         d = discounts(c)
         disc: Column = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = c.select("g", "c", _context(g, k, text).alias("ctx"), _lower(g, k, text).alias("low"), disc.alias("d"))
+        rows = c.select("g", "c", _context(g, k, symbols).alias("ctx"), _lower(g, k, symbols).alias("low"), disc.alias("d"))
         ctx = keep(rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
                    .withColumn("gamma", F.col("mass") / F.col("total")), f"quality-x{k}")
         j = rows.join(ctx, "ctx")
@@ -151,23 +92,6 @@ def probabilities(c4: DataFrame, base: float = 1.0 / SYMBOLS) -> list[tuple[Data
     return out
 
 
-def table_of(orders: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Log probability of every possible four-gram (bounded by the alphabet), half precision."""
-    p = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
-    for k, (grams, ctx) in enumerate(orders, 1):
-        gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
-        x = ctx.toPandas()
-        gamma[x["ctx"].to_numpy(np.int64)] = x["gamma"].to_numpy(np.float32)
-        # a context without its first symbol is the row of the lower order
-        low = p if k == 1 else np.tile(p, (SYMBOLS, 1))
-        p = gamma[:, None] * low
-        s = grams.toPandas()
-        p.reshape(-1)[s["g"].to_numpy(np.int64)] = s["p"].to_numpy(np.float32)
-        if k < len(orders):
-            p = p.reshape(-1, SYMBOLS)
-    return np.log(np.maximum(p.reshape(-1), 1e-7)).astype(np.float16)
-
-
 def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(distinct four-grams as strings, index of each character's gram, its text number)``
     of all texts (three borders before each), over the whole alphabet.
@@ -239,10 +163,13 @@ def _blocks(cols: list[str]):
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``block, at, texts, grams`` (see :func:`_blocks`), written once."""
-    arrow_ready(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_ready(spark)
     cols = [c for c in docs.columns if c != "text"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return keep(docs.mapInArrow(_blocks(cols), schema + "block long, at long, texts array<binary>, grams array<string>"), "quality-blocks")
+    own = T.StructType.fromDDL("block long, at long, texts array<binary>, grams array<string>")
+    schema = nullable(T.StructType([*(f for f in docs.schema if f.name != "text"), *own]))
+    # in buckets by block: what is joined to a block comes to it, its texts stay
+    return keep_bucketed(docs.mapInArrow(_blocks(cols), schema), "quality_blocks", "block")
 
 
 def _count_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,23 +250,20 @@ def perplexity(blocks: DataFrame, model: tuple[list[tuple[DataFrame, DataFrame]]
     return rows.join(scores, ["block", "at"]).drop("block", "at")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """``docs`` without text, with ``perplexity``, ``threshold`` and ``kept``."""
-    results = ("perplexity", "threshold", "kept")
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``docs`` without text, with ``perplexity``, ``threshold``, ``basis`` and ``kept``."""
+    results = ("perplexity", "threshold", "basis", "kept")
     kept = ("doc_id", "lang", "text")
     blocks = blocks_of(shield(docs.drop(*results), *kept))
     rows = keep(perplexity(blocks, train(blocks, trusted)), "quality-scores")
     t = trusted.select("doc_id").where("doc_id is not null").distinct()
     known = rows.where("perplexity is not null").join(t, "doc_id", "left_semi")
-    q = F.percentile_approx("perplexity", quantile, 10_000)
-    own = known.groupBy("lang").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    every = known.agg(q.alias("q")).collect()[0]["q"]
-    own = own.select(F.col("lang").alias("_l"), (F.col("q") * slack).alias("_q"))   # one row per language
-    j = rows.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
-    limit = F.coalesce("_q", F.lit(every * slack if every is not None else float("inf")))
+    own = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("_q"))   # one row per language
+    j = rows.join(F.broadcast(own.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
     rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in kept + results]
-    ok = F.col("perplexity").isNull() | (F.col("perplexity") <= limit)
-    return j.select("doc_id", "lang", *rest, "perplexity", limit.alias("threshold"), ok.alias("kept"))
+    ok = F.col("perplexity").isNull() | F.col("_q").isNull() | (F.col("perplexity") <= F.col("_q"))
+    basis = F.when(F.col("_q").isNull(), "none").otherwise("language")
+    return j.select("doc_id", "lang", *rest, "perplexity", F.col("_q").alias("threshold"), basis.alias("basis"), ok.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

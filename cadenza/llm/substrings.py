@@ -32,7 +32,6 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import arrow_ready, keep, shared_dir
+from cadenza.llm.common import arrow_ready, keep, keep_bucketed
 from cadenza.llm.words import mix, pieces
 
 BLOCK_BYTES = 4 << 20    # text of one block (a longer text is a block of its own)
@@ -109,12 +108,14 @@ class FMIndex:
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(new)
             done *= 2
-        # classes by exactly ``width`` symbols, in the same order
-        agree = np.ones(n - 1, dtype=bool) if n else np.zeros(0, dtype=bool)
+        # symbols that neighbours in the order have in common, up to ``width``
+        agree, self.common = np.ones(n - 1, dtype=bool), np.zeros(n, dtype=np.int16)
         for j in range(width):
             t = np.roll(text, -j)[order]
             agree &= t[1:] == t[:-1]
-        first = np.flatnonzero(np.concatenate([[True], ~agree]))
+            self.common[1:] += agree
+        self._borders: dict[int, np.ndarray] = {}
+        first = np.flatnonzero(self.common < width)      # classes of suffixes that agree on ``width``
         self.lo = np.repeat(first, np.diff(np.append(first, n)))
         self.hi = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
         owner = np.repeat(np.arange(len(lengths)), lengths + 1)
@@ -128,6 +129,14 @@ class FMIndex:
         a, b = self.bwt.rank(symbol, lo, hi)
         return self.before[symbol] + a, self.before[symbol] + b
 
+    def widen(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first ``depth`` symbols of the suffixes at ``at``."""
+        if depth not in self._borders:
+            self._borders[depth] = np.append(np.flatnonzero(self.common < depth), self.size) if depth else np.array([0, self.size])
+        border = self._borders[depth]
+        i = np.searchsorted(border, at, side="right") - 1
+        return border[i], border[i + 1]
+
     def stream(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of sequences against the index, from their ends to their
         starts: ``(sequence, start, matched, least)`` of every position where at least
@@ -138,10 +147,20 @@ class FMIndex:
         for back in range(1, int(lengths.max(initial=0)) + 1):
             q = np.flatnonzero(lengths >= back)
             s = symbols[offset[q] + lengths[q] - back]
+            known = s < len(self.before) - 1
+            s = np.where(known, s, 0)
             a, b = self.step(s, lo[q], hi[q])
-            lost = a >= b                          # start again with this symbol alone
-            a, b = np.where(lost, self.before[s], a), np.where(lost, self.before[s + 1], b)
-            depth[q] = np.where(lost, 1, depth[q] + 1)
+            lost = np.flatnonzero((a >= b) & known)
+            while len(lost):                       # shorten the match from its end until it can be extended
+                depth[q[lost]] -= 1
+                for d in np.unique(depth[q[lost]]).tolist():
+                    at = lost[depth[q[lost]] == d]
+                    lo[q[at]], hi[q[at]] = self.widen(lo[q[at]], d)
+                a[lost], b[lost] = self.step(s[lost], lo[q[lost]], hi[q[lost]])
+                lost = lost[(a[lost] >= b[lost]) & (depth[q[lost]] > 0)]
+            none = ~known | (a >= b)               # the symbol does not occur
+            a, b = np.where(none, 0, a), np.where(none, self.size, b)
+            depth[q] = np.where(none, 0, depth[q] + 1)
             full = depth[q] > self.width           # widen to the class of ``width`` symbols
             a, b = np.where(full, self.lo[np.minimum(a, self.size - 1)], a), np.where(full, self.hi[np.minimum(a, self.size - 1)], b)
             depth[q] = np.minimum(depth[q], self.width)
@@ -235,11 +254,8 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if held:
             yield one()
 
-    name = f"cadenza_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, payload binary")
-     .write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/cadenza-llm/{name}").saveAsTable(name))
-    return spark.table(name)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return keep_bucketed(d.mapInArrow(pack, "block long, payload binary"), "substring_blocks", "block")
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch]]:

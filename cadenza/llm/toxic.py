@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.llm.common import arrow_ready, keep, shield, text_of, unshield
 from cadenza.llm.words import pieces, words
@@ -185,8 +186,8 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
     ``grade`` (most likely) and ``rejected`` (``p_toxic >= cut``)."""
     arrow_ready(docs.sparkSession)
     docs = docs.drop("severity", "p_toxic", "grade", "rejected")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(_scores(model, docs.columns), schema + ", severity double, p_toxic double, grade int")
+    more = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())]
+    out = docs.mapInArrow(_scores(model, docs.columns), T.StructType([*docs.schema.fields, *more]))
     return out.withColumn("rejected", F.col("p_toxic") >= cut)
 
 

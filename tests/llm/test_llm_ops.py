@@ -230,10 +230,10 @@ def test_decontamination(spark, odd):
             (None, q)]
     d = spark.createDataFrame([(i, t, "clash", 3) for i, t in rows], "doc_id long, text string, coverage string, k int")
     got = collections.Counter((r["doc_id"], r["contaminated"], r["item_id"]) for r in flag_contaminated(d, bench).collect())
-    assert got == collections.Counter({(1, True, 1): 2, (2, True, 1): 1, (3, False, None): 1, (4, False, None): 1, (5, False, None): 1,
+    assert got == collections.Counter({(1, True, 1): 2, (2, True, 1): 1, (3, True, 1): 1, (4, False, None): 1, (5, False, None): 1,
                                        (6, False, None): 1, (7, True, 1): 1, (8, True, 4): 1, (9, False, None): 1, (None, True, 1): 1})
     left = drop_contaminated(d, bench)
-    assert left.columns == d.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 6, 9]
+    assert left.columns == d.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 9]
     assert flag_contaminated(odd, bench.limit(0)).where("contaminated").count() == 0
     assert flag_contaminated(d.limit(0), bench).count() == 0
 
@@ -430,11 +430,15 @@ def test_dart_signatures_estimate_weighted_jaccard():
 # 10 --------------------------------------------------------------------------
 def test_kneser_ney_brute(spark):
     """Probabilities against a direct recursive form of interpolated modified Kneser-Ney."""
-    from cadenza.llm.quality import ORDER, SYMBOLS, codes, discounts, gram_counts, probabilities, table_of
+    from cadenza.llm.quality import ORDER, discounts, probabilities
+    import folded_model
+    from folded_model import SYMBOLS, codes, gram_counts, table_of
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(folded_model)      # workers do not have the tests on their path
     tx = ["the cat sat on the mat, the cat ran.", "a cat and a hat", "the end of the hat", "", "ünïcode ÄÖ 12 $"]
     d = spark.createDataFrame([(t,) for t in tx], "text string")
     c4 = gram_counts(d).cache()
-    table = table_of(probabilities(c4)).astype(np.float64)
+    table = table_of(probabilities(c4, 1.0 / SYMBOLS, SYMBOLS)).astype(np.float64)
     grams = collections.Counter()
     for t in tx:
         for g in codes([t])[0].tolist():

@@ -3,8 +3,6 @@ import collections
 import math
 
 import numpy as np
-import pytest  # noqa: F401
-from pyspark.sql import functions as F  # noqa: F401
 
 
 # 10 --------------------------------------------------------------------------
@@ -67,15 +65,3 @@ def test_long_chain_levels(spark):
     calls = spark.createDataFrame(sorted({(c, x) for c, *xs in edges for x in xs}), "conv_id long, call_id string")
     got = {(r["conv_id"], r["call_id"]): r["level"] for r in _levels(d, calls).collect()}
     assert got == {(1, f"c{i}"): i for i in range(n)} | {(1, "m"): n, (1, "t"): n + 1, (2, "r"): 0, (2, "u"): 1}
-
-
-# README ----------------------------------------------------------------------
-def test_readme_lists_keys_not_built():
-    import os
-    import re
-    keys = """scan_framed_samples scan_multiline_samples sink_scorecard optional_stress phonetic_transcript xword strip_template_tags
-    lemma_cap stop_words yo_restore rhyme_dictionary_keys lexicon_forms related_words keyword_hits improved_stress scheme_from_markup
-    nonstandard_blocks candidate_rank_score subtoken_keywords top_prompts rank_weighted_pick unseen_seeds""".split()
-    with open(os.path.join(os.path.dirname(__file__), "..", "..", "README.md")) as f:
-        part = re.search(r"\*\*Not yet built:\*\*(.*?)\n\n", f.read(), re.S)[1]
-    assert [k for k in keys if f"`{k}`" not in part] == []
