@@ -41,6 +41,7 @@ tok AS MATERIALIZED (SELECT doc_id, block, li, unnest(range(len(ws))) AS k, unne
 listed AS MATERIALIZED (SELECT x.word, x.stress, {vowels_sql('x.word')} AS n, CASE WHEN x.stress = d.stress THEN 100 ELSE 99 END AS weight
            FROM (SELECT DISTINCT word, stress FROM u) x JOIN dict d ON d.word = x.word),
 opt AS MATERIALIZED (SELECT word, n, stress AS s, weight FROM listed WHERE n > 1 AND stress BETWEEN 1 AND n
+        UNION ALL SELECT word, {vowels_sql('word')}, ({vowels_sql('word')} + 1) // 2, 100 FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict)
         UNION ALL SELECT word, 0, 0, 100 FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 0
         UNION ALL SELECT word, 1, 0, CASE WHEN length(word) <= 3 THEN 100 ELSE 70 END FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 1
         UNION ALL SELECT word, 1, 1, CASE WHEN length(word) <= 3 THEN 95 ELSE 100 END FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 1),

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that it registers its queries."""
     from cadenza.plans import (  # noqa: F401
-        q_align, q_chain, q_corpus, q_curate, q_defects, q_lexicon, q_metre, q_phonetics, q_rhyme, q_similarity, q_sinks, q_scans, q_stats, q_streams, q_thesaurus, q_tokens,
+        q_align, q_chain, q_corpus, q_curate, q_defects, q_lexicon, q_metre, q_phonetics, q_rhyme, q_similarity, q_sinks, q_scans, q_stats, q_streams, q_tags, q_thesaurus, q_tokens,
     )
