@@ -64,20 +64,20 @@ def rules(indefinite: list[str] = INDEFINITE, parts: list[str] = COLOUR_PARTS, c
     """(pattern, replacement) in order."""
     out = [("‌", " "), (f" ([{NO_SPACE_BEFORE}])", "$1"), ("« ", "«"), (" »", "»"), ("\" ([^\n]+) \"", "\"$1\"")]
     if indefinite:
-        out.append((f"(?i)({'|'.join(stressed(w, vowels) for w in sorted(set(indefinite), key=len, reverse=True))}) - {indefinite_ending}", f"$1-{indefinite_ending}"))
+        out.append((f"(?iu)({'|'.join(stressed(w, vowels) for w in sorted(set(indefinite), key=len, reverse=True))}) - {indefinite_ending}", f"$1-{indefinite_ending}"))
     for s in suffixes:
-        out.append((f"(?i) - {s}(?![\\p{{L}}\\p{{N}}_])", f"-{s}"))
+        out.append((f"(?iu) - {s}(?![\\p{{L}}\\p{{N}}_])", f"-{s}"))
     if leading:
-        out.append((f"(?i)(?<![\\p{{L}}\\p{{N}}_]){leading} - (?=[\\p{{L}}\\p{{N}}_])", f"{leading}-"))
+        out.append((f"(?iu)(?<![\\p{{L}}\\p{{N}}_]){leading} - (?=[\\p{{L}}\\p{{N}}_])", f"{leading}-"))
     if parts:
-        out.append((f"(?i)(?<![\\p{{L}}\\p{{N}}_])({'|'.join(stressed(p, vowels) for p in parts)}) - (?=[\\p{{L}}\\p{{N}}_])", "$1-"))
+        out.append((f"(?iu)(?<![\\p{{L}}\\p{{N}}_])({'|'.join(stressed(p, vowels) for p in parts)}) - (?=[\\p{{L}}\\p{{N}}_])", "$1-"))
     if compounds:
         pairs = "|".join(f"{stressed(a, vowels)} - (?={stressed(b, vowels)})" for a, b in (c.split(" - ") for c in compounds))
-        out.append((f"(?i)(?:{pairs})", None))
+        out.append((f"(?iu)(?:{pairs})", None))
     if stems:
         more = "[\\p{L}\\p{N}_]+"
         pairs = "|".join(f"{a.replace('*', more)} - (?={b.replace('*', more)})" for a, b in (c.split(" - ") for c in stems))
-        out.append((f"(?i)(?:{pairs})", None))
+        out.append((f"(?iu)(?:{pairs})", None))
     return out
 
 
