@@ -139,3 +139,11 @@ def vocab_build(poem_units: DataFrame, prose_units: DataFrame) -> DataFrame:
     spark = poem_units.sparkSession
     sp = spark.createDataFrame([(u, i) for i, u in enumerate(SPECIAL_UNITS)], "unit string, id long")
     return sp.unionByName(numbered)
+
+
+def word_units(words: DataFrame, vocab: DataFrame, prof: Profile | str = LATIN) -> DataFrame:
+    """``word, ids``: the unit ids of each distinct word, in order.  Units meet the vocabulary once per word and
+    not once per token; words with a unit that it lacks get the ids of the others."""
+    u = words.select("word", F.posexplode(T.syllables("word", prof)).alias("i", "unit")).join(vocab, "unit")
+    g = u.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("s"))
+    return g.select("word", F.col("s.id").alias("ids"))

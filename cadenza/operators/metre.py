@@ -322,6 +322,20 @@ def _per_metre(df: DataFrame, keep: list[str], metres: list[str] | None = None)
     return x.select(*keep, *[F.col(f"e.{c}").alias(c) for c in ("metre_idx", "metre", "strong", "weak", "template", "failed")])
 
 
+def _with_matches(lines: DataFrame, table: DataFrame, constants: dict) -> DataFrame:
+    """``lines`` with the columns of ``table`` (one row per matchable pattern); the patterns that it
+    lacks get ``constants``.  One pass over the lines; unmatched ones are spread over keys that match nothing."""
+    idle = F.concat(F.lit("-"), F.pmod(F.xxhash64(*[F.col(c) for c in lines.columns]), F.lit(4096)).cast("string"))
+    key = F.when(matchable("pattern"), F.col("pattern")).otherwise(idle)
+    j = lines.withColumn("_key", key).join(table.withColumnRenamed("pattern", "_key"), "_key", "left").drop("_key")
+    return j.select(*lines.columns, *[F.coalesce(F.col(c), v).alias(c) for c, v in constants.items()])
+
+
+def _zeros(n: int) -> dict:
+    return {"strong": F.array_repeat(F.lit(0), n), "weak": F.array_repeat(F.lit(0), n), "template": F.array_repeat(F.lit(""), n),
+            "failed": F.array_repeat(F.lit(False), n)}
+
+
 def _constant(df: DataFrame) -> DataFrame:
     """The answer of patterns that are not matched, in the form of :func:`pattern_matches`."""
     n = len(METRES)
@@ -341,9 +355,7 @@ def line_metre_errors(lines: DataFrame, prof: Profile | str = LATIN,
                       keys=("doc_id", "line_no")) -> DataFrame:
     """Per line and metre: strong, weak, template, failed."""
     lp = line_patterns(lines, prof).select(*keys, "pattern")
-    hit = lp.where(matchable("pattern")).join(pattern_matches(lp), "pattern")
-    cols = [*keys, "strong", "weak", "template", "failed"]
-    every = hit.select(*cols).unionByName(_constant(lp.where(~matchable("pattern"))).select(*cols))
+    every = _with_matches(lp, pattern_matches(lp), _zeros(len(METRES)))
     return _per_metre(every, list(keys)).drop("metre_idx")
 
 
@@ -362,9 +374,8 @@ def poem_metre(lines: DataFrame, prof: Profile | str = LATIN, key: str = "doc_id
         total = F.aggregate(errs, F.lit(0), lambda a, x: a + x)
         return F.transform(errs, lambda x: F.when(total != 0, x / total).otherwise(x.cast("double")))
     table = pattern_matches(lp).select("pattern", norm("strong").alias("s"), norm("weak").alias("w"))
-    hit = lp.where(matchable("pattern")).join(table, "pattern").select(key, "s", "w")
     zero = F.array_repeat(F.lit(0.0), len(METRES))
-    every = hit.unionByName(lp.where(~matchable("pattern")).select(key, zero.alias("s"), zero.alias("w")))
+    every = _with_matches(lp, table, {"s": zero, "w": zero})
     aggs = [F.count(F.lit(1)).alias("num_lines")]
     for i in range(len(METRES)):
         aggs += [F.sum(F.col("s")[i]).alias(f"s{i}"), F.sum(F.col("w")[i]).alias(f"w{i}")]
@@ -392,8 +403,7 @@ def meter_score(texts: DataFrame, text_col: str = "text", metre_col: str = "mete
     names = [n for n in METRE_NAMES if metres is None or n in metres]
     errs = pattern_matches(lp, metres=names).select("pattern", "strong", "weak")
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_m")).cast("int") - 1
-    hit = lp.where(matchable("pattern")).join(errs, "pattern")
-    per_line = (F.coalesce(F.get("strong", at), F.lit(0)) + F.coalesce(F.get("weak", at), F.lit(0))) / F.length("pattern")
-    every = hit.select(*keys, per_line.alias("v")).unionByName(
-        lp.where(~matchable("pattern")).select(*keys, F.lit(0.0).alias("v")))
+    per_line = (F.coalesce(F.get("strong", at), F.lit(0)) + F.coalesce(F.get("weak", at), F.lit(0))) / F.greatest(F.length("pattern"), F.lit(1))
+    none = F.array().cast("array<int>")
+    every = _with_matches(lp, errs, {"strong": none, "weak": none}).select(*keys, per_line.alias("v"))
     return texts.select(*keys).join(every.groupBy(*keys).agg(F.avg("v").alias("meter_score")), keys, "left")

@@ -1,9 +1,9 @@
 """Rhyme: line endings, rhyme pairs, quatrain selection, scheme scores, markup.
 
 Rhyme is decided on a canonical *clausula* string per line ending, so rhyme
-detection is an equality (hashable) test.  Pairs are only ever formed inside
-a poem between a line and the next few lines (``lead``), which is linear in
-the number of lines however large a poem or a rhyme class is.
+detection is an equality (hashable) test.  Groups, near pairs and quatrains are found inside a
+poem's row; ``exact_rhyme_pairs`` links each line to the nearest earlier one of its group,
+which is linear in the number of lines however large a poem or a rhyme class is.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators.corpus import settled
 from cadenza.profiles import LATIN, Profile, profile as get_profile
 
 # Accent folding applied to clausulas (Latin profile).
@@ -142,6 +143,24 @@ def quatrains(endings: DataFrame, key: str = "doc_id", order: str = "line_no",
         key, F.col("q.start").alias("start"), F.col("q.scheme").alias("scheme"), F.col("q.stanza").alias("stanza"))
 
 
+def poem_quatrains(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key, start, scheme, stanza`` as :func:`quatrains`, inside each poem's row: no shuffle.  The starts of
+    valid windows are found first; the greedy choice folds over those few numbers, and only chosen
+    windows are given their lines."""
+    p = settled(docs.select(key, T.verse_lines(text_col).alias("lines")).where(F.size("lines") >= 4))
+    p = settled(p.select(key, "lines", line_keys(F.col("lines")).alias("k")))
+    schemes = F.transform(F.sequence(F.lit(0), F.size("k") - 4), lambda i: F.struct(
+        i.alias("start"), quatrain_scheme(*[F.get("k", i + d) for d in range(4)]).alias("scheme")))
+    p = settled(p.select(key, "lines", F.filter(schemes, lambda x: x["scheme"].isNotNull()).alias("c")).where(F.size("c") > 0))
+    kind = "array<struct<start:int,scheme:string>>"
+    init = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("out"))
+    fold = F.aggregate("c", init, lambda acc, x: F.when(x["start"] >= acc["next"], F.struct(
+        (x["start"] + 4).alias("next"), F.concat(acc["out"], F.array(x)).cast(kind).alias("out"))).otherwise(acc))
+    q = p.select(key, "lines", F.explode(fold["out"]).alias("q"))
+    return q.select(key, F.col("q.start").alias("start"), F.col("q.scheme").alias("scheme"),
+                    F.array_join(F.slice("lines", F.col("q.start") + 1, 4), "\n").alias("stanza"))
+
+
 def line_keys(lines) -> Column:
     """Clausula of every line of an array of lines."""
     return F.transform(lines, lambda l: clausula(last_word(l)))

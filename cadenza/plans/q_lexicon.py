@@ -257,12 +257,12 @@ def q_token_blocks(spark, sf):
     right-padded with 0."""
     docs = documents(spark, sf)
     vocab = L.vocab_build(_units(docs), _units(table(spark, sf, "conversations", "text")))
-    units = docs.select("doc_id", F.flatten(F.transform(T.words("text"), lambda w: T.syllables(w))).alias("us"))
-    pos = units.select("doc_id", F.posexplode("us").alias("p", "unit"))
-    ids = pos.join(vocab, "unit")
-    g = ids.groupBy("doc_id", F.floor(F.col("p") / BLOCK).cast("long").alias("block_no")).agg(
-        F.sort_array(F.collect_list(F.struct("p", "id"))).alias("s"))
-    arr = F.transform("s", lambda x: x["id"])
-    pad = F.array_repeat(F.lit(0).cast("long"), (F.lit(BLOCK) - F.size(arr)).cast("int"))
-    return g.select("doc_id", "block_no",
-                    F.array_join(F.transform(F.concat(arr, pad), lambda x: x.cast("string")), ",").alias("ids"))
+    coded = L.word_units(docs.select(F.explode(T.words("text")).alias("word")).distinct(), vocab)
+    tokens = docs.select("doc_id", F.posexplode(T.words("text")).alias("pos", "word"))
+    g = tokens.join(coded, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("s"))
+    g = g.select("doc_id", F.flatten(F.col("s.ids")).alias("ids"))
+    last = F.floor((F.size("ids") - 1) / BLOCK)
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda b: F.slice("ids", (b * BLOCK + 1).cast("int"), BLOCK))
+    g = g.where(F.size("ids") > 0).select("doc_id", F.posexplode(cut).alias("block_no", "b"))
+    pad = F.array_repeat(F.lit(0).cast("long"), F.lit(BLOCK) - F.size("b"))
+    return g.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.array_join(F.concat("b", pad).cast("array<string>"), ",").alias("ids"))

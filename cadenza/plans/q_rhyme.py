@@ -101,7 +101,7 @@ quatrains AS (SELECT v.doc_id, v.start, v.scheme, v.stanza FROM greedy g JOIN v
 WITH RECURSIVE {_QUATRAIN_SQL}
 SELECT doc_id, CAST(start AS BIGINT) AS start, scheme, stanza FROM quatrains""")
 def q_quatrains(spark, sf):
-    q = rhyme.quatrains(_endings(spark, sf))
+    q = rhyme.poem_quatrains(documents(spark, sf))
     return q.select("doc_id", F.col("start").cast("long"), "scheme", "stanza")
 
 
@@ -123,7 +123,7 @@ tagged AS (SELECT doc_id, start, i,
 SELECT doc_id, CAST(start AS BIGINT) AS start, string_agg(t, chr(10) ORDER BY i) AS markup
 FROM tagged GROUP BY doc_id, start""")
 def q_rhyme_markup(spark, sf):
-    q = rhyme.quatrains(_endings(spark, sf))
+    q = rhyme.poem_quatrains(documents(spark, sf))
     m = rhyme.rhyme_markup(F.split("stanza", "\n"), F.col("scheme"))
     return q.select("doc_id", F.col("start").cast("long"), F.array_join(m, "\n").alias("markup"))
 
