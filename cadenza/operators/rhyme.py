@@ -90,11 +90,16 @@ def rhyme_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -
 
 def exact_rhyme_pairs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, line_a, line_b, rhyme_group): each line with the nearest earlier line that
-    rhymes with it, however far.  Two lines rhyme exactly if they share the group."""
-    g = rhyme_groups(docs, key, text_col).where(F.col("rhyme_group").isNotNull())
-    w = Window.partitionBy(key, "rhyme_group").orderBy("line_no")
-    return (g.select(key, "rhyme_group", F.col("line_no").alias("line_b"), F.lag("line_no").over(w).alias("line_a"))
-            .where(F.col("line_a").isNotNull()))
+    rhymes with it, however far.  Two lines rhyme exactly if they share the group.  A poem's lines are sorted
+    by group inside its row, where neighbours of one group are the pairs: nothing is shuffled."""
+    p = settled(_poem_keys(docs, key, text_col)).withColumn("_kinds", F.array_distinct(F.array_compact("keys")))
+    numbered = F.transform("keys", lambda k, i: F.struct(F.array_position("_kinds", k).cast("long").alias("g"), i.cast("long").alias("i")))
+    p = settled(p.select(key, F.array_sort(F.filter(numbered, lambda x: x["g"].isNotNull())).alias("s")))
+    after = F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1)))
+    pairs = F.filter(F.zip_with("s", after, lambda a, b: F.struct(a["i"].alias("line_a"), b["i"].alias("line_b"), a["g"].alias("g"), (a["g"] == b["g"]).alias("same"))),
+                     lambda q: F.coalesce(q["same"], F.lit(False)))
+    x = p.select(key, F.explode(pairs).alias("q"))
+    return x.select(key, F.col("q.g").alias("rhyme_group"), F.col("q.line_b").alias("line_b"), F.col("q.line_a").alias("line_a"))
 
 
 def near_rhyme_pairs(docs: DataFrame, window: int = 3, key: str = "doc_id", text_col: str = "text") -> DataFrame:
