@@ -38,9 +38,16 @@ def clausula(word, prof: Profile | str = LATIN) -> Column:
     The stressed vowel is found through vowel-initial segments
     (``[V][^V]*``): the text from segment ``s`` on is the ending, which is the
     same position as "syllables before s plus the onset of syllable s"."""
-    p = get_profile(prof)
     w = T._c(word)
-    segs = F.regexp_extract_all(w, F.lit(p.vowel_class + p.non_vowel_class + "*"), 0)
+    return _ending(w, _segments(w, prof))
+
+
+def _segments(word: Column, prof: Profile | str) -> Column:
+    p = get_profile(prof)
+    return F.regexp_extract_all(word, F.lit(p.vowel_class + p.non_vowel_class + "*"), 0)
+
+
+def _ending(w: Column, segs: Column) -> Column:
     k = F.size(segs)
     s = T.default_stress(k)
     core = F.array_join(F.slice(segs, s, k), "")
@@ -166,9 +173,12 @@ def poem_quatrains(docs: DataFrame, key: str = "doc_id", text_col: str = "text")
                     F.array_join(F.slice("lines", F.col("q.start") + 1, 4), "\n").alias("stanza"))
 
 
-def line_keys(lines) -> Column:
-    """Clausula of every line of an array of lines."""
-    return F.transform(lines, lambda l: clausula(last_word(l)))
+def line_keys(lines, prof: Profile | str = LATIN) -> Column:
+    """Clausula of every line of an array of lines.  Lambdas are interpreted and share nothing, so each step
+    (last word, its segments, the ending) is an array of its own and is evaluated once a line."""
+    words = F.transform(lines, lambda l: F.regexp_extract(F.lower(l), r"(\p{L}++)[^\p{L}]*+$", 1))
+    parts = F.transform(words, lambda w: F.struct(w.alias("w"), _segments(w, prof).alias("segs")))
+    return F.transform(parts, lambda x: _ending(x["w"], x["segs"]))
 
 
 def scheme_rhyme_score(keys, scheme) -> Column:
