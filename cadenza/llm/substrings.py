@@ -37,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,22 +197,37 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tu
     n, total = np.diff(bounds), len(hashes)
     if total < width:
         return (np.zeros(0, np.int64),) * 3
+    span, m = width - gram + 1, total - width + 1
     g = np.zeros(total - gram + 1, dtype=np.uint64)
     for j in range(gram):
         g = mix(g * ODD + hashes[j:total - gram + 1 + j])
-    least, where = g[:total - width + 1].copy(), np.arange(total - width + 1)
-    for j in range(1, width - gram + 1):
-        other = g[j:j + total - width + 1]
-        less = other < least
-        least[less] = other[less]
-        where[less] = np.flatnonzero(less) + j
-    left = np.repeat(bounds[1:], n)[:total - width + 1] - np.arange(total - width + 1)
+    # the low bits carry the place, so that a minimum names the one it came from
+    low = np.uint64((1 << max(1, (span - 1).bit_length())) - 1)
+    least = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
+    size = 1
+    while size * 2 <= span:                         # minima over runs of 2, 4, 8 ... places
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[:m], least[span - size:span - size + m])
+    left = np.repeat(bounds[1:], n)[:m] - np.arange(m)
     start = np.flatnonzero(left >= width)           # a window lies in one text
-    return start, least[start].view(np.int64), where[start]
+    least = least[start]
+    where = start + (((least & low) - start.astype(np.uint64)) & low).astype(np.int64)
+    return start, (least & ~low).view(np.int64), where
 
 
 def _hashes(vocabulary: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary.to_pylist()), dtype=np.uint64, count=len(vocabulary))
+    """64-bit hashes of strings: mixed (byte, distance from the end) values, summed over each string."""
+    v = vocabulary.cast(pa.large_string())
+    bounds = np.frombuffer(v.buffers()[1], dtype=np.int64)[v.offset:v.offset + len(v) + 1]
+    if not len(v):
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(v.buffers()[2] or b"", dtype=np.uint8)[bounds[0]:bounds[-1]].astype(np.uint64)
+    bounds = bounds - bounds[0]
+    size = np.diff(bounds)
+    behind = (np.repeat(bounds[1:], size) - np.arange(len(data))).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(behind * ODD + data + np.uint64(1)), dtype=np.uint64)])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64) * ODD)
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
