@@ -19,14 +19,17 @@ endings of their lines inside their row; the best of all metres is taken by ``ar
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators.corpus import settled
 from cadenza.operators.rhyme import FOLD_FROM, FOLD_TO
 from cadenza.profiles import FEET, LATIN, Profile, profile as get_profile
 
@@ -60,8 +63,9 @@ def variant_options(dictionary: DataFrame, listed: DataFrame, prof: Profile | st
     both = (dictionary.select("word", "stress", F.lit(100).alias("weight"))
             .unionByName(listed.select("word", "stress", F.lit(99).alias("weight"))))
     n = T.vowel_count("word", prof)
-    both = both.where((n > 1) & F.col("stress").between(1, n))
-    one = both.groupBy("word", "stress").agg(F.max("weight").alias("weight"))
+    # the rule is asked behind `settled`: pushed into one of the two scans of the listed words, it would make them two
+    one = settled(both.groupBy("word", "stress").agg(F.max("weight").alias("weight")))
+    one = one.where((n > 1) & F.col("stress").between(1, n))
     part = F.struct("stress", F.concat_ws("/", F.col("stress").cast("string"), F.col("weight").cast("string")).alias("o"))
     return (one.groupBy("word").agg(F.sort_array(F.collect_list(part)).alias("p"))
             .select("word", F.concat(n.cast("string"), F.lit(":"), F.array_join(F.col("p.o"), ",")).alias("options")))
@@ -100,8 +104,9 @@ def _step(n: np.ndarray, s: np.ndarray, state: int) -> tuple[np.ndarray, np.ndar
     return new, cost
 
 
-def _readings(lattices: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Yields ``(lattice, mode, word, stress, score, path)`` arrays; word -1: nothing stressed."""
+def _readings(lattices: list[str], paths: bool = True):
+    """``lattice, word, stress, score, path`` of all endings; word -1: nothing stressed.  ``score`` has a column
+    per mode, ``path`` is ``[ending, mode, word]`` (None without ``paths``)."""
     words = [[w.split(":") for w in x.split(" ")] if x else [] for x in lattices]
     N, K, M = len(words), max(map(len, words), default=0), len(MODES)
     size = np.array([len(w) for w in words])
@@ -118,8 +123,9 @@ def _readings(lattices: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
     cursor = np.cumsum(n, axis=1) - n
     feet = _feet(int(n.sum(axis=1).max(initial=0)) + 1)
     total = np.concatenate([np.zeros((M, 1), np.int64), np.cumsum(feet, axis=1)], axis=1)
+    modes = np.arange(M)
 
-    def local(rows: np.ndarray, k: int, j: int) -> np.ndarray:
+    def local(rows: np.ndarray, k, j) -> np.ndarray:
         """Log score of option j of word k in every mode, by itself."""
         c, m, st = cursor[rows, k], n[rows, k], s[rows, k, j]
         expected = (total[:, c + m] - total[:, c]).T
@@ -129,81 +135,93 @@ def _readings(lattices: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
 
     best = np.full((K + 1, N, M, STATES), NONE)
     best[0, :, :, 5] = 0.0
-    back = np.zeros((K + 1, N, M, STATES), dtype=np.int16)
+    back = np.zeros((K + 1, N, M, STATES), dtype=np.int16) if paths else None
     for k in range(K):
         rows = np.flatnonzero(size > k)
         new, ptr = np.full((len(rows), M, STATES), NONE), np.zeros((len(rows), M, STATES), dtype=np.int16)
         for j in range(O):
-            use = s[rows, k, j] >= 0
-            own = local(rows, k, j)
+            use = np.flatnonzero(s[rows, k, j] >= 0)
+            part = rows[use]
+            if not len(part):
+                continue
+            own = local(part, k, j)
             for state in range(STATES):
-                to, cost = _step(n[rows, k], np.maximum(s[rows, k, j], 0), state)
-                value = np.where(use[:, None], best[k, rows, :, state] + own + cost[:, None], NONE)
-                at = np.broadcast_to(to[:, None, None], (len(rows), M, 1))
-                old = np.take_along_axis(new, at, 2)[..., 0]
+                to, cost = _step(n[part, k], s[part, k, j], state)
+                value = best[k, part, :, state] + own + cost[:, None]
+                at = (use[:, None], modes[None, :], to[:, None])
+                old = new[at]
                 more = value > old + 1e-9
-                np.put_along_axis(new, at, np.where(more, value, old)[..., None], 2)
-                was = np.take_along_axis(ptr, at, 2)[..., 0]
-                np.put_along_axis(ptr, at, np.where(more, j * STATES + state, was)[..., None].astype(np.int16), 2)
-        best[k + 1, rows], back[k + 1, rows] = new, ptr
+                new[at] = np.where(more, value, old)
+                if paths:
+                    ptr[at] = np.where(more, j * STATES + state, ptr[at])
+        best[k + 1, rows] = new
+        if paths:
+            back[k + 1, rows] = ptr
+    # words that stay unstressed: from k on, their score and their syllables
     has_zero = (s == 0).any(axis=2) if K else np.zeros((N, 0), bool)
-    last_free = np.ones((N, K + 1), dtype=bool)          # all words from k on can stay unstressed
+    zero = np.argmax(s == 0, axis=2) if K else np.zeros((N, 0), np.int64)
+    free = np.ones((N, K + 1), dtype=bool)
+    rest, syllables = np.zeros((K + 1, N, M)), np.zeros((N, K + 1), np.int64)
     for k in range(K - 1, -1, -1):
-        last_free[:, k] = last_free[:, k + 1] & ((size <= k) | has_zero[:, k])
+        free[:, k] = free[:, k + 1] & ((size <= k) | has_zero[:, k])
+        syllables[:, k] = syllables[:, k + 1] + n[:, k]
+        rows = np.flatnonzero((size > k) & free[:, k])
+        rest[k] = rest[k + 1]
+        rest[k, rows] += local(rows, k, zero[rows, k])
+
+    def late_run(run: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return np.where((run < RUN) & (run + more >= RUN), math.log10(UNSTRESSED_RUN), 0.0)[:, None]
     # an ending: word i is the last stressed one; i = -1: none is
-    for i in range(-1, K):
-        rows = np.flatnonzero((size > i) & last_free[:, i + 1]) if i >= 0 else np.flatnonzero(last_free[:, 0])
-        for j in range(O if i >= 0 else 1):
-            part = rows[s[rows, i, j] > 0] if i >= 0 else rows
-            if not len(part):
-                continue
-            if i >= 0:
-                own = local(part, i, j)
-                options = [best[i, part, :, st] + own + _step(n[part, i], s[part, i, j], st)[1][:, None] for st in range(STATES)]
-                options = np.stack(options, axis=-1)
-                frm = (options + 1e-9 * np.arange(STATES, 0, -1)).argmax(axis=-1)
-                score = np.take_along_axis(options, frm[..., None], -1)[..., 0]
-                state = _step(n[part, i], s[part, i, j], 0)[0]
-            else:
-                frm, score, state = None, np.zeros((len(part), M)), np.full(len(part), 5)
-            for k in range(i + 1, K):
-                on = size[part] > k
-                zero = np.argmax(s[part, k] == 0, axis=1)
-                to, add = state.copy(), np.zeros(len(part))
-                for st in range(STATES):
-                    mine = on & (state == st)
-                    t, c = _step(n[part, k], np.zeros(len(part), np.int64), st)
-                    to[mine], add[mine] = t[mine], c[mine]
-                for z in range(O):
-                    mine = on & (zero == z)
-                    if mine.any():
-                        score[mine] += local(part[mine], k, z) + add[mine][:, None]
-                state = to
-            # the words before the ending, from the pointers
-            path = np.zeros((len(part), M, K), dtype=np.int64)
-            if i >= 0:
-                path[:, :, i] = s[part, i, j][:, None]
-                at = frm
-                for k in range(i, 0, -1):
-                    p = back[k][part[:, None], np.arange(M)[None, :], at].astype(np.int64)
-                    path[:, :, k - 1] = s[part[:, None], k - 1, p // STATES]
-                    at = p % STATES
-            yield (np.repeat(part, M), np.tile(np.arange(M), len(part)), np.full(len(part) * M, i),
-                   np.repeat(s[part, i, j] if i >= 0 else np.zeros(len(part), np.int64), M), score.ravel(), path.reshape(-1, K))
+    lat, i, j = np.nonzero((s > 0) & free[:, 1:, None])
+    bare = np.flatnonzero(free[:, 0])
+    score, frm = np.zeros((len(lat), M)), np.zeros((len(lat), M), np.int64)
+    if len(lat):
+        options = np.stack([best[i, lat, :, st] + _step(n[lat, i], s[lat, i, j], st)[1][:, None] for st in range(STATES)], axis=-1)
+        frm = (options + 1e-9 * np.arange(STATES, 0, -1)).argmax(axis=-1)
+        score = np.take_along_axis(options, frm[..., None], -1)[..., 0] + local(lat, i, j) + rest[i + 1, lat]
+        score = score + late_run(np.minimum(n[lat, i] - s[lat, i, j], RUN), syllables[lat, i + 1])
+    none = rest[0, bare] + late_run(np.zeros(len(bare), np.int64), syllables[bare, 0])
+    path = None
+    if paths:
+        path = np.zeros((len(lat) + len(bare), M, K), dtype=np.int64)
+        at = frm
+        path[np.arange(len(lat)), :, i] = s[lat, i, j][:, None]
+        for k in range(K - 1, 0, -1):
+            mine = np.flatnonzero(i >= k)
+            ptr = back[k][lat[mine, None], modes[None, :], at[mine]].astype(np.int64)
+            path[mine, :, k - 1] = s[lat[mine, None], k - 1, ptr // STATES]
+            at[mine] = ptr % STATES
+    return (np.concatenate([lat, bare]), np.concatenate([i, np.full(len(bare), -1)]),
+            np.concatenate([s[lat, i, j], np.zeros(len(bare), np.int64)]), np.round(np.concatenate([score, none]), 9), path)
+
+
+CELLS = 40_000      # words of lattices that are walked at a time
+
+
+def _of_like_size(lattices: list[str], paths: bool) -> Iterator[np.ndarray]:
+    """Positions of lattices, by number of words: a long line pads only lines of about its length."""
+    size = np.array([x.count(" ") + 1 for x in lattices])
+    order = np.argsort(size, kind="stable")
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (last + 1 - first) * size[order[last]] ** (2 if paths else 1) <= CELLS:
+            last += 1
+        yield order[first:last]
+        first = last
 
 
 def _variants(batches):
     import pandas as pd
     for pdf in batches:
-        for first in range(0, len(pdf), 1000):
-            lattices = pdf["lattice"].iloc[first:first + 1000].tolist()
+        every = pdf["lattice"].tolist()
+        for some in _of_like_size(every, True):
+            lattices = [every[x] for x in some]
             out: list[list] = [[] for _ in lattices]
             length = [len(x.split(" ")) if x else 0 for x in lattices]
-            for lat, mode, word, stress, score, path in _readings(lattices):
-                for x in range(len(lat)):
-                    i, (m, p) = lat[x], MODES[mode[x]]
-                    out[i].append((m, p, int(word[x]), int(stress[x]), round(float(score[x]), 9),
-                                   ",".join(map(str, path[x, :length[i]]))))
+            for lat, word, stress, score, path in zip(*_readings(lattices)):
+                for mode, (m, p) in enumerate(MODES):
+                    out[lat].append((m, p, int(word), int(stress), float(score[mode]), ",".join(map(str, path[mode, :length[lat]]))))
             yield pd.DataFrame({"lattice": lattices, "variants": [
                 [dict(zip(("metre", "prefix", "word", "stress", "score", "path"), v)) for v in sorted(vs)] for vs in out]})
 
@@ -211,12 +229,92 @@ def _variants(batches):
 def lattice_variants(lattices: DataFrame) -> DataFrame:
     """``lattice, variants``: of each distinct lattice the best reading per metre, prefix and
     ending (``word``, ``stress`` of the last stressed word; -1 if none is stressed)."""
-    spark = lattices.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return (lattices.select("lattice").distinct().repartition(n)      # few bytes, much work
+    return (lattices.select("lattice").distinct().repartition(_tasks(lattices.sparkSession))      # few bytes, much work
             .mapInPandas(_variants, f"lattice string, variants array<{VARIANT}>"))
 
 
+def _tasks(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _best(kind: np.ndarray, lat: np.ndarray, word: np.ndarray, stress: np.ndarray, score: np.ndarray, path) -> tuple:
+    """Of the endings of ``_readings`` those that ``lattice_endings`` returns: ``lattice, word, stress``, ``[ending, metre]``
+    prefix (-1: none), score and mode's path."""
+    kind = kind[lat]
+    metres = np.arange(len(FEET))
+    # the best reading of the lattice, without prefix; of equal ones the last path
+    line = np.flatnonzero(kind == ANY_ENDING)
+    top = np.zeros((0, len(FEET)), np.int64)
+    owner = np.unique(lat[line])
+    if len(line):
+        top = np.zeros((len(owner), len(FEET)), np.int64)
+        for m in metres:
+            by = [score[line, 2 * m], lat[line]]
+            if path is not None:
+                text = np.array([",".join(map(str, x)) for x in path[line, 2 * m]])
+                by.insert(0, text)
+            at = np.lexsort(by)
+            ends = np.flatnonzero(np.append(np.diff(lat[line][at]) != 0, True))
+            top[:, m] = line[at][ends]
+    rest = np.flatnonzero((kind != ANY_ENDING) & (word >= 0))
+    kept = np.ones((len(rest), len(MODES)), bool)
+    few = np.flatnonzero(kind[rest] > 0)
+    for mode in range(len(MODES)):
+        r = rest[few]
+        at = np.lexsort([stress[r], word[r], -score[r, mode], lat[r]])
+        new = np.append(True, np.diff(lat[r][at]) != 0)[:len(at)]
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        kept[few[at], mode] = place < kind[r][at]
+    pair = np.where(kept, score[rest], -np.inf).reshape(len(rest), len(FEET), 2)
+    prefix = (pair[..., 1] > pair[..., 0]).astype(np.int64)
+    value = pair.max(axis=2)
+    prefix = np.where(np.isinf(value), -1, prefix)
+    ending = np.concatenate([top, np.broadcast_to(rest[:, None], (len(rest), len(FEET)))])
+    return (np.concatenate([owner, lat[rest]]), np.concatenate([np.full(len(owner), -1), word[rest]]),
+            np.concatenate([np.zeros(len(owner), np.int64), stress[rest]]), np.concatenate([np.zeros_like(top), prefix]),
+            np.concatenate([score[top, 2 * metres[None, :]], value]), ending)
+
+
+def _endings(paths: bool):
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            every, kinds = batch.column("lattice").to_pylist(), batch.column("kind").to_numpy()
+            for some in _of_like_size(every, paths):
+                lattices = [every[x] for x in some]
+                found = _readings(lattices, paths)
+                lat, word, stress, prefix, score, ending = _best(kinds[some], *found)
+                at = np.lexsort([stress, word, lat])
+                lat, word, stress, prefix, score, ending = (x[at] for x in (lat, word, stress, prefix, score, ending))
+                text = [None] * prefix.size
+                if paths:
+                    long = [x.count(" ") + 1 for x in lattices]
+                    mode = 2 * np.arange(len(FEET))[None, :] + np.maximum(prefix, 0)
+                    text = [",".join(map(str, found[-1][e, m, :long[l]])) for e, m, l in
+                            zip(ending.ravel(), mode.ravel(), np.repeat(lat, len(FEET)))]
+                best = pa.StructArray.from_arrays([pa.array(prefix.ravel().astype(np.int32)), pa.array(score.ravel()), pa.array(text, pa.string())],
+                                                  ["prefix", "score", "path"], mask=pa.array(prefix.ravel() < 0))
+                best = pa.ListArray.from_arrays(pa.array(np.arange(0, prefix.size + 1, len(FEET), dtype=np.int32)), best)
+                ends = pa.StructArray.from_arrays([pa.array(word.astype(np.int32)), pa.array(stress.astype(np.int32)), best], ["word", "stress", "best"])
+                cut = np.searchsorted(lat, np.arange(len(lattices) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(lattices), pa.array(kinds[some]), pa.ListArray.from_arrays(pa.array(cut), ends)],
+                                                 ["lattice", "kind", "ends"])
+    return run
+
+
+# Kinds of endings that are asked of a line: all, or so many of each metre and prefix, or its best reading whatever its ending.
+ALL_ENDINGS, ANY_ENDING = 0, -1
+ENDS = "array<struct<word:int,stress:int,best:array<struct<prefix:int,score:double,path:string>>>>"
+
+
+def lattice_endings(lattices: DataFrame, paths: bool = True) -> DataFrame:
+    """``lattice, kind, ends`` of each distinct ``lattice, kind``: per ending the best reading of every metre (of equal
+    scores the one without a prefix; NULL where ``kind`` leaves none).  Kind ``ANY_ENDING`` has one entry, word -1: the
+    best reading without a prefix."""
+    return (lattices.select("lattice", "kind").distinct().repartition(_tasks(lattices.sparkSession))      # few bytes, much work
+            .mapInArrow(_endings(paths), f"lattice string, kind int, ends {ENDS}"))
+
+
 # ---------------------------------------------------------------------------
 # poems
 # ---------------------------------------------------------------------------
@@ -270,93 +368,117 @@ def ending_key(words: Column, word: Column, stress: Column, prof: Profile | str
     return F.translate(F.concat(F.when(bare, F.substring(w, start, F.lit(1))).otherwise(F.lit("")), core, rest), FOLD_FROM, FOLD_TO)
 
 
-def best_variant_per_tail(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"), per_prefix: int | None = None,
-                          prof: Profile | str = LATIN) -> DataFrame:
-    """``keys, line_no, metre, prefix, word, stress, ending, n_syl, score, path``: the best stress
-    variant of a line per metre and ending; of equal scores the one without a prefix.
-    ``per_prefix``: only so many endings of each metre and prefix are looked at."""
-    keys = list(keys)
-    lat = line_lattices(poems, options, keys, prof)
-    v = lat.join(lattice_variants(lat), "lattice")
-    ok = F.filter("variants", lambda x: x["word"] >= 0)
-    if per_prefix:
-        def among_first(x, i):
-            return F.size(F.filter(ok, lambda y: (y["metre"] == x["metre"]) & (y["prefix"] == x["prefix"]) & (
-                (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (
-                    F.struct(y["word"], y["stress"]) < F.struct(x["word"], x["stress"])))))) < per_prefix
-        ok = F.filter(ok, among_first)
-    best = F.filter(ok, lambda x: ~F.exists(ok, lambda y: (
-        (y["metre"] == x["metre"]) & (y["word"] == x["word"]) & (y["stress"] == x["stress"])
-        & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["prefix"] < x["prefix"]))))))
+def _line_endings(poems: DataFrame, options: DataFrame, keys: list[str], kind: Column, prof: Profile | str, paths: bool) -> DataFrame:
+    """``keys, line_no, metre, prefix, word, stress, ending, n_syl, score, path``; ``kind`` over the columns of ``keys``."""
+    lat = line_lattices(poems, options, keys, prof).withColumn("kind", kind)
+    v = lat.join(lattice_endings(lat, paths), ["lattice", "kind"])
     n_syl = F.length(F.regexp_replace(F.array_join("words", ""), get_profile(prof).non_vowel_class, ""))
-    x = v.select(*keys, "line_no", "words", n_syl.alias("n_syl"), F.explode(best).alias("v"))
-    return x.select(*keys, "line_no", "v.metre", "v.prefix", "v.word", "v.stress",
-                    ending_key(F.col("words"), F.col("v.word"), F.col("v.stress"), prof).alias("ending"), "n_syl", "v.score", "v.path")
+    x = v.select(*keys, "line_no", "words", n_syl.alias("n_syl"), F.explode("ends").alias("e"))
+    ending = ending_key(F.col("words"), F.col("e.word"), F.col("e.stress"), prof)
+    x = x.select(*keys, "line_no", "n_syl", "e.word", "e.stress", ending.alias("ending"), F.posexplode("e.best").alias("metre", "b")).where("b IS NOT NULL")
+    return x.select(*keys, "line_no", "metre", "b.prefix", "word", "stress", "ending", "n_syl", "b.score", "b.path")
 
 
-def _log(x: float) -> str:
-    return f"{math.log10(x)!r}D"
+def best_variant_per_tail(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"), per_prefix: int | None = None,
+                          prof: Profile | str = LATIN, paths: bool = True) -> DataFrame:
+    """``keys, line_no, metre, prefix, word, stress, ending, n_syl, score, path``: the best stress
+    variant of a line per metre and ending; of equal scores the one without a prefix.
+    ``per_prefix``: only so many endings of each metre and prefix are looked at.  Without ``paths``
+    ``path`` is NULL."""
+    return _line_endings(poems, options, list(keys), F.lit(per_prefix or ALL_ENDINGS), prof, paths)
 
 
 # Schemes of four lines in the order they are tried, with their factor
 SCHEMES = [("r01 AND r12 AND r23", "AAAA", 1.0), ("r02 AND r13", "ABAB", 1.0), ("r03 AND r12", "ABBA", 1.0),
            ("r01 AND r23", "AABB", 1.0), ("r01 AND r03 AND NOT r02", "AABA", 1.0), ("r02 AND NOT r13", "A-A-", 0.75),
            ("NOT r02 AND r13", "-A-A", 0.75), ("r12 AND NOT r01 AND NOT r23", "-AA-", 0.75), ("true", "----", 0.5)]
+# Lines of each scheme that must share an ending.
+PARTS = {"AAAA": [(0, 1, 2, 3)], "ABAB": [(0, 2), (1, 3)], "ABBA": [(0, 3), (1, 2)], "AABB": [(0, 1), (2, 3)], "AABA": [(0, 1, 3), (2,)],
+         "A-A-": [(0, 2), (1,), (3,)], "-A-A": [(1, 3), (0,), (2,)], "-AA-": [(1, 2), (0,), (3,)], "----": [(0,), (1,), (2,), (3,)]}
+
+
+def _joined(parts: list[Column], lines: list[tuple], paths: bool) -> Column:
+    """Sum of parts; with ``paths`` a struct of the sum and the paths in line order."""
+    if not paths:
+        return reduce(lambda a, b: a + b, parts)
+    score = F.round(reduce(lambda a, b: a + b, [p["score"] for p in parts]), 9)
+    where = {i: p[f"p{i}"] for p, ls in zip(parts, lines) for i in ls}
+    return F.when(score.isNotNull(), F.struct(score.alias("score"), *[where[i].alias(f"p{i}") for i in sorted(where)]))
+
+
+def _of_parity(lines: list[tuple], parity: int) -> list[tuple]:
+    """Which of the parts have an odd number of prefixes, so that all together have ``parity``."""
+    return [odd for odd in itertools.product((0, 1), repeat=len(lines)) if sum(odd) % 2 == parity]
 
 
-def align_scores(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"), prof: Profile | str = LATIN) -> DataFrame:
+def _greatest(cols: list[Column]) -> Column:
+    return F.greatest(*cols) if len(cols) > 1 else cols[0]
+
+
+def align_scores(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"), prof: Profile | str = LATIN, paths: bool = True) -> DataFrame:
     """``keys, n_lines, metre, scheme, log_score, score, paths`` of every poem of one, two or
     four lines: the metre, stress variants (``paths``: stresses per word of each line) and
     rhyme scheme of the highest score.  Ties go to the earlier metre, then the scheme's name.
     Poems with a line of eight or more words of several vowels, or without a rhyming ending
-    in every line, have no metre and score 0."""
+    in every line, have no metre and score 0.  Without ``paths`` that column is left out.
+
+    A scheme is the product of parts, lines that share an ending and lines that are free, and only
+    the number of prefixes (odd or even) ties the parts together.  So each part's best is one maximum
+    over the endings; no combination of the lines' endings is made.  Where a combination meets several
+    schemes, the one that is tried first has the highest factor and rank, so the maximum finds it."""
     keys = list(keys)
-    fine = poems.where(~too_complex(F.col("lines"), prof))
-    names = [n for n, _ in FEET]
-    # one line: no prefix, any reading
-    one = line_lattices(fine.where(F.size("lines") == 1), options, keys, prof)
-    one = one.join(lattice_variants(one), "lattice")
-    top = F.array_max(F.transform(F.filter("variants", lambda x: x["prefix"] == 0), lambda x: F.struct(
-        x["score"].alias("score"), (-x["metre"]).alias("m"), x["path"].alias("path"))))
-    one = one.select(*keys, F.lit(1).alias("n_lines"), top["score"].alias("log_score"), (-top["m"]).alias("m"), F.lit("").alias("scheme"),
-                     F.array(top["path"]).alias("paths"))
-
-    def lines_of(n: int) -> DataFrame:
-        v = best_variant_per_tail(fine.where(F.size("lines") == n), options, keys, PER_PREFIX if n == 2 else None, prof)
-        item = F.struct("score", "prefix", "ending", "n_syl", "path")
-        per = v.groupBy(*keys, "metre").agg(*[F.sort_array(F.collect_list(F.when(F.col("line_no") == i, item))).alias(f"l{i}") for i in range(n)])
-        return per.where(" AND ".join(f"size(l{i}) > 0" for i in range(n)))
-
-    two = lines_of(2).select(*keys, "metre", F.expr(f"""array_max(flatten(transform(l0, a -> transform(l1, b -> named_struct(
-        'score', round(a.score + b.score + IF(a.ending = b.ending, 0D, {_log(COUPLET_FREE)}), 9),
-        'rank', IF(a.ending = b.ending, 1, 0), 'scheme', IF(a.ending = b.ending, 'AA', '--'), 'paths', array(a.path, b.path))))))""").alias("t"))
-    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    flags = ", ".join(f"'r{i}{j}', {'abcd'[i]}.ending = {'abcd'[j]}.ending" for i, j in pairs)
-    rank = "CASE " + " ".join(f"WHEN {c.replace('r', 'f.r')} THEN {len(SCHEMES) - i}" for i, (c, _, _) in enumerate(SCHEMES[:-1])) + " ELSE 1 END"
-    factor = "CASE " + " ".join(f"WHEN {c.replace('r', 'f.r')} THEN {_log(x)}" for c, _, x in SCHEMES[:-1]) + f" ELSE {_log(SCHEMES[-1][2])} END"
-    four = lines_of(4).select(*keys, "metre", F.expr(f"""array_max(transform(
-        flatten(transform(l0, a -> flatten(transform(l1, b -> flatten(transform(l2, c -> transform(l3, d -> named_struct(
-          'score', a.score + b.score + c.score + d.score,
-          'odd', a.prefix + b.prefix + c.prefix + d.prefix IN (1, 3),
-          'sizes', array(a.n_syl, b.n_syl, c.n_syl, d.n_syl), {flags}, 'paths', array(a.path, b.path, c.path, d.path))))))))),
-        f -> named_struct('score', round(f.score + IF(f.odd, {_log(ODD_PREFIX)}, 0D)
-            + IF(size(array_distinct(f.sizes)) > 2 OR (size(array_distinct(f.sizes)) = 2
-                 AND size(filter(f.sizes, x -> x = f.sizes[0])) IN (1, 3)), {_log(ODD_LENGTHS)}, 0D)
-            + {factor}, 9), 'rank', {rank}, 'scheme', '', 'paths', f.paths)))""").alias("t"))
-    scheme = F.element_at(F.array(*[F.lit(s) for _, s, _ in reversed(SCHEMES)]), F.col("t.rank"))
-
-    def best(df: DataFrame, n: int, name: Column) -> DataFrame:
-        x = df.select(*keys, F.struct(F.col("t.score").alias("log_score"), (-F.col("metre")).alias("m"), F.col("t.rank").alias("rank"),
-                                      name.alias("scheme"), F.col("t.paths").alias("paths")).alias("b"))
-        x = x.groupBy(*keys).agg(F.max("b").alias("b"))
-        return x.select(*keys, F.lit(n).alias("n_lines"), "b.log_score", (-F.col("b.m")).alias("m"), "b.scheme", "b.paths")
-
-    found = one.unionByName(best(two, 2, F.col("t.scheme"))).unionByName(best(four, 4, scheme))
+    fine = poems.where(~too_complex(F.col("lines"), prof)).withColumn("_n", F.size("lines")).where(F.col("_n").isin(1, 2, 4))
+    own = [*keys, "_n"]
+    kind = F.when(F.col("_n") == 1, ANY_ENDING).when(F.col("_n") == 2, PER_PREFIX).otherwise(ALL_ENDINGS)
+    v = _line_endings(fine, options, own, kind, prof, paths)
+
+    def value(i: int) -> Column:
+        return F.struct("score", F.col("path").alias(f"p{i}")) if paths else F.col("score")
+    # the best of each line and prefix, of one ending
+    first = [F.max(F.when((F.col("line_no") == i) & (F.col("prefix") == p), value(i))).alias(f"b{i}_{p}") for i in range(4) for p in (0, 1)]
+    sizes = [F.max(F.when(F.col("line_no") == i, F.col("n_syl"))).alias(f"n{i}") for i in range(4)]
+    e = v.groupBy(*own, "metre", "ending").agg(*first, *sizes)
+    # the best of each part and parity, of all endings
+    parts = sorted({p for ps in PARTS.values() for p in ps})
+
+    def same_ending(part: tuple, parity: int) -> Column:
+        lines = [(i,) for i in part]
+        return _greatest([_joined([F.col(f"b{i}_{o}") for i, o in zip(part, odd)], lines, paths) for odd in _of_parity(lines, parity)])
+
+    def name(part: tuple, parity: int) -> str:
+        return "x" + "".join(map(str, part)) + f"_{parity}"
+    top = [F.max(same_ending(p, o)).alias(name(p, o)) for p in parts for o in (0, 1)]
+    g = e.groupBy(*own, "metre").agg(*top, *[F.max(f"n{i}").alias(f"n{i}") for i in range(4)])
+
+    def candidate(lines: list[tuple], extra, odd_extra: float, rank: int, scheme: str) -> list[Column]:
+        found = []
+        for parity, more in ((0, 0.0), (1, odd_extra)):
+            some = [_joined([F.col(name(p, o)) for p, o in zip(lines, odd)], lines, paths) for odd in _of_parity(lines, parity)]
+            found += [F.struct((x["score"] + more).alias("score"), *[x[f"p{i}"].alias(f"p{i}") for i in sorted(sum(lines, ()))]) if paths
+                      else x + F.lit(more) for x in [_greatest(some)]]
+        best = _greatest(found)
+        score = F.round((best["score"] if paths else best) + extra, 9)
+        given = [F.array(*[best[f"p{i}"] for i in sorted(sum(lines, ()))]).alias("paths")] if paths else []
+        return [F.when(score.isNotNull(), F.struct(score.alias("log_score"), (-F.col("metre")).alias("m"), F.lit(rank).alias("rank"),
+                                                  F.lit(scheme).alias("scheme"), *given))]
+    n = F.array(*[F.col(f"n{i}") for i in range(4)])
+    uneven = (F.size(F.array_distinct(n)) > 2) | ((F.size(F.array_distinct(n)) == 2) & F.size(F.filter(n, lambda x: x == F.col("n0"))).isin(1, 3))
+    lengths = F.when(uneven, math.log10(ODD_LENGTHS)).otherwise(0.0)
+    one = candidate([(0,)], F.lit(0.0), 0.0, 1, "")
+    two = candidate([(0, 1)], F.lit(0.0), 0.0, 1, "AA") + candidate([(0,), (1,)], F.lit(math.log10(COUPLET_FREE)), 0.0, 0, "--")
+    four = [c for i, (_, s, x) in enumerate(SCHEMES) for c in candidate(PARTS[s], lengths + math.log10(x), math.log10(ODD_PREFIX), len(SCHEMES) - i, s)]
+    found = g.select(*own, F.when(F.col("_n") == 1, _greatest_of(one)).when(F.col("_n") == 2, _greatest_of(two)).otherwise(_greatest_of(four)).alias("b"))
+    found = found.where("b IS NOT NULL").groupBy(*own).agg(F.max("b").alias("b"))
+    found = found.select(*keys, "b.log_score", (-F.col("b.m")).alias("m"), "b.scheme", *(["b.paths"] if paths else []))
     lost = poems.select(*keys, F.size("lines").alias("_n")).where(F.col("_n").isin(1, 2, 4))
-    r = lost.join(found.drop("n_lines"), keys, "left")
-    metre = F.get(F.array(*[F.lit(n) for n in names]), F.col("m"))
+    r = lost.join(found, keys, "left")
+    metre = F.get(F.array(*[F.lit(n) for n, _ in FEET]), F.col("m"))
     return r.select(*keys, F.col("_n").alias("n_lines"), metre.alias("metre"), "scheme", F.round("log_score", 6).alias("log_score"),
-                    F.coalesce(F.round(F.pow(F.lit(10.0), "log_score"), 6), F.lit(0.0)).alias("score"), "paths")
+                    F.coalesce(F.round(F.pow(F.lit(10.0), "log_score"), 6), F.lit(0.0)).alias("score"), *(["paths"] if paths else []))
+
+
+def _greatest_of(cols: list[Column]) -> Column:
+    return F.array_max(F.array(*cols))
 
 
 # ---------------------------------------------------------------------------

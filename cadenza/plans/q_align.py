@@ -92,7 +92,7 @@ def q_best_variant_per_tail(spark, sf):
     """Every line of a four-line poem: the best stress variant per metre and ending."""
     poems = A.blocks(documents(spark, sf))
     poems = poems.where((F.size("lines") == 4) & ~A.too_complex(F.col("lines")))
-    v = A.best_variant_per_tail(poems, stress_options(spark, sf))
+    v = A.best_variant_per_tail(poems, stress_options(spark, sf), paths=False)
     return v.select("doc_id", "block", "line_no", "metre", "prefix", "word", "stress", "ending", "n_syl", F.round("score", 6).alias("log_score"))
 
 
@@ -123,7 +123,7 @@ SELECT doc_id, CAST(block AS INT) AS block, CAST(n_lines AS INT) AS n_lines, {[n
 FROM poem LEFT JOIN top t USING (doc_id, block)""")
 def q_align_scores(spark, sf):
     """Every poem of one, two or four lines: best metre, rhyme scheme and score."""
-    return A.align_scores(A.blocks(documents(spark, sf)), stress_options(spark, sf)).drop("paths")
+    return A.align_scores(A.blocks(documents(spark, sf)), stress_options(spark, sf), paths=False)
 
 
 def _cyclic_sql(foot: str) -> str:

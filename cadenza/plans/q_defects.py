@@ -183,7 +183,7 @@ def q_candidate_rank_score(spark, sf):
     """Aligned stanzas with their rank as short candidates (wanted scheme ABAB) and as parts of a long poem."""
     x = stanzas(spark, sf)
     poems = A.blocks(documents(spark, sf)).where(F.size("lines") == 4)
-    score = A.align_scores(poems, stress_options(spark, sf)).where("metre IS NOT NULL").select("doc_id", "block", "metre", "scheme", "score")
+    score = A.align_scores(poems, stress_options(spark, sf), paths=False).where("metre IS NOT NULL").select("doc_id", "block", "metre", "scheme", "score")
     flags = corpus.settled(x.select("doc_id", "block", D.repetition(F.col("lines"), F.transform("ends", lambda e: e["word"]), H).alias("f")))
     flags = flags.select("doc_id", "block", D.repeats(F.col("f")).alias("repeats"))
     j = score.join(flags, ["doc_id", "block"]).join(_poor(x, spark, sf).select("doc_id", "block", "poor"), ["doc_id", "block"])

@@ -242,7 +242,7 @@ def q_top_prompts(spark, sf):
     and trigram likeness to the request."""
     p = _pairs(spark, sf).select("conv_id", "turn", "input", F.explode(F.array_distinct(T.verse_lines("output"))).alias("prompt"))
     poems = p.select("conv_id", "turn", "prompt", F.array("prompt").alias("lines"))
-    a = A.align_scores(poems, stress_options(spark, sf), keys=("conv_id", "turn", "prompt")).where("metre = 'iamb'")
+    a = A.align_scores(poems, stress_options(spark, sf), keys=("conv_id", "turn", "prompt"), paths=False).where("metre = 'iamb'")
     j = p.join(a.select("conv_id", "turn", "prompt", "log_score"), ["conv_id", "turn", "prompt"])
     value = F.round(F.pow(F.lit(10.0), "log_score") * curate.shingle_jaccard("prompt", "input"), 9)
     return G.top_prompts(j.withColumn("value", value), ["conv_id", "turn"]).withColumn("value", F.round("value", 6))
