@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators.corpus import settled
 from cadenza.operators.metre import METRE_NAMES, matchable, pattern_matches
 from cadenza.profiles import LATIN, METRES, Profile
 
@@ -32,17 +33,42 @@ def flags_of(n: Column, stresses: Column) -> Column:
 
 def flag_lines(lines: DataFrame, stresses: DataFrame, keys=("doc_id", "line_no"), text_col: str = "text",
                prof: Profile | str = LATIN) -> DataFrame:
-    """``keys, words, flags`` of every line with a word.  ``stresses`` (``word, stresses
-    ARRAY<INT>``) decides for words of several vowels, the default rule where it is silent."""
+    """``keys, words, flags`` of every line with a word.  ``stresses`` (one row a word: ``word, stresses
+    ARRAY<INT>``) decides for words of several vowels, the default rule where it is silent.
+
+    Only the stresses that differ from the default rule have to be looked up.  A line goes to that join as its
+    distinct words of several vowels and once as a whole, under a key that matches nothing; the hits alone
+    go on to meet their line."""
     keys = list(keys)
-    t = lines.select(*keys, F.posexplode(T.words(text_col)).alias("pos", "word")).withColumn("n", T.vowel_count("word", prof))
-    idle = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*keys, "pos"), F.lit(4096)).cast("string"))
-    t = t.withColumn("_key", F.when(F.col("n") > 1, F.col("word")).otherwise(idle))
-    t = t.join(stresses.select(F.col("word").alias("_key"), "stresses"), "_key", "left")
-    own = (F.when(F.col("n") == 0, "").when(F.col("n") == 1, F.when(F.length("word") <= SHORT, "0").otherwise("1"))
-           .otherwise(flags_of(F.col("n"), F.coalesce("stresses", F.array(T.default_stress("n"))))))
-    g = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "word", own.alias("f")))).alias("w"))
-    return g.select(*keys, F.col("w.word").alias("words"), F.array_join(F.col("w.f"), "|").alias("flags"))
+
+    def default_flags(n: Column) -> Column:
+        s = T.default_stress(n)
+        return F.concat(F.repeat(F.lit("0"), s - 1), F.lit("1"), F.repeat(F.lit("0"), n - s))
+    count = T.vowel_count("word", prof)
+    listed = stresses.select("word", flags_of(count, F.col("stresses")).alias("f")).where((count > 1) & (F.col("f") != default_flags(count)))
+    idle = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+    x = settled(lines.select(*keys, T.words(text_col).alias("ws")).where(F.size("ws") > 0))
+    several = F.filter(F.array_distinct("ws"), lambda w: T.vowel_count(w, prof) > 1)
+    part = "struct<word:string,line:string>"
+    asked = F.concat(F.array(F.struct(idle.alias("word"), F.array_join("ws", " ").alias("line")).cast(part)),
+                     F.transform(several, lambda w: F.struct(w.alias("word"), F.lit(None).alias("line")).cast(part)))
+    t = x.select(*keys, F.explode(asked).alias("a")).select(*keys, "a.word", "a.line").join(listed, "word", "left")
+    t = t.where("line IS NOT NULL OR f IS NOT NULL")
+    t = t.repartition(*keys)        # rows as they are: few of a line lie together before, and lists of them are larger
+    g = t.groupBy(*keys).agg(F.collect_list("line").alias("lines"), F.collect_set(F.when(F.col("f").isNotNull(), F.struct("word", "f"))).alias("hits"))
+    g = settled(g.select(*keys, "lines", F.map_from_entries("hits").alias("hits")))
+    w = F.flatten(F.transform("lines", lambda l: F.transform(F.split(l, " "), lambda v, i: F.struct(
+        i.alias("pos"), v.alias("word"), T.vowel_count(v, prof).alias("n")))))
+    g = g.select(*keys, "hits", F.when(F.size("lines") > 1, F.sort_array(w)).otherwise(w).alias("w"))
+    f = F.transform("w", lambda v: F.when(v["n"] == 0, "").when(v["n"] == 1, F.when(F.length(v["word"]) <= SHORT, "0").otherwise("1"))
+                    .otherwise(F.coalesce(F.try_element_at("hits", v["word"]), default_flags(v["n"]))))
+    return g.select(*keys, F.col("w.word").alias("words"), F.array_join(f, "|").alias("flags"))
+
+
+def shared(lines: DataFrame, keys=("doc_id", "line_no")) -> DataFrame:
+    """``keys, flags`` of flag lines that have several readers: dealt by their keys once.  Settled, since a reader's own
+    columns and conditions would otherwise make another plan of all below, and another run."""
+    return settled(lines.select(*keys, "flags").repartition(*keys))
 
 
 def pattern_of(flags: Column) -> Column:
@@ -115,13 +141,17 @@ def poem_metre_corrected(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.select(key, best["metre"].alias("metre"), best["v"].alias("score"), "num_lines")
 
 
-def stress_fixes(lines: DataFrame, metres: DataFrame, keys=("doc_id", "line_no"), key: str = "doc_id") -> DataFrame:
-    """``keys, words, flags, fixes``: what each line would need in its poem's metre (``key, metre``)."""
+def _fixes(lines: DataFrame, metres: DataFrame, kept: list[str], key: str) -> DataFrame:
     at = F.array_position(F.array(*[F.lit(n) for n in METRE_NAMES]), F.col("metre")).cast("int") - 1
     m = _matched(lines).select("flags", "template", "failed")
     x = lines.join(metres.select(key, "metre"), key).join(m, "flags")
     f = F.when(F.get("failed", at), F.array().cast(FIX)).otherwise(fixes(F.col("flags"), F.get("template", at)))
-    return x.select(*keys, "words", "flags", f.alias("fixes"))
+    return x.select(*kept, f.alias("fixes"))
+
+
+def stress_fixes(lines: DataFrame, metres: DataFrame, keys=("doc_id", "line_no"), key: str = "doc_id") -> DataFrame:
+    """``keys, words, flags, fixes``: what each line would need in its poem's metre (``key, metre``)."""
+    return _fixes(lines, metres, [*keys, "words", "flags"], key)
 
 
 def improved_flags(flags: Column, found: Column) -> Column:
@@ -141,7 +171,7 @@ def improved_flags(flags: Column, found: Column) -> Column:
 
 def improved_stress(lines: DataFrame, metres: DataFrame, keys=("doc_id", "line_no"), key: str = "doc_id") -> DataFrame:
     """``keys, flags, improved, n_corrections, n_resolutions, n_additions`` of every line."""
-    x = stress_fixes(lines, metres, keys, key)
+    x = _fixes(lines, metres, [*keys, "flags"], key)
 
     def number(kind: str) -> Column:
         return F.size(F.filter("fixes", lambda y: y["kind"] == kind)).alias(f"n_{kind}s")

@@ -154,7 +154,7 @@ WITH RECURSIVE {_FIX_SQL}
 SELECT doc_id, metre, score, num_lines FROM pm""")
 def q_poem_metre_corrected(spark, sf):
     """Best metre when every stress that would have to move counts as a strong error."""
-    return correct.poem_metre_corrected(_flag_lines(spark, sf))
+    return correct.poem_metre_corrected(correct.shared(_flag_lines(spark, sf)))
 
 
 @register("improved_stress", f"""
@@ -174,5 +174,5 @@ SELECT u.doc_id, u.line_no, u.flags, im.improved, CAST(coalesce(n.c, 0) AS INT)
 FROM used u JOIN im USING (flags, metre) LEFT JOIN nfix n ON n.flags = u.flags AND n.metre = u.metre""")
 def q_improved_stress(spark, sf):
     """Stress flags of every line after the corrections of its poem's metre."""
-    lines = _flag_lines(spark, sf)
+    lines = correct.shared(_flag_lines(spark, sf))
     return correct.improved_stress(lines, correct.poem_metre_corrected(lines))
