@@ -450,23 +450,26 @@ def align_scores(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"),
     top = [F.max(same_ending(p, o)).alias(name(p, o)) for p in parts for o in (0, 1)]
     g = e.groupBy(*own, "metre").agg(*top, *[F.max(f"n{i}").alias(f"n{i}") for i in range(4)])
 
-    def candidate(lines: list[tuple], extra, odd_extra: float, rank: int, scheme: str) -> list[Column]:
-        found = []
-        for parity, more in ((0, 0.0), (1, odd_extra)):
-            some = [_joined([F.col(name(p, o)) for p, o in zip(lines, odd)], lines, paths) for odd in _of_parity(lines, parity)]
-            found += [F.struct((x["score"] + more).alias("score"), *[x[f"p{i}"].alias(f"p{i}") for i in sorted(sum(lines, ()))]) if paths
-                      else x + F.lit(more) for x in [_greatest(some)]]
-        best = _greatest(found)
-        score = F.round((best["score"] if paths else best) + extra, 9)
-        given = [F.array(*[best[f"p{i}"] for i in sorted(sum(lines, ()))]).alias("paths")] if paths else []
-        return [F.when(score.isNotNull(), F.struct(score.alias("log_score"), (-F.col("metre")).alias("m"), F.lit(rank).alias("rank"),
-                                                  F.lit(scheme).alias("scheme"), *given))]
+    schemes = {"": [(0,)], "AA": [(0, 1)], "--": [(0,), (1,)]} | PARTS
+    sums = [_greatest([_joined([F.col(name(p, o)) for p, o in zip(lines, odd)], lines, paths) for odd in _of_parity(lines, parity)]).alias(f"s{s}{parity}")
+            for s, lines in schemes.items() for parity in (0, 1)]
+    g = settled(g.select(*own, "metre", *[f"n{i}" for i in range(4)], *sums))
+
+    def candidate(scheme: str, extra, odd_extra: float, rank: int) -> list[Column]:
+        some, used = [F.col(f"`s{scheme}{parity}`") for parity in (0, 1)], sorted(sum(schemes[scheme], ()))
+        if paths:
+            scores = [F.round(x["score"] + extra + more, 9) for x, more in zip(some, (0.0, odd_extra))]
+            given = [[F.array(*[x[f"p{i}"] for i in used]).alias("paths")] for x in some]
+        else:       # nothing but the score to compare: one rounding
+            scores, given = [F.round(F.greatest(some[0], some[1] + F.lit(odd_extra)) + extra, 9)], [[]]
+        return [F.when(v.isNotNull(), F.struct(v.alias("log_score"), (-F.col("metre")).alias("m"), F.lit(rank).alias("rank"),
+                                               F.lit(scheme).alias("scheme"), *more)) for v, more in zip(scores, given)]
     n = F.array(*[F.col(f"n{i}") for i in range(4)])
     uneven = (F.size(F.array_distinct(n)) > 2) | ((F.size(F.array_distinct(n)) == 2) & F.size(F.filter(n, lambda x: x == F.col("n0"))).isin(1, 3))
     lengths = F.when(uneven, math.log10(ODD_LENGTHS)).otherwise(0.0)
-    one = candidate([(0,)], F.lit(0.0), 0.0, 1, "")
-    two = candidate([(0, 1)], F.lit(0.0), 0.0, 1, "AA") + candidate([(0,), (1,)], F.lit(math.log10(COUPLET_FREE)), 0.0, 0, "--")
-    four = [c for i, (_, s, x) in enumerate(SCHEMES) for c in candidate(PARTS[s], lengths + math.log10(x), math.log10(ODD_PREFIX), len(SCHEMES) - i, s)]
+    one = candidate("", F.lit(0.0), 0.0, 1)
+    two = candidate("AA", F.lit(0.0), 0.0, 1) + candidate("--", F.lit(math.log10(COUPLET_FREE)), 0.0, 0)
+    four = [c for i, (_, s, x) in enumerate(SCHEMES) for c in candidate(s, lengths + math.log10(x), math.log10(ODD_PREFIX), len(SCHEMES) - i)]
     found = g.select(*own, F.when(F.col("_n") == 1, _greatest_of(one)).when(F.col("_n") == 2, _greatest_of(two)).otherwise(_greatest_of(four)).alias("b"))
     found = found.where("b IS NOT NULL").groupBy(*own).agg(F.max("b").alias("b"))
     found = found.select(*keys, "b.log_score", (-F.col("b.m")).alias("m"), "b.scheme", *(["b.paths"] if paths else []))
