@@ -16,7 +16,13 @@ from cadenza.profiles import LATIN, Profile
 
 def lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, line_no, text): newline / sentence pieces with at least one letter."""
-    return docs.select(key, F.posexplode(T.verse_lines(text_col)).alias("line_no", "text"))
+    return cut_lines(docs, key, text_col).select(key, F.posexplode("_l").alias("line_no", "text"))
+
+
+def cut_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, _l ARRAY<STRING>): the verse lines, settled, as the filters that Spark derives for what explodes
+    them would cut every text a second time."""
+    return settled(docs.select(key, T.verse_lines(text_col).alias("_l")))
 
 
 def poems(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,6 +49,11 @@ def syllables(word_df: DataFrame, prof: Profile | str = LATIN,
                     F.coalesce(F.col("syl_pos") + 1 == F.col("stress"), F.lit(False)).alias("stressed"))
 
 
+def tasks(spark) -> int:
+    """Partitions for few bytes that are much work."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows behind a one-element ``explode``: expressions above read the columns as values and
     are not merged with the (large) expressions that made them.  Nothing is shuffled or written."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.corpus import settled
@@ -129,7 +129,8 @@ def poor_rhyme(stanzas: DataFrame, listed: DataFrame, keys=("doc_id", "block"),
     (``ARRAY<STRUCT<word, upos>>``, the rhyming words) and ``scheme``.
 
     Only verb pairs that would count are looked up among the ``listed`` rhymes (``word_a, word_b``); such
-    pairs are excused."""
+    pairs are excused.  A stanza waits in the row of its first pair (rows without pairs are spread over keys
+    that match nothing), so that it is made once."""
     keys = list(keys)
     s = settled(stanzas.select(*keys, "ends", "scheme", F.transform("ends", lambda e: F.translate(F.lower(e["word"]), *h.fold)).alias("_w")))
     w, raw = F.col("_w"), F.transform("ends", lambda e: F.lower(e["word"]))
@@ -152,10 +153,14 @@ def poor_rhyme(stanzas: DataFrame, listed: DataFrame, keys=("doc_id", "block"),
     verbs = F.transform(F.filter(scheme_pairs(F.col("scheme")), weak), lambda p: F.struct(
         F.lower(F.get(F.col("ends"), p["a"])["word"]).alias("a"), F.lower(F.get(F.col("ends"), p["b"])["word"]).alias("b")))
     s = settled(s.select(*keys, repeated.alias("repeated"), _any(hits).alias("grouped"), verbs.alias("v")))
-    left = (s.where(F.size("v") > 0).select(*keys, F.explode("v").alias("p")).select(*keys, F.col("p.a").alias("_a"), F.col("p.b").alias("_b"))
-            .join(listed.select(F.col("word_a").alias("_a"), F.col("word_b").alias("_b")).distinct(), ["_a", "_b"], "left_anti")
-            .select(*keys).distinct().withColumn("verbs", F.lit(True)))
-    r = s.drop("v").join(left, keys, "left").withColumn("verbs", F.coalesce("verbs", F.lit(False)))
+    idle = F.when(F.size("v") == 0, F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("int") + 1).otherwise(0)
+    q = s.select(*keys, "repeated", "grouped", idle.alias("_n"), F.posexplode_outer("v").alias("_i", "_p"))
+    q = q.select(*keys, "repeated", "grouped", "_n", "_i", F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"))
+    q = q.join(listed.select(F.col("word_a").alias("_a"), F.col("word_b").alias("_b"), F.lit(0).alias("_n")).distinct().withColumn("_l", F.lit(True)),
+               ["_a", "_b", "_n"], "left")
+    counts = (F.col("_i").isNotNull() & F.col("_l").isNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).cast("int")
+    q = q.select(*keys, "repeated", "grouped", "_i", (F.max(counts).over(Window.partitionBy(*keys)) == 1).alias("verbs"))
+    r = q.where(F.coalesce(F.col("_i"), F.lit(0)) == 0)
     return r.select(*keys, "repeated", "verbs", "grouped", (F.col("repeated") | F.col("verbs") | F.col("grouped")).alias("poor"))
 
 
@@ -196,9 +201,10 @@ def line_penalties(words: Column, consonants: str, h: Habits = RU) -> Column:
     later = F.slice(words, 2, F.greatest(n, F.lit(1)))
     pairs = F.filter(F.zip_with(words, later, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull())
 
-    def edge(w: Column, rx: str) -> Column:
-        return F.length(F.regexp_extract(w["word"], rx, 0))
-    cluster = F.size(F.filter(pairs, lambda p: edge(p["a"], f"[{consonants}]*$") + edge(p["b"], f"^[{consonants}]*") > CLUSTER))
+    letters = F.lit(consonants)
+    tails = F.transform(words, lambda w: F.length(w["word"]) - F.length(F.rtrim(w["word"], letters)))
+    heads = F.transform(later, lambda w: F.length(w["word"]) - F.length(F.ltrim(w["word"], letters)))
+    cluster = F.size(F.filter(F.zip_with(tails, heads, lambda a, b: a + b), lambda c: c > CLUSTER))
     adposition = F.size(F.filter(pairs, lambda p: (p["a"]["upos"] == h.adposition) & (p["a"]["stress"] > 0)
                                  & p["b"]["upos"].isin("NOUN", "PROPN") & (p["b"]["stress"] > 0)))
     vowels = F.aggregate(words, F.lit(0), lambda acc, w: acc + w["vowels"])
@@ -208,8 +214,10 @@ def line_penalties(words: Column, consonants: str, h: Habits = RU) -> Column:
     found = {"weak_end": weak_end, "no_ending": yes(stressed == 0), "no_stress": yes(stressed == 0),
              "opening": yes((first["stress"] == 1) & (F.lower(first["word"]) == h.opening)), "cluster": cluster, "adposition": adposition,
              "lonely": lonely, "run": yes(sig.endswith("000"))}
-    factor = reduce(lambda a, b: a * b, [F.pow(F.lit(PENALTIES[k]), v.cast("double")) for k, v in found.items()])
-    return F.struct(*[v.alias(k) for k, v in found.items()], factor.alias("factor"))
+    # the counts are a step of their own: the factor reads them and does not find them again
+    counts = F.array(F.struct(*[v.alias(k) for k, v in found.items()]))
+    factor = (lambda f: reduce(lambda a, b: a * b, [F.pow(F.lit(PENALTIES[k]), f[k].cast("double")) for k in found]))
+    return F.get(F.transform(counts, lambda f: F.struct(*[f[k].alias(k) for k in found], factor(f).alias("factor"))), F.lit(0))
 
 
 # Factors of a candidate's rank, short and long form, and the threshold of the long form.

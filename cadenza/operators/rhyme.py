@@ -50,9 +50,9 @@ def _segments(word: Column, prof: Profile | str) -> Column:
 def _ending(w: Column, segs: Column) -> Column:
     k = F.size(segs)
     s = T.default_stress(k)
-    core = F.array_join(F.slice(segs, s, k), "")
-    start = F.length(w) - F.length(core) + 1
-    start = F.when((s == k) & (start > 1), start - 1).otherwise(start)
+    tail = F.array_join(F.slice(segs, s, k), "")
+    start = F.length(w) - F.length(tail) + 1
+    start = F.when(s == k, F.greatest(start - 1, F.lit(1))).otherwise(start)
     return F.when(k > 0, F.translate(w.substr(start, F.lit(1 << 30)), FOLD_FROM, FOLD_TO))
 
 
@@ -176,7 +176,16 @@ def poem_quatrains(docs: DataFrame, key: str = "doc_id", text_col: str = "text")
 def line_keys(lines, prof: Profile | str = LATIN) -> Column:
     """Clausula of every line of an array of lines.  Lambdas are interpreted and share nothing, so each step
     (last word, its segments, the ending) is an array of its own and is evaluated once a line."""
-    words = F.transform(lines, lambda l: F.regexp_extract(F.lower(l), r"(\p{L}++)[^\p{L}]*+$", 1))
+    return word_keys(line_ends(lines), prof)
+
+
+def line_ends(lines) -> Column:
+    """Last word of every line of an array of lines ('' if none), read from the line's end."""
+    return F.transform(lines, lambda l: F.regexp_extract(F.lower(l), r"(?s)^(?:.*\P{L})?(\p{L}+)\P{L}*$", 1))
+
+
+def word_keys(words, prof: Profile | str = LATIN) -> Column:
+    """Clausula of every word of an array of words; the segments of a word are found once."""
     parts = F.transform(words, lambda w: F.struct(w.alias("w"), _segments(w, prof).alias("segs")))
     return F.transform(parts, lambda x: _ending(x["w"], x["segs"]))
 

@@ -6,6 +6,8 @@ default rule, function words of one vowel stay unstressed."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
@@ -20,29 +22,45 @@ from cadenza.sources.fixtures import documents
 ADP = ["of", "in", "to", "de", "von", "zu", "sur", "en", "dans", "mit", "con"]
 PRON = ["he", "it", "his", "er", "es", "il", "la", "se", "les", "ich", "lo"]
 CONJ = ["and", "or", "und", "et", "ou", "y", "o"]
-VERB_RX, ADV_RX, CONVERB_RX, LEMMA_RX = "(ing|er|en|ar|ed)$", "(ly|ment|mente)$", "(ing|ant|ando)$", "(s|es|e|n)$"
+VERB_ENDS, ADV_ENDS, CONVERB_ENDS, LEMMA_ENDS = ["ing", "er", "en", "ar", "ed"], ["ly", "ment", "mente"], ["ing", "ant", "ando"], ["s", "es", "e", "n"]
+VERB_RX, ADV_RX, CONVERB_RX, LEMMA_RX = (f"({'|'.join(e)})$" for e in (VERB_ENDS, ADV_ENDS, CONVERB_ENDS, LEMMA_ENDS))
 CONSONANTS = "bcdfghjklmnpqrstvwxzçñß"
 H = D.LATIN
 
 
+def _ends_in(word, ends):
+    return reduce(lambda a, b: a | b, [word.endswith(e) for e in ends])
+
+
 def tagged(word, n):
-    upos = (F.when(word.isin(*ADP), "ADP").when(word.isin(*PRON), "PRON").when(word.isin(*CONJ), "CCONJ")
-            .when(word.rlike(VERB_RX), "VERB").when(word.rlike(ADV_RX), "ADV").otherwise("NOUN"))
-    light = word.isin(*ADP, *PRON, *CONJ) & (n == 1)
-    return F.struct(word.alias("word"), F.regexp_replace(word, LEMMA_RX, "").alias("lemma"), upos.alias("upos"), word.rlike(CONVERB_RX).alias("converb"),
-                    F.when(light | (n == 0), 0).otherwise(T.default_stress(n)).cast("int").alias("stress"), n.cast("int").alias("vowels"))
+    """A word's tags; ``n``, its vowels, is read several times: give a column or a lambda's field, as ``tagged_words`` does."""
+    short = F.length(word) <= max(map(len, ADP + PRON + CONJ))       # longer words need not be looked for in the lists
+    upos = (F.when(short & word.isin(*ADP), "ADP").when(short & word.isin(*PRON), "PRON").when(short & word.isin(*CONJ), "CCONJ")
+            .when(_ends_in(word, VERB_ENDS), "VERB").when(_ends_in(word, ADV_ENDS), "ADV").otherwise("NOUN"))
+    light = (n == 1) & word.isin(*ADP, *PRON, *CONJ)
+    lemma = word
+    for e in sorted(LEMMA_ENDS, key=len):       # the longest ending is asked first, as it begins first
+        lemma = F.when(word.endswith(e), F.substring(word, F.lit(1), F.length(word) - len(e))).otherwise(lemma)
+    return F.struct(word.alias("word"), lemma.alias("lemma"), upos.alias("upos"), _ends_in(word, CONVERB_ENDS).alias("converb"),
+                    F.when((n == 0) | light, 0).otherwise(T.default_stress(n)).cast("int").alias("stress"), n.cast("int").alias("vowels"))
+
+
+def tagged_words(words):
+    """An array of words, tagged.  Lambdas share nothing, so the vowels of a word are counted in a step of their own."""
+    counted = F.transform(words, lambda w: F.struct(w.alias("word"), T.vowel_count(w).alias("n")))
+    return F.transform(counted, lambda x: tagged(x["word"], x["n"]))
 
 
 def stanzas(spark, sf):
-    """``doc_id, block, lines`` (tagged words), ``ends, scheme, counts`` of the four-line stanzas."""
+    """``doc_id, block, lines`` (tagged words), ``ends, scheme, counts`` of the four-line stanzas.  The lines are cut and
+    tagged once; what a query does not read of the rest is not computed."""
     b = A.blocks(documents(spark, sf)).where(F.size("lines") == 4)
-    keys = F.transform("lines", lambda l: rhyme.clausula(rhyme.last_word(l)))
-    x = rhyme.scheme4(b.withColumn("keys", keys)).drop("keys", "factor")
-    t = F.transform("lines", lambda l: F.transform(T.words(l), lambda w: tagged(w, T.vowel_count(w))))
-    x = corpus.settled(x.withColumn("lines", t))
+    x = corpus.settled(b.withColumn("lines", F.transform("lines", lambda l: tagged_words(T.words(l)))))
+    keys = rhyme.word_keys(F.transform("lines", lambda l: F.element_at(l, -1)["word"]))
+    x = rhyme.scheme4(x.withColumn("keys", keys)).drop("keys", "factor")
     counts = F.transform("lines", lambda l: F.aggregate(l, F.lit(0), lambda acc, w: acc + w["vowels"]))
     ends = F.transform("lines", lambda l: F.struct(F.element_at(l, -1)["word"].alias("word"), F.element_at(l, -1)["upos"].alias("upos")))
-    return corpus.settled(x.select("*", counts.alias("counts"), ends.alias("ends")))
+    return x.select("*", counts.alias("counts"), ends.alias("ends"))
 
 
 def _list(xs) -> str:
@@ -87,8 +105,8 @@ rr AS MATERIALIZED (SELECT *, ending OR lemma OR adjacent OR echo OR noun OR twi
 WITH {_STANZA}, {_REPEAT_SQL}
 SELECT doc_id, CAST(block AS INT) AS block, ending, lemma, strict_lemma, form, adjacent, echo, noun, twin, converb, repeats, repeats OR strict_lemma OR form AS strictly FROM rr""")
 def q_repetition_flags(spark, sf):
-    x = stanzas(spark, sf).select("doc_id", "block", D.repetition(F.col("lines"), F.transform("ends", lambda e: e["word"]), H).alias("f"))
-    x = corpus.settled(x)
+    x = corpus.settled(stanzas(spark, sf).select("doc_id", "block", "lines", F.transform("ends", lambda e: e["word"]).alias("ends")))
+    x = corpus.settled(x.select("doc_id", "block", D.repetition(F.col("lines"), F.col("ends"), H).alias("f")))
     return x.select("doc_id", "block", "f.*", D.repeats(F.col("f")).alias("repeats"), D.repeats(F.col("f"), strict=True).alias("strictly"))
 
 
@@ -136,7 +154,7 @@ SELECT doc_id, CAST(block AS INT) AS block, scheme, array_to_string(c, ',') AS c
   WHEN scheme IN ('ABBA', '-AA-') THEN CASE WHEN d3 = 0 AND d1 = d2 THEN 1 - 0.90 * abs(d1) ELSE 0.5 END
   WHEN kinds = 2 AND same = 2 THEN 1 - 0.85 * span WHEN kinds = 2 AND same = 1 THEN 1 - 0.80 * span ELSE 0.5 END::DOUBLE, 6) AS factor FROM cd""")
 def q_syllable_defects(spark, sf):
-    x = stanzas(spark, sf)
+    x = corpus.settled(stanzas(spark, sf).select("doc_id", "block", "scheme", "counts"))
     x = x.withColumn("factor", F.round(D.syllable_defects(F.col("counts"), F.col("scheme")), 6))
     return x.select("doc_id", "block", "scheme", F.array_join(x["counts"].cast("array<string>"), ",").alias("counts"), "factor")
 
@@ -164,7 +182,7 @@ fl AS (SELECT doc_id, CAST(block AS INT) AS block, CAST(li AS INT) AS line_no, C
 SELECT *, round({' * '.join(f'pow({v}::DOUBLE, {k})' for k, v in _P.items())}, 9) AS factor FROM fl""")
 def q_line_penalties(spark, sf):
     x = stanzas(spark, sf).select("doc_id", "block", F.posexplode("lines").alias("line_no", "l"))
-    x = x.select("doc_id", "block", "line_no", D.line_penalties(F.col("l"), CONSONANTS, H).alias("p"))
+    x = corpus.settled(x.select("doc_id", "block", "line_no", D.line_penalties(F.col("l"), CONSONANTS, H).alias("p")))
     return x.select("doc_id", "block", "line_no", *[F.col(f"p.{k}").alias(k) for k in _P], F.round("p.factor", 9).alias("factor"))
 
 
