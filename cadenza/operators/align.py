@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
-from cadenza.operators.corpus import settled
+from cadenza.operators.corpus import cut_lines, settled, tasks
 from cadenza.operators.rhyme import FOLD_FROM, FOLD_TO
 from cadenza.profiles import FEET, LATIN, Profile, profile as get_profile
 
@@ -229,14 +229,10 @@ def _variants(batches):
 def lattice_variants(lattices: DataFrame) -> DataFrame:
     """``lattice, variants``: of each distinct lattice the best reading per metre, prefix and
     ending (``word``, ``stress`` of the last stressed word; -1 if none is stressed)."""
-    return (lattices.select("lattice").distinct().repartition(_tasks(lattices.sparkSession))      # few bytes, much work
+    return (lattices.select("lattice").distinct().repartition(tasks(lattices.sparkSession))      # few bytes, much work
             .mapInPandas(_variants, f"lattice string, variants array<{VARIANT}>"))
 
 
-def _tasks(spark) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _best(kind: np.ndarray, lat: np.ndarray, word: np.ndarray, stress: np.ndarray, score: np.ndarray, path) -> tuple:
     """Of the endings of ``_readings`` those that ``lattice_endings`` returns: ``lattice, word, stress``, ``[ending, metre]``
     prefix (-1: none), score and mode's path."""
@@ -311,7 +307,7 @@ def lattice_endings(lattices: DataFrame, paths: bool = True) -> DataFrame:
     """``lattice, kind, ends`` of each distinct ``lattice, kind``: per ending the best reading of every metre (of equal
     scores the one without a prefix; NULL where ``kind`` leaves none).  Kind ``ANY_ENDING`` has one entry, word -1: the
     best reading without a prefix."""
-    return (lattices.select("lattice", "kind").distinct().repartition(_tasks(lattices.sparkSession))      # few bytes, much work
+    return (lattices.select("lattice", "kind").distinct().repartition(tasks(lattices.sparkSession))      # few bytes, much work
             .mapInArrow(_endings(paths), f"lattice string, kind int, ends {ENDS}"))
 
 
@@ -321,14 +317,15 @@ def lattice_endings(lattices: DataFrame, paths: bool = True) -> DataFrame:
 def blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, block, lines``: the verse lines of a document in poems of four; a rest of three
     is a couplet and a single line."""
-    d = docs.select(key, T.verse_lines(text_col).alias("_l")).where(F.size("_l") > 0)
+    d = cut_lines(docs, key, text_col).where(F.size("_l") > 0)
     full = F.floor(F.size("_l") / 4).cast("int")
     rest = F.size("_l") % 4
     fours = F.transform(F.sequence(F.lit(0), full), lambda b: F.slice("_l", b * 4 + 1, 4))
     tail = F.element_at(fours, full + 1)
     cut = F.when(rest == 0, F.slice(fours, F.lit(1), full)).when(
         rest == 3, F.concat(F.slice(fours, F.lit(1), full), F.array(F.slice(tail, 1, 2), F.slice(tail, 3, 1)))).otherwise(fours)
-    return d.select(key, F.posexplode(cut).alias("block", "lines"))
+    d = settled(d.select(key, cut.alias("_b")))
+    return d.select(key, F.posexplode("_b").alias("block", "lines"))
 
 
 def too_complex(lines: Column, prof: Profile | str = LATIN) -> Column:
@@ -496,20 +493,35 @@ def signature(line: Column, prof: Profile | str = LATIN) -> Column:
     return F.translate(T.line_pattern_default(line, prof), "SAU", "110")
 
 
+def _phases(sig: Column) -> Column:
+    """``STRUCT``: how many of the syllables p, p + P, ... of a signature are stressed (``s``), how many are not (``u``), for
+    every length P of a foot; and whether the line starts unstressed (``rise``)."""
+    def picked(P: int, p: int) -> Column:
+        return F.regexp_replace(sig, f".{{{p}}}(.).{{0,{P - p - 1}}}" + (f"|.{{1,{p}}}" if p else ""), "$1")
+    sizes = [(P, p) for P in sorted({len(foot) for _, foot in FEET}) for p in range(P)]
+    return F.struct(*[F.length(F.translate(picked(P, p), off, "")).alias(f"{kind}{P}{p}") for P, p in sizes for kind, off in (("s", "0"), ("u", "1"))],
+                    (F.substring(sig, 1, 1) == "0").alias("rise"))
+
+
 def cyclic_line_score(sig: Column, foot: str) -> Column:
     """Log score of a signature against a repeating foot; a line that starts unstressed may be
     shifted by one syllable when the foot starts stressed."""
+    return _phase_score(_phases(sig), foot)
+
+
+def _phase_score(line: Column, foot: str) -> Column:
+    P = len(foot)
+
     def fit(shift: int) -> Column:
-        i = F.sequence(F.lit(1), F.greatest(F.length(sig), F.lit(1)))
-        digit = F.lit(foot)
-        want = (lambda k: F.when(k <= shift, "0").otherwise(F.substring(digit, F.pmod(k - 1 - shift, F.lit(len(foot))).cast("int") + 1, F.lit(1))))
-        got = (lambda k: F.substring(sig, k, F.lit(1)))
-        return F.aggregate(i, F.lit(0.0), lambda acc, k: acc + F.when((want(k) == "0") & (got(k) == "1"), math.log10(CYCLIC_EXTRA))
-                           .when((want(k) == "1") & (got(k) == "0"), math.log10(CYCLIC_MISSING)).otherwise(0.0))
-    plain = fit(0)
+        want = [foot[(p - shift) % P] for p in range(P)]
+        extra = sum((line[f"s{P}{p}"] for p in range(P) if want[p] == "0"), F.lit(0))
+        missing = sum((line[f"u{P}{p}"] for p in range(P) if want[p] == "1"), F.lit(0))
+        if shift and want[0] == "1":        # nothing is expected before the shifted foot, and nothing is there
+            missing = missing - 1
+        return extra * math.log10(CYCLIC_EXTRA) + missing * math.log10(CYCLIC_MISSING)
     if foot[0] == "0":
-        return plain
-    return F.when(F.substring(sig, 1, 1) == "0", F.greatest(plain, fit(1))).otherwise(plain)
+        return fit(0)
+    return F.when(line["rise"], F.greatest(fit(0), fit(1))).otherwise(fit(0))
 
 
 def cyclic_metre_fit(docs: DataFrame, key: str = "doc_id", text_col: str = "text", prof: Profile | str = LATIN) -> DataFrame:
@@ -517,10 +529,10 @@ def cyclic_metre_fit(docs: DataFrame, key: str = "doc_id", text_col: str = "text
     lines' log scores, exact however many lines; ties to the earlier foot).  Lines without
     vowels add nothing."""
     sigs = F.filter(F.transform(T.verse_lines(text_col), lambda l: signature(l, prof)), lambda s: F.length(s) > 0)
-    d = docs.select(key, sigs.alias("sigs")).where(F.size("sigs") > 0)
+    d = settled(docs.select(key, F.transform(sigs, _phases).alias("sigs"))).where(F.size("sigs") > 0)
 
     def total(foot: str) -> Column:
-        return F.aggregate("sigs", F.lit(0.0), lambda acc, s: acc + cyclic_line_score(s, foot))
+        return F.aggregate("sigs", F.lit(0.0), lambda acc, s: acc + _phase_score(s, foot))
     fits = [F.struct(F.round(total(foot), 6).alias("v"), F.lit(-i).alias("i"), F.lit(name).alias("metre")) for i, (name, foot) in enumerate(FEET)]
     best = F.array_max(F.array(*fits))
     return d.select(key, best.alias("b")).select(key, "b.metre", F.col("b.v").alias("log_score"))
