@@ -87,8 +87,9 @@ SELECT a.doc_id, CAST(a.line_no AS BIGINT) AS line_a, CAST(b.line_no AS BIGINT)
 FROM cl a JOIN cl b ON a.doc_id = b.doc_id AND b.line_no - a.line_no BETWEEN 1 AND 2""")
 def q_next_two_lines(spark, sf):
     """Each line with each of the next two, and whether different last words rhyme."""
-    d = documents(spark, sf).select("doc_id", T.verse_lines("text").alias("ls"))
-    d = d.select("doc_id", F.transform("ls", lambda x: F.struct(rhyme.last_word(x).alias("w"), rhyme.clausula(rhyme.last_word(x)).alias("k"))).alias("e"))
+    d = corpus.settled(corpus.cut_lines(documents(spark, sf)).select("doc_id", rhyme.line_ends("_l").alias("ws")))
+    e = F.zip_with("ws", rhyme.word_keys("ws"), lambda w, k: F.struct(w.alias("w"), k.alias("k")))
+    d = corpus.settled(d.select("doc_id", e.alias("e")))
     e = F.col("e")
 
     def pair(x, i, d):
@@ -96,7 +97,7 @@ def q_next_two_lines(spark, sf):
         return F.struct(i.alias("a"), (i + d).alias("b"), F.coalesce((x["k"] == y["k"]) & (x["w"] != y["w"]), F.lit(False)).alias("rhymed"))
     both = F.transform(e, lambda x, i: F.transform(
         F.filter(F.array(F.lit(1), F.lit(2)), lambda d: i + d < F.size(e)), lambda d: pair(x, i, d)))
-    x = d.select("doc_id", F.explode(F.flatten(both)).alias("p"))
+    x = corpus.settled(d.select("doc_id", F.flatten(both).alias("ps"))).select("doc_id", F.explode("ps").alias("p"))
     return x.select("doc_id", F.col("p.a").cast("long").alias("line_a"), F.col("p.b").cast("long").alias("line_b"), "p.rhymed")
 
 
