@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.corpus import settled, tasks
 from cadenza.operators.rhyme import FOLD_FROM, FOLD_TO
 
 # Substitutions of the ending transcript, in order.
@@ -326,15 +327,20 @@ def rhyme_pairs(lines: DataFrame, keys=("doc_id", "block"), p: Phonetics = RU, l
     ``exact`` and ``fuzzy`` that holds."""
     keys = list(keys)
     xw = xword(F.col("word"), F.col("stress"), p)
-    words = lines.select("word", "stress").distinct().withColumn("x", xw)        # each word is transcribed once
+    # each word is transcribed once; words are few bytes and much work, so they are dealt out, or else their small partitions
+    # would be joined into a few
+    words = lines.select("word", "stress").distinct().repartition(tasks(lines.sparkSession))
+    words = settled(words.withColumn("x", xw))
     left, right = pair_keys(F.col("x.xword"), p)
-    words = words.select("word", "stress", F.col("x.clausula").alias("clausula"), left.alias("left"), right.alias("right"))
+    # settled again: the join below would else derive filters from these expressions, which takes longer than the query
+    words = settled(words.select("word", "stress", F.col("x.clausula").alias("clausula"), left.alias("left"), right.alias("right")))
     d = lines.join(words, ["word", "stress"])
     g = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "word", "exact", "clausula", "left", "right"))).alias("l"))
     pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice(F.col("l"), i + 2, F.size("l")), lambda b: F.struct(
         a["line_no"].alias("line_a"), b["line_no"].alias("line_b"), a["word"].alias("word_a"), b["word"].alias("word_b"),
         F.coalesce(a["exact"] == b["exact"], F.lit(False)).alias("exact"), fuzzy_match(a, b, p).alias("fuzzy")))))
-    x = g.select(*keys, F.explode(pairs).alias("q")).select(*keys, "q.*")
+    some = F.filter(pairs, lambda q: q["exact"] | q["fuzzy"]) if listed is None else pairs
+    x = settled(g.select(*keys, some.alias("q"))).select(*keys, F.explode("q").alias("q")).select(*keys, "q.*")
     if listed is not None:
         both = listed.select(F.col("word_a").alias("_a"), F.col("word_b").alias("_b"))
         both = both.unionByName(listed.select(F.col("word_b").alias("_a"), F.col("word_a").alias("_b"))).distinct().withColumn("_l", F.lit(True))

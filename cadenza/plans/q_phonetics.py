@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
-from cadenza.operators import align, rhyme
+from cadenza.operators import align, corpus, rhyme
 from cadenza.operators import phonetics as P
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import FOLD_FROM, FOLD_TO, clausula_ctes, last_word_sql, verse_lines_sql, vowels_sql, words_sql
@@ -89,9 +89,11 @@ def q_phonetic_transcript(spark, sf):
 def _stanza_words(spark, sf):
     """``doc_id, block, line_no, word, stress, exact`` of the lines of four-line stanzas."""
     b = align.blocks(documents(spark, sf)).where(F.size("lines") == 4)
-    x = b.select("doc_id", "block", F.posexplode("lines").alias("line_no", "line"))
-    x = x.select("doc_id", "block", "line_no", rhyme.last_word("line").alias("word")).where("word IS NOT NULL")
-    return x.withColumn("stress", T.default_stress(T.vowel_count("word"))).where("stress IS NOT NULL").withColumn("exact", rhyme.clausula("word"))
+    b = corpus.settled(b.select("doc_id", "block", rhyme.line_ends("lines").alias("ws")))
+    ends = F.zip_with("ws", rhyme.word_keys("ws"), lambda w, k: F.struct(w.alias("word"), T.default_stress(T.vowel_count(w)).alias("stress"), k.alias("exact")))
+    b = corpus.settled(b.select("doc_id", "block", ends.alias("ends")))
+    x = b.select("doc_id", "block", F.posexplode("ends").alias("line_no", "e")).select("doc_id", "block", "line_no", "e.*")
+    return x.where("word <> '' AND stress IS NOT NULL")
 
 
 def _listed(spark, sf):
