@@ -90,10 +90,10 @@ def q_stress_markup(spark, sf):
     """Tags of marked lines; the input has primary, secondary and missing marks and
     hyphenated words in turn."""
     lines = corpus.lines(documents(spark, sf))
-    turn = F.transform(T.words("text"), lambda w, i: F.when(i % 3 == 0, stress.render_word(w)).when(i % 3 == 1, w)
-                       .otherwise(F.translate(stress.render_word(w), stress.ACUTE, stress.GRAVE)))
+    turn = F.transform(stress.render_words(T.words("text")), lambda w, i: F.when(i % 3 == 0, w).when(i % 3 == 1, F.translate(w, stress.ACUTE, ""))
+                       .otherwise(F.translate(w, stress.ACUTE, stress.GRAVE)))
     mixed = F.regexp_replace(F.array_join(turn, " "), " ([^ ]+)$", "-$1")
-    r = lines.select("doc_id", "line_no", mixed.alias("stressed"))
+    r = corpus.settled(lines.select("doc_id", "line_no", mixed.alias("stressed")))
     return r.select("doc_id", "line_no", stress.stress_markup("stressed").alias("markup"))
 
 
