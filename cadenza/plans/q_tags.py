@@ -9,7 +9,7 @@ from cadenza.functions import text as T
 from cadenza.operators import align as A, corpus, curate, rhyme, tags as G
 from cadenza.plans.q_align import stress_options
 from cadenza.plans.q_curate import _pairs
-from cadenza.plans.q_defects import ADP, CONJ, LEMMA_RX, PRON, _list, _upos_sql, tagged
+from cadenza.plans.q_defects import ADP, CONJ, LEMMA_RX, PRON, _list, _upos_sql, tagged, tagged_words
 from cadenza.plans.q_lexicon import _DICT_SQL, stress_overrides, stress_sources
 from cadenza.plans.registry import ORACLE, register
 from cadenza.plans.sqlbits import (
@@ -21,7 +21,8 @@ CASES = ["Nom", "Gen", "Dat"]
 
 
 def _tokens(spark, sf):
-    t = corpus.lines(documents(spark, sf)).select("doc_id", "line_no", F.posexplode(T.words("text")).alias("pos", "word"))
+    t = corpus.settled(corpus.lines(documents(spark, sf)).select("doc_id", "line_no", T.words("text").alias("ws")))
+    t = t.select("doc_id", "line_no", F.posexplode("ws").alias("pos", "word"))
     return t.withColumn("t", tagged(F.col("word"), T.vowel_count("word")))
 
 
@@ -91,7 +92,7 @@ WITH {_TOK}, c AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, line_no, lemm
 SELECT d.doc_id, coalesce(c.k, 0) <= 2 AS good FROM documents d LEFT JOIN c USING (doc_id)""")
 def q_lemma_cap(spark, sf):
     """Documents in which no sentence holds a content lemma more than twice."""
-    s = F.transform(T.verse_lines("text"), lambda l: F.transform(T.words(l), lambda w: tagged(w, T.vowel_count(w))))
+    s = F.transform(T.verse_lines("text"), lambda l: tagged_words(T.words(l)))
     d = corpus.settled(documents(spark, sf).select("doc_id", s.alias("s")))
     return d.select("doc_id", G.lemma_cap(F.col("s")).alias("good"))
 
@@ -117,7 +118,7 @@ FROM pairs p LEFT JOIN k USING (conv_id, turn)""")
 def q_keyword_hits(spark, sf):
     """Requests whose answer has a word that begins with one of the request's keyword stems."""
     p = _pairs(spark, sf)
-    t = corpus.settled(p.select("conv_id", "turn", "output", F.transform(T.words("input"), lambda w: tagged(w, T.vowel_count(w))).alias("t")))
+    t = corpus.settled(p.select("conv_id", "turn", "output", tagged_words(T.words("input")).alias("t")))
     t = corpus.settled(t.select("conv_id", "turn", "output", G.keyword_stems(F.col("t")).alias("k")))
     return t.select("conv_id", "turn", F.size("k").alias("n_stems"), G.keyword_hit(F.col("k"), T.words("output")).alias("hit"))
 
@@ -180,7 +181,7 @@ SELECT doc_id, CAST(block AS INT) AS block, CAST(len(k) AS INT) AS n_lines, CASE
   WHEN r14 AND r23 AND NOT r12 AND NOT r34 THEN 'ABBA' WHEN NOT r12 AND r13 AND NOT r34 THEN 'A-A-' WHEN NOT r12 AND r24 AND NOT r23 THEN '-A-A' ELSE '----' END AS scheme FROM rf""")
 def q_scheme_from_markup(spark, sf):
     """Rhyme scheme of every poem of one, two or four lines by the stricter table."""
-    b = A.blocks(documents(spark, sf)).select("doc_id", "block", F.transform("lines", lambda l: rhyme.clausula(rhyme.last_word(l))).alias("k"))
+    b = A.blocks(documents(spark, sf)).select("doc_id", "block", rhyme.line_keys("lines").alias("k"))
     b = corpus.settled(b)
     return b.select("doc_id", "block", F.size("k").alias("n_lines"), G.scheme_from_markup(F.col("k")).alias("scheme"))
 
