@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators.corpus import settled
 
 
 def distinct_docs(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -25,9 +26,9 @@ def distinct_docs(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def _shingle_rows(df: DataFrame, key: str, lower: bool, text_col: str = "text") -> DataFrame:
-    # materialise the array (and its size) before exploding: an expression in
-    # the same select as the generator is re-evaluated per generated row
-    a = df.select(key, T.shingles(text_col, 3, lower=lower).alias("_sh"))
+    # settle the array before its size is taken and it is exploded: an expression in the same select as the
+    # generator is re-evaluated per generated row, and the filter derived for it per text
+    a = settled(df.select(key, T.shingles(text_col, 3, lower=lower).alias("_sh")))
     a = a.select(key, F.size("_sh").alias("n"), "_sh")
     return a.select(key, "n", F.explode("_sh").alias("sh"))
 
