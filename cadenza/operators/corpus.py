@@ -49,6 +49,12 @@ def syllables(word_df: DataFrame, prof: Profile | str = LATIN,
                     F.coalesce(F.col("syl_pos") + 1 == F.col("stress"), F.lit(False)).alias("stressed"))
 
 
+def word_rows(df: DataFrame, *cols: str, text_col: str = "text") -> DataFrame:
+    """(cols, word): the words of whole texts, found once (see :func:`cut_lines`)."""
+    w = settled(df.select(*cols, T.words(text_col).alias("_w")))
+    return w.select(*cols, F.explode("_w").alias("word"))
+
+
 def tasks(spark) -> int:
     """Partitions for few bytes that are much work."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

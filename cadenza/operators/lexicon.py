@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators.corpus import settled
 from cadenza.operators.sampling import global_row_number
 from cadenza.profiles import LATIN, Profile
 
@@ -144,6 +145,6 @@ def vocab_build(poem_units: DataFrame, prose_units: DataFrame) -> DataFrame:
 def word_units(words: DataFrame, vocab: DataFrame, prof: Profile | str = LATIN) -> DataFrame:
     """``word, ids``: the unit ids of each distinct word, in order.  Units meet the vocabulary once per word and
     not once per token; words with a unit that it lacks get the ids of the others."""
-    u = words.select("word", F.posexplode(T.syllables("word", prof)).alias("i", "unit")).join(vocab, "unit")
+    u = settled(words.select("word", T.syllables("word", prof).alias("us"))).select("word", F.posexplode("us").alias("i", "unit")).join(vocab, "unit")
     g = u.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("s"))
     return g.select("word", F.col("s.id").alias("ids"))

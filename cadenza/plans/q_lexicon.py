@@ -32,7 +32,7 @@ def _rule_sql(rule: str, n: str) -> str:
 
 def stress_sources(spark, sf):
     d = documents(spark, sf, "lang", "text")
-    w = d.select("lang", F.explode(T.words("text")).alias("word")).distinct()
+    w = corpus.word_rows(d, "lang").distinct()
     w = w.withColumn("n", T.vowel_count("word")).where(F.col("n") > 0)
     lang_rank = None
     stress = None
@@ -47,10 +47,10 @@ def stress_sources(spark, sf):
 def stress_overrides(spark, sf):
     b = table(spark, sf, "benchmark", "text")
     c = table(spark, sf, "conversations", "role", "text").where(F.col("role") == "user")
-    bw = b.select(F.explode(T.words("text")).alias("word")).distinct() \
+    bw = corpus.word_rows(b).distinct() \
           .withColumn("n", T.vowel_count("word")).where(F.col("n") > 0) \
           .select("word", T.default_stress("n").alias("stress"), F.lit(1).alias("priority"))
-    cw = c.select(F.explode(T.words("text")).alias("word")).distinct() \
+    cw = corpus.word_rows(c).distinct() \
           .withColumn("n", T.vowel_count("word")).where(F.col("n") > 0) \
           .select("word", F.col("n").cast("int").alias("stress"), F.lit(2).alias("priority"))
     return bw.unionByName(cw)
@@ -185,8 +185,9 @@ def q_cognate_groups(spark, sf):
 
 
 def _units(df, col="text"):
-    return df.select(F.explode(T.words(col)).alias("w")).select(
-        F.explode(T.syllables("w")).alias("unit"))
+    """The units of every distinct word; the readers ask for distinct units only."""
+    w = corpus.word_rows(df, text_col=col).distinct()
+    return corpus.settled(w.select(T.syllables("word").alias("us"))).select(F.explode("us").alias("unit"))
 
 
 @register("vocab_build", f"""
@@ -257,8 +258,8 @@ def q_token_blocks(spark, sf):
     right-padded with 0."""
     docs = documents(spark, sf)
     vocab = L.vocab_build(_units(docs), _units(table(spark, sf, "conversations", "text")))
-    coded = L.word_units(docs.select(F.explode(T.words("text")).alias("word")).distinct(), vocab)
-    tokens = docs.select("doc_id", F.posexplode(T.words("text")).alias("pos", "word"))
+    coded = L.word_units(corpus.word_rows(docs).distinct(), vocab)
+    tokens = corpus.settled(docs.select("doc_id", T.words("text").alias("ws"))).select("doc_id", F.posexplode("ws").alias("pos", "word"))
     g = tokens.join(coded, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("s"))
     g = g.select("doc_id", F.flatten(F.col("s.ids")).alias("ids"))
     last = F.floor((F.size("ids") - 1) / BLOCK)
