@@ -120,9 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3, sample: int = S
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # at most `sample` pairs of numbers: broadcast, so that texts stay where they are
     own = (docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
-           .select(F.xxhash64("text").alias("row"), "grade", feature_array(text_of()).alias("words"))
-           .dropDuplicates(["row", "grade"]))       # a text with many copies teaches once
-    own = keep(own, "toxic-sample")
+           .select(F.xxhash64("text").alias("row"), "grade", "text")
+           .dropDuplicates(["row", "grade"]))       # a text with many copies teaches once, and its features are found after
+    own = keep(own.select("row", "grade", feature_array(text_of()).alias("words")), "toxic-sample")
     size = {r["grade"]: r["count"] for r in own.groupBy("grade").count().collect()}
     n, bad = sum(size.values()), sum(c for g, c in size.items() if g >= TOP)
     model = OrdinalModel({}, [35.0 + j for j in range(n_grades - 1)])
