@@ -248,9 +248,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # at most capacity rows reach the driver
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     seg = _segments(plan(counts, capacity))
-    table = spark.createDataFrame(
-        [(x, v) for x, v in seg.items()],
-        "length long, _seg array<struct<a: long, b: long, w: long, n: long, o: long>>")
+    # as an Arrow table: a list of rows would pass through a second set of Python workers on every executor
+    cell = pa.struct([(c, pa.int64()) for c in "abwno"])
+    table = spark.createDataFrame(pa.table({
+        "length": pa.array(list(seg), pa.int64()),
+        "_seg": pa.array([[dict(zip("abwno", s)) for s in v] for v in seg.values()], pa.list_(cell))}))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_rb")
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.withColumn("_before", before).drop("_n")  # at most capacity x RANK_BUCKETS rows

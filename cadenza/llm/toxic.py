@@ -86,15 +86,26 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
     return p[:n_features], np.concatenate([f[:1], f[0] + np.cumsum(np.exp(f[1:]))])
 
 
-def feature_array(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits, and their beginnings (``abcd*``)."""
+def distinct_words(text: Column) -> Column:
+    """Distinct lower-case runs of letters and digits."""
     t = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    w = F.array_distinct(F.filter(F.split(t, " "), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(t, " "), lambda x: x != ""))
+
+
+def feature_array(w: Column) -> Column:
+    """The words of a column, and their beginnings (``abcd*``).  ``w`` is read once a stem length: it has to be
+    a column of its own, since lambdas share nothing and would cut the text again each time."""
     def stems(n: int) -> Column:
         return F.transform(F.filter(w, lambda x: F.length(x) >= n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
     return F.array_distinct(F.concat(w, *[stems(n) for n in STEMS]))
 
 
+def _features(own: DataFrame) -> DataFrame:
+    """``row, grade, words`` of ``row, grade, text``: each text is cut once."""
+    cut = own.select("row", "grade", distinct_words(text_of()).alias("_w"))
+    return cut.select("row", "grade", feature_array(F.col("_w")).alias("words"))
+
+
 def _chain(x: str) -> list[str]:
     """The beginnings of a feature, longest first."""
     body, own = (x[:-1], len(x) - 1) if x.endswith("*") else (x, len(x) + 1)
@@ -122,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3, sample: int = S
     own = (docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")
            .select(F.xxhash64("text").alias("row"), "grade", "text")
            .dropDuplicates(["row", "grade"]))       # a text with many copies teaches once, and its features are found after
-    own = keep(own.select("row", "grade", feature_array(text_of()).alias("words")), "toxic-sample")
+    own = keep(_features(own), "toxic-sample")
     size = {r["grade"]: r["count"] for r in own.groupBy("grade").count().collect()}
     n, bad = sum(size.values()), sum(c for g, c in size.items() if g >= TOP)
     model = OrdinalModel({}, [35.0 + j for j in range(n_grades - 1)])
