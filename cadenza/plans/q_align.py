@@ -28,24 +28,29 @@ def stress_options(spark, sf):
 _P1, _PM = math.log10(0.1), math.log10(0.95)
 _FEET_VALUES = ", ".join(f"({i}, '{f}', {p})" for i, (_, f) in enumerate(FEET) for p in (0, 1))
 
-#: poems and their words with options; an independent walk over (state, last stressed word) per lattice
-_POEM_SQL = f"""{_DICT_SQL},
-arr AS MATERIALIZED (SELECT doc_id, {verse_lines_sql('text')} AS a FROM documents),
+_LINE_SQL = f"""arr AS MATERIALIZED (SELECT doc_id, {verse_lines_sql('text')} AS a FROM documents),
 pl AS MATERIALIZED (SELECT doc_id, len(a) AS total, unnest(range(len(a))) AS i, unnest(a) AS line FROM arr),
 line AS MATERIALIZED (SELECT doc_id, line, CASE WHEN i < total // 4 * 4 THEN i // 4 WHEN total % 4 = 3 AND i % 4 = 2 THEN total // 4 + 1 ELSE total // 4 END AS block,
-                CASE WHEN i >= total // 4 * 4 AND total % 4 = 3 AND i % 4 = 2 THEN 0 ELSE i % 4 END AS li FROM pl),
-poem AS MATERIALIZED (SELECT doc_id, block, count(*) AS n_lines,
-                bool_or(len(list_filter({words_sql('line')}, lambda w: {vowels_sql('w')} > 1)) >= 8) AS hard FROM line GROUP BY ALL),
-tok AS MATERIALIZED (SELECT doc_id, block, li, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (
-          SELECT doc_id, block, li, {words_sql('line')} AS ws FROM line JOIN poem USING (doc_id, block) WHERE NOT hard)),
-listed AS MATERIALIZED (SELECT x.word, x.stress, {vowels_sql('x.word')} AS n, CASE WHEN x.stress = d.stress THEN 100 ELSE 99 END AS weight
+                CASE WHEN i >= total // 4 * 4 AND total % 4 = 3 AND i % 4 = 2 THEN 0 ELSE i % 4 END AS li FROM pl),"""
+
+#: options of the words of ``tok``
+_OPTIONS_SQL = f"""listed AS MATERIALIZED (SELECT x.word, x.stress, {vowels_sql('x.word')} AS n, CASE WHEN x.stress = d.stress THEN 100 ELSE 99 END AS weight
            FROM (SELECT DISTINCT word, stress FROM u) x JOIN dict d ON d.word = x.word),
 opt AS MATERIALIZED (SELECT word, n, stress AS s, weight FROM listed WHERE n > 1 AND stress BETWEEN 1 AND n
         UNION ALL SELECT word, {vowels_sql('word')}, ({vowels_sql('word')} + 1) // 2, 100 FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict)
         UNION ALL SELECT word, 0, 0, 100 FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 0
         UNION ALL SELECT word, 1, 0, CASE WHEN length(word) <= 3 THEN 100 ELSE 70 END FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 1
         UNION ALL SELECT word, 1, 1, CASE WHEN length(word) <= 3 THEN 95 ELSE 100 END FROM (SELECT DISTINCT word FROM tok) WHERE {vowels_sql('word')} = 1),
-wo AS MATERIALIZED (SELECT word, n, any_value(n) || ':' || array_to_string(list(s || '/' || weight ORDER BY s), ',') AS o FROM opt GROUP BY word, n),
+wo AS MATERIALIZED (SELECT word, n, any_value(n) || ':' || array_to_string(list(s || '/' || weight ORDER BY s), ',') AS o FROM opt GROUP BY word, n),"""
+
+#: poems and their words with options; an independent walk over (state, last stressed word) per lattice
+_POEM_SQL = f"""{_DICT_SQL},
+{_LINE_SQL}
+poem AS MATERIALIZED (SELECT doc_id, block, count(*) AS n_lines,
+                bool_or(len(list_filter({words_sql('line')}, lambda w: {vowels_sql('w')} > 1)) >= 8) AS hard FROM line GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id, block, li, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (
+          SELECT doc_id, block, li, {words_sql('line')} AS ws FROM line JOIN poem USING (doc_id, block) WHERE NOT hard)),
+{_OPTIONS_SQL}
 ln AS MATERIALIZED (SELECT doc_id, block, li, array_to_string(list(o ORDER BY k), ' ') AS lattice, list(t.word ORDER BY k) AS ws, sum(n) AS n_syl
        FROM tok t JOIN wo USING (word) GROUP BY doc_id, block, li),
 rep AS MATERIALIZED (SELECT lattice, min(struct_pack(d := doc_id, b := block, l := li)) AS r, any_value(len(ws)) AS size FROM ln GROUP BY lattice),
@@ -83,15 +88,54 @@ kept AS MATERIALIZED (SELECT lv.*, n_lines FROM lv JOIN poem USING (doc_id, bloc
 bt AS MATERIALIZED (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, block, li, metre, word, stress ORDER BY score DESC, prefix) = 1)"""
 
 
+#: endings of whole four-line poems; lines of any length, so lattices have numbers and the feet are counted, not listed
+_UPTO = "CASE WHEN {x} <= p THEN 0 ELSE ({x} - p) // length(foot) * length(replace(foot, '0', '')) + length(replace(substr(foot, 1, CAST(({x} - p) % length(foot) AS INT)), '0', '')) END"
+_HIT = "CASE WHEN l.s > 0 THEN " + _UPTO.format(x="(l.c + l.s)") + " - " + _UPTO.format(x="(l.c + l.s - 1)") + " ELSE 0 END"
+_TAIL_SQL = f"""{_DICT_SQL},
+{_LINE_SQL}
+poem AS MATERIALIZED (SELECT doc_id, block, count(*) AS n_lines FROM line GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id, block, li, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (
+          SELECT doc_id, block, li, {words_sql('line')} AS ws FROM line JOIN poem USING (doc_id, block) WHERE n_lines = 4)),
+{_OPTIONS_SQL}
+ln0 AS MATERIALIZED (SELECT doc_id, block, li, array_to_string(list(o ORDER BY k), ' ') AS lattice, list(t.word ORDER BY k) AS ws, sum(n) AS n_syl
+       FROM tok t JOIN wo USING (word) GROUP BY doc_id, block, li),
+rep AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT lattice, min(struct_pack(d := doc_id, b := block, l := li)) AS r, any_value(len(ws)) AS size FROM ln0 GROUP BY lattice)),
+ln AS MATERIALIZED (SELECT ln0.* EXCLUDE (lattice), rep.id FROM ln0 JOIN rep USING (lattice)),
+lw AS MATERIALIZED (SELECT id, t.k, t.word, wo.n, CAST(coalesce(sum(wo.n) OVER (PARTITION BY id ORDER BY t.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c
+       FROM rep JOIN tok t ON t.doc_id = rep.r.d AND t.block = rep.r.b AND t.li = rep.r.l JOIN wo USING (word)),
+lo AS MATERIALIZED (SELECT id, k, lw.n, c, o.s, log10(o.weight / 100) AS weight FROM lw JOIN opt o USING (word)),
+modes(m, foot, p) AS (VALUES {_FEET_VALUES}),
+walk(id, m, p, foot, k, run, beat, tw, ts, score) AS (
+  SELECT id, m, p, foot, 0, 0, false, -1, 0, CAST(0 AS DOUBLE) FROM rep, modes
+  UNION ALL
+  SELECT id, m, p, foot, k, run, beat, tw, ts, max(score) FROM (
+    SELECT id, m, p, foot, k + 1 AS k,
+      CASE WHEN s > 0 THEN least(n - s, 4) ELSE least(run + n, 4) END AS run,
+      CASE WHEN n = 0 THEN false ELSE s > 0 AND s = n END AS beat,
+      CASE WHEN s > 0 THEN k ELSE tw END AS tw, CASE WHEN s > 0 THEN s ELSE ts END AS ts,
+      score + weight + CASE WHEN s > 0 AND hit = 0 THEN {_P1!r} ELSE 0 END + (expected - hit) * {_PM!r}
+        + CASE WHEN beat AND s = 1 THEN {_P1!r} ELSE 0 END
+        + CASE WHEN run < 4 AND run + CASE WHEN s > 0 THEN s - 1 ELSE n END >= 4 THEN {_P1!r} ELSE 0 END
+        + CASE WHEN s > 0 AND n - s >= 4 THEN {_P1!r} ELSE 0 END AS score
+    FROM (SELECT w.*, l.n, l.s, l.weight, {_HIT} AS hit, {_UPTO.format(x="(l.c + l.n)")} - {_UPTO.format(x="l.c")} AS expected
+          FROM walk w JOIN lo l ON l.id = w.id AND l.k = w.k) z) x
+  GROUP BY id, m, p, foot, k, run, beat, tw, ts),
+ended AS MATERIALIZED (SELECT w.id, w.m AS metre, w.p AS prefix, w.tw AS word, w.ts AS stress, round(max(w.score), 9) AS score
+          FROM walk w JOIN rep r ON r.id = w.id AND w.k = r.size GROUP BY ALL),
+bt AS MATERIALIZED (SELECT ln.*, e.metre, e.prefix, e.word, e.stress, e.score, ws[e.word + 1] AS tail, array_to_string(ws[e.word + 2:], '') AS rest
+        FROM ln JOIN (SELECT * FROM ended WHERE word >= 0 QUALIFY row_number() OVER (PARTITION BY id, metre, word, stress ORDER BY score DESC, prefix) = 1) e USING (id))"""
+
+
 @register("best_variant_per_tail", f"""
-WITH RECURSIVE {_POEM_SQL}
-SELECT doc_id, CAST(block AS INT) AS block, CAST(li AS INT) AS line_no, metre, prefix, CAST(word AS INT) AS word, stress, ending,
-       CAST(n_syl AS INT) AS n_syl, round(score, 6) AS log_score
-FROM bt WHERE n_lines = 4""")
+WITH RECURSIVE {_TAIL_SQL}
+SELECT doc_id, CAST(block AS INT) AS block, CAST(li AS INT) AS line_no, metre, prefix, CAST(word AS INT) AS word, stress,
+       translate(CASE WHEN rest = '' AND length(core) = 1 AND length(tail) > 1 THEN substr(tail, length(tail) - 1, 1) ELSE '' END
+              || core || rest, '{FOLD_FROM}', '{FOLD_TO}') AS ending, CAST(n_syl AS INT) AS n_syl, round(score, 6) AS log_score
+FROM (SELECT *, array_to_string(regexp_extract_all(tail, '[{V}][^{V}]*')[stress:], '') AS core FROM bt)""")
 def q_best_variant_per_tail(spark, sf):
-    """Every line of a four-line poem: the best stress variant per metre and ending."""
+    """Every line of a four-line poem, however long: the best stress variant per metre and ending."""
     poems = A.blocks(documents(spark, sf))
-    poems = poems.where((F.size("lines") == 4) & ~A.too_complex(F.col("lines")))
+    poems = poems.where(F.size("lines") == 4)
     v = A.best_variant_per_tail(poems, stress_options(spark, sf), paths=False)
     return v.select("doc_id", "block", "line_no", "metre", "prefix", "word", "stress", "ending", "n_syl", F.round("score", 6).alias("log_score"))
 
