@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators import corpus, lexicon as L
+from cadenza.operators.lookup import word_values
 from cadenza.plans.registry import register
 from cadenza.plans.sqlbits import LINES_CTE, V, syllables_sql, vowels_sql, words_sql
 from cadenza.sources.fixtures import documents, table
@@ -258,12 +259,14 @@ def q_token_blocks(spark, sf):
     right-padded with 0."""
     docs = documents(spark, sf)
     vocab = L.vocab_build(_units(docs), _units(table(spark, sf, "conversations", "text")))
-    coded = L.word_units(corpus.word_rows(docs).distinct(), vocab)
-    tokens = corpus.settled(docs.select("doc_id", T.words("text").alias("ws"))).select("doc_id", F.posexplode("ws").alias("pos", "word"))
-    g = tokens.join(coded, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("s"))
-    g = g.select("doc_id", F.flatten(F.col("s.ids")).alias("ids"))
+    def ids(words):
+        return words.join(L.word_units(words, vocab), "word").select("word", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("value"))
+    texts = corpus.settled(docs.select("doc_id", T.words("text").alias("ws")))
+    # documents of one id become one: by position, then by the ids as numbers
+    g = word_values(texts, ["doc_id"], ids, order=lambda v: F.split(v, ",").cast("array<bigint>"))
+    g = corpus.settled(g.select("doc_id", F.split("vals", "[|,]").alias("ids")))
     last = F.floor((F.size("ids") - 1) / BLOCK)
     cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda b: F.slice("ids", (b * BLOCK + 1).cast("int"), BLOCK))
-    g = g.where(F.size("ids") > 0).select("doc_id", F.posexplode(cut).alias("block_no", "b"))
-    pad = F.array_repeat(F.lit(0).cast("long"), F.lit(BLOCK) - F.size("b"))
-    return g.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.array_join(F.concat("b", pad).cast("array<string>"), ",").alias("ids"))
+    g = g.select("doc_id", F.posexplode(cut).alias("block_no", "b"))
+    pad = F.array_repeat(F.lit("0"), F.lit(BLOCK) - F.size("b"))
+    return g.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.array_join(F.concat("b", pad), ",").alias("ids"))

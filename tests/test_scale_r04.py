@@ -37,3 +37,58 @@ def test_long_lines_keep_their_variants(spark, tmp_path):
     rows = same_as_oracle(spark, folder, "best_variant_per_tail")
     assert {(r["doc_id"], r["line_no"]) for r in rows} == {(d, i) for d in (0, 1) for i in range(4)}
     assert any(r["n_syl"] == 501 and r["word"] == 199 for r in rows)
+
+
+def test_words_are_looked_up_where_they_are(spark):
+    """Frequent and other words, rows of equal and of null keys, words without a value."""
+    from cadenza.operators.lookup import word_values
+    rows = [(1, ["a", "b", "a", "z"]), (2, ["c"]), (2, ["a", "b"]), (None, ["b"]), (3, []), (3, None), (4, ["", "b"])]
+    d = spark.createDataFrame(rows, "k long, ws array<string>")
+
+    def value(words):
+        return words.select("word", "n", F.when(F.col("word") != "", F.concat(F.lit("v"), F.upper("word"))).otherwise("").alias("value"))
+    for hot in (0, 1, 2, 100):
+        got = {r["k"]: (r["line"], r["vals"]) for r in word_values(d, ["k"], value, hot=hot).collect()}
+        assert got == {1: ("a b a z", "vA|vB|vA|vZ"), 2: ("a c b", "vA|vC|vB"), None: ("b", "vB"), 4: (" b", "|vB")}, hot
+    # documents of one id are put together by the value where it says so
+    x = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "k long, ws array<string>")
+    ids = (lambda words: words.select("word", "n", F.when(F.col("word") == "a", "10,2").otherwise("9,7").alias("value")))
+    assert word_values(x, ["k"], ids, order=lambda v: F.split(v, ",").cast("array<bigint>")).first()["vals"] == "9,7|10,2"
+
+
+def _moved(df) -> str:
+    """Texts of the plan's exchanges."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan
+
+
+def test_words_of_texts_stay_with_their_text(spark, tmp_path):
+    """No row per word and position is made for the lookup of units and stresses."""
+    folder = tables(spark, tmp_path / "t", ["banana lemon sun\nthe sun of stone", "lemon banana stone", "sun"])
+    same_as_oracle(spark, folder, "token_blocks")
+    same_as_oracle(spark, folder, "improved_stress")
+    plan = _moved(E.queries()["token_blocks"](spark, folder))
+    assert "MapInArrow" in plan and "posexplode(ws" not in plan
+
+
+def test_corrections_are_counted(spark):
+    from cadenza.operators import correct as K
+    flags = ["01|0|101||0|10|101", "10|010|1|0", "", "0", "001|100|010", "1111|0000|0100"]
+    places = ["usususususususus", "SUSUSUSUSUSUSUSU", "uuSuuSuuSuuSuuS", ""]
+    d = spark.createDataFrame([(f, t) for f in flags for t in places], "flags string, template string")
+    x = d.select("*", F.size(F.filter(K.fixes(F.col("flags"), F.col("template")), lambda y: y["kind"] == "correction")).alias("a"),
+                 K.n_corrections(K.single_stresses(F.col("flags")), F.col("template")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in x) and sum(r["a"] for r in x) > 10
+
+
+def test_stanzas_are_tagged_once(spark, tmp_path):
+    """The rank's readers of the stanzas share one run of what tags them."""
+    lines = "banana the lemon\nsun of the stone\nthe lemon banana\na stone of sun"
+    folder = tables(spark, tmp_path / "t", [lines, lines.upper(), "\n".join(reversed(lines.split("\n")))])
+    same_as_oracle(spark, folder, "candidate_rank_score")
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    df = E.queries()["candidate_rank_score"](spark, folder)
+    plan = _moved(df)
+    assert "ReusedExchange" in plan and sum("REPARTITION_BY_COL" in x and "ReusedExchange" not in x for x in plan.split("\n")) <= 8
+    assert before == spark.conf.get("spark.sql.maxMetadataStringLength")
