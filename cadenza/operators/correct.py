@@ -9,8 +9,8 @@ tells, word by word, which stresses stand on weak places.
 - resolution: the same for a word with several stresses;
 - addition: a word without stress has a vowel on a strong place.
 
-Equal flag lines are matched and corrected once.  Stress lookups meet words of several vowels
-only; the groups that shuffle are lines, never whole poems.
+Equal flag lines are matched and corrected once.  Stress lookups meet distinct words; the groups that
+shuffle are lines, never whole poems.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators.corpus import settled
+from cadenza.operators.lookup import word_values
 from cadenza.operators.metre import METRE_NAMES, matchable, pattern_matches
 from cadenza.profiles import LATIN, METRES, Profile
 
@@ -36,9 +37,7 @@ def flag_lines(lines: DataFrame, stresses: DataFrame, keys=("doc_id", "line_no")
     """``keys, words, flags`` of every line with a word.  ``stresses`` (one row a word: ``word, stresses
     ARRAY<INT>``) decides for words of several vowels, the default rule where it is silent.
 
-    Only the stresses that differ from the default rule have to be looked up.  A line goes to that join as its
-    distinct words of several vowels and once as a whole, under a key that matches nothing; the hits alone
-    go on to meet their line."""
+    A word's flags are made once; :func:`~cadenza.operators.lookup.word_values` brings them to the lines."""
     keys = list(keys)
 
     def default_flags(n: Column) -> Column:
@@ -46,23 +45,13 @@ def flag_lines(lines: DataFrame, stresses: DataFrame, keys=("doc_id", "line_no")
         return F.concat(F.repeat(F.lit("0"), s - 1), F.lit("1"), F.repeat(F.lit("0"), n - s))
     count = T.vowel_count("word", prof)
     listed = stresses.select("word", flags_of(count, F.col("stresses")).alias("f")).where((count > 1) & (F.col("f") != default_flags(count)))
-    idle = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
-    x = settled(lines.select(*keys, T.words(text_col).alias("ws")).where(F.size("ws") > 0))
-    several = F.filter(F.array_distinct("ws"), lambda w: T.vowel_count(w, prof) > 1)
-    part = "struct<word:string,line:string>"
-    asked = F.concat(F.array(F.struct(idle.alias("word"), F.array_join("ws", " ").alias("line")).cast(part)),
-                     F.transform(several, lambda w: F.struct(w.alias("word"), F.lit(None).alias("line")).cast(part)))
-    t = x.select(*keys, F.explode(asked).alias("a")).select(*keys, "a.word", "a.line").join(listed, "word", "left")
-    t = t.where("line IS NOT NULL OR f IS NOT NULL")
-    t = t.repartition(*keys)        # rows as they are: few of a line lie together before, and lists of them are larger
-    g = t.groupBy(*keys).agg(F.collect_list("line").alias("lines"), F.collect_set(F.when(F.col("f").isNotNull(), F.struct("word", "f"))).alias("hits"))
-    g = settled(g.select(*keys, "lines", F.map_from_entries("hits").alias("hits")))
-    w = F.flatten(F.transform("lines", lambda l: F.transform(F.split(l, " "), lambda v, i: F.struct(
-        i.alias("pos"), v.alias("word"), T.vowel_count(v, prof).alias("n")))))
-    g = g.select(*keys, "hits", F.when(F.size("lines") > 1, F.sort_array(w)).otherwise(w).alias("w"))
-    f = F.transform("w", lambda v: F.when(v["n"] == 0, "").when(v["n"] == 1, F.when(F.length(v["word"]) <= SHORT, "0").otherwise("1"))
-                    .otherwise(F.coalesce(F.try_element_at("hits", v["word"]), default_flags(v["n"]))))
-    return g.select(*keys, F.col("w.word").alias("words"), F.array_join(f, "|").alias("flags"))
+
+    def flags(words: DataFrame) -> DataFrame:
+        x = words.join(listed, "word", "left").withColumn("c", T.vowel_count("word", prof))
+        own = F.when(F.col("c") == 0, "").when(F.col("c") == 1, F.when(F.length("word") <= SHORT, "0").otherwise("1"))
+        return x.select("word", "n", own.otherwise(F.coalesce("f", default_flags(F.col("c")))).alias("value"))
+    x = settled(lines.select(*keys, T.words(text_col).alias("ws")))
+    return word_values(x, keys, flags).select(*keys, F.split("line", " ").alias("words"), F.col("vals").alias("flags"))
 
 
 def shared(lines: DataFrame, keys=("doc_id", "line_no")) -> DataFrame:
