@@ -97,6 +97,28 @@ def fixes(flags: Column, template: Column) -> Column:
     return F.flatten(F.transform(placed, of))
 
 
+def single_stresses(flags: Column) -> Column:
+    """``ARRAY<STRUCT<at, n, p>>``: the words of several vowels with one stress; where they begin in the line, their
+    vowels, and the place of the stress in the line (from 1)."""
+    words = F.split(flags, "\\|")
+    sized = F.transform(words, lambda w: F.struct(w.alias("f"), F.length(w).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int,p:int>>").alias("out"))
+
+    def one(acc: Column, w: Column) -> Column:
+        single = (w["n"] > 1) & (F.length(F.translate(w["f"], "0", "")) == 1)
+        item = F.struct(acc["at"].alias("at"), w["n"].alias("n"), (acc["at"] + F.instr(w["f"], "1")).alias("p"))
+        return F.struct((acc["at"] + w["n"]).alias("at"), F.when(single, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(sized, start, one)["out"]
+
+
+def n_corrections(single: Column, template: Column) -> Column:
+    """How many of the ``fixes`` are corrections: a single stress on a weak place may go to each strong place of its word."""
+    def of(w: Column) -> Column:
+        seg = F.lower(F.substring(template, w["at"] + 1, w["n"]))
+        return F.when(F.lower(F.substring(template, w["p"], F.lit(1))) == "u", F.length(seg) - F.length(F.translate(seg, "s", ""))).otherwise(0)
+    return F.aggregate(single, F.lit(0), lambda acc, w: acc + of(w))
+
+
 def _matched(lines: DataFrame) -> DataFrame:
     """``flags, strong, weak, template, failed`` (arrays by metre) of the distinct flag lines;
     ``strong`` counts corrections too."""
@@ -104,8 +126,9 @@ def _matched(lines: DataFrame) -> DataFrame:
     m = d.where(matchable("pattern")).join(pattern_matches(d), "pattern")
     bad = F.transform(F.arrays_zip("failed", "template"), lambda x: x["failed"] | (x["template"] == ""))
     m = m.withColumn("failed", bad)
+    m = settled(m.select("flags", single_stresses(F.col("flags")).alias("single"), "strong", "weak", "template", "failed"))
     more = F.transform(F.arrays_zip("strong", "template", "failed"), lambda x: x["strong"] + F.when(x["failed"], 0).otherwise(
-        F.size(F.filter(fixes(F.col("flags"), x["template"]), lambda y: y["kind"] == "correction"))))
+        n_corrections(F.col("single"), x["template"])))
     m = m.select("flags", more.alias("strong"), "weak", "template", "failed")
     n, zero = len(METRES), d.where(~matchable("pattern"))
     none = zero.select("flags", F.array_repeat(F.lit(0), n).alias("strong"), F.array_repeat(F.lit(0), n).alias("weak"),
