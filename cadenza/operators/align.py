@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators.corpus import cut_lines, settled, tasks
+from cadenza.operators.lookup import word_values
 from cadenza.operators.rhyme import FOLD_FROM, FOLD_TO
 from cadenza.profiles import FEET, LATIN, Profile, profile as get_profile
 
@@ -337,19 +338,18 @@ def too_complex(lines: Column, prof: Profile | str = LATIN) -> Column:
 
 
 def line_lattices(poems: DataFrame, options: DataFrame, keys=("doc_id", "block"), prof: Profile | str = LATIN) -> DataFrame:
-    """``keys, line_no, words, lattice`` of every line.  Only words of several vowels meet the
-    options table; the others decide in their row and are spread over keys that match nothing."""
-    keys = list(keys)
-    t = (poems.select(*keys, F.posexplode("lines").alias("line_no", "line"))
-         .select(*keys, "line_no", F.posexplode_outer(T.words("line")).alias("pos", "word")))
-    n = T.vowel_count("word", prof)
-    idle = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*keys, "line_no", "pos"), F.lit(4096)).cast("string"))
-    t = t.withColumn("_own", short_word_options(F.col("word"), n)).withColumn("_key", F.when(n > 1, F.col("word")).otherwise(idle))
-    plain = F.concat(n.cast("string"), F.lit(":"), T.default_stress(n).cast("string"), F.lit("/100"))
-    t = t.join(options.select(F.col("word").alias("_key"), "options"), "_key", "left")
-    t = t.withColumn("o", F.coalesce("_own", "options", plain)).where("pos IS NOT NULL")
-    g = t.groupBy(*keys, "line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "o"))).alias("w"))
-    return g.select(*keys, "line_no", F.col("w.word").alias("words"), F.array_join(F.col("w.o"), " ").alias("lattice"))
+    """``keys, line_no, words, lattice`` of every line.  A word's options are decided once, by itself (no vowel
+    or one) or from the options table; the default rule where that is silent."""
+    own = [*keys, "line_no"]
+    lines = poems.select(*keys, F.posexplode("lines").alias("line_no", "line"))
+    x = settled(lines.select(*own, T.words("line").alias("ws")))
+
+    def lattice(words: DataFrame) -> DataFrame:
+        w = words.join(options.select("word", "options"), "word", "left").withColumn("c", T.vowel_count("word", prof))
+        c = F.col("c")
+        plain = F.concat(c.cast("string"), F.lit(":"), T.default_stress(c).cast("string"), F.lit("/100"))
+        return w.select("word", "n", F.coalesce(short_word_options(F.col("word"), c), "options", plain).alias("value"))
+    return word_values(x, own, lattice).select(*own, F.split("line", " ").alias("words"), F.translate("vals", "|", " ").alias("lattice"))
 
 
 def ending_key(words: Column, word: Column, stress: Column, prof: Profile | str = LATIN) -> Column:

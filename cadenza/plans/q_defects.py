@@ -200,10 +200,12 @@ _RANK_SQL = (f"WITH {_STANZA}, {_REPEAT_SQL}, {_POOR_SQL}, al AS ({ORACLE['align
 def q_candidate_rank_score(spark, sf):
     """Aligned stanzas with their rank as short candidates (wanted scheme ABAB) and as parts of a long poem."""
     x = stanzas(spark, sf)
+    # cut and tagged once for both readers: dealt by their keys, settled, so that neither makes a plan of its own of all below
+    again = D.repeats(D.repetition(F.col("lines"), F.transform("ends", lambda e: e["word"]), H))
+    x = corpus.settled(x.select("doc_id", "block", "ends", "scheme", again.alias("repeats")).repartition("doc_id", "block"))
     poems = A.blocks(documents(spark, sf)).where(F.size("lines") == 4)
     score = A.align_scores(poems, stress_options(spark, sf), paths=False).where("metre IS NOT NULL").select("doc_id", "block", "metre", "scheme", "score")
-    flags = corpus.settled(x.select("doc_id", "block", D.repetition(F.col("lines"), F.transform("ends", lambda e: e["word"]), H).alias("f")))
-    flags = flags.select("doc_id", "block", D.repeats(F.col("f")).alias("repeats"))
+    flags = x.select("doc_id", "block", "repeats")
     j = score.join(flags, ["doc_id", "block"]).join(_poor(x, spark, sf).select("doc_id", "block", "poor"), ["doc_id", "block"])
     short = D.candidate_rank_score(F.col("score"), F.col("scheme"), F.col("repeats"), F.col("poor"), F.lit("ABAB"))
     long = D.long_rank_score(F.col("score"), F.col("scheme"), F.col("repeats"), F.col("poor"))
