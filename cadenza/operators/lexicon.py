@@ -89,8 +89,15 @@ def edit_neighbours(left: DataFrame, right: DataFrame, max_dist: int = 1) -> Dat
     finds every candidate exactly (no length-bucket all-pairs); candidates are verified
     with ``levenshtein(a, b, d)``."""
     lv = left.select("word", F.explode(deletion_variants("word", max_dist)).alias("v"))
-    rv = right.select(F.col("word").alias("other"), F.explode(deletion_variants("word", max_dist)).alias("v"))
-    cand = lv.join(rv, "v").select("word", "other").distinct()
+    if left is right:       # one shuffle of the variants: those of more than one word have them all in a row
+        both = lv.where("v IS NOT NULL").repartition("v").groupBy("v").agg(F.collect_set("word").alias("ws"))
+        one = F.size("ws") == 1
+        cand = both.select(F.explode("ws").alias("word"), F.when(one, F.array().cast("array<string>")).otherwise(F.col("ws")).alias("ws"))
+        own = left.where("word IS NOT NULL").select("word", F.col("word").alias("other"))
+        cand = cand.select("word", F.explode("ws").alias("other")).unionByName(own).distinct()
+    else:
+        rv = right.select(F.col("word").alias("other"), F.explode(deletion_variants("word", max_dist)).alias("v"))
+        cand = lv.join(rv, "v").select("word", "other").distinct()
     d = F.levenshtein("word", "other", max_dist)
     return cand.select("word", "other", d.alias("dist")).where((F.col("dist") >= 0) & (F.col("dist") <= max_dist))
 
@@ -104,24 +111,32 @@ def nearest_words(queries: DataFrame, vocab: DataFrame, n: int = 5, max_dist: in
     return nb.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+SEEDS_APART = "\u001f"       # between the seeds of a member
+
+
 def ego_groups(seeds: DataFrame, edges: DataFrame, radius: int = 3) -> DataFrame:
     """(word, member, hops): nodes within ``radius`` undirected hops of each
-    seed (the seed itself at 0).  One join + distinct per hop on the frontier
-    only.  The edge list and each hop's frontier are checkpointed once (reliable
-    ``checkpoint``); the visited pairs are the union of those frontiers and are
-    never written again."""
+    seed (the seed itself at 0).  A member has the seeds that reach it in one row, as a sorted string; a hop sends it to
+    the member's neighbours, which keep what is new to them.  The edge list and each hop's frontier are checkpointed once
+    (reliable ``checkpoint``); the visited pairs are the union of those frontiers and are never written again."""
     from cadenza.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(seeds.sparkSession)
     und = edges.select(F.col("word").alias("a"), F.col("other").alias("b")).unionByName(
         edges.select(F.col("other").alias("a"), F.col("word").alias("b"))).distinct().checkpoint()
+
+    def seeds_of(texts: str) -> F.Column:
+        return F.flatten(F.transform(texts, lambda x: F.split(x, SEEDS_APART)))
     reached = seeds.select("word", F.col("word").alias("member"), F.lit(0).alias("hops"))
-    frontier = reached
+    frontier = seeds.select(F.col("word").alias("member"), F.col("word").alias("seeds")).where("word IS NOT NULL").distinct()
+    known = frontier.select("member", F.col("seeds").alias("old"))
     for h in range(1, radius + 1):
-        step = (frontier.join(und, frontier["member"] == und["a"])
-                .select("word", F.col("b").alias("member")).distinct())
-        frontier = step.join(reached.select("word", "member"), ["word", "member"], "left_anti") \
-                       .withColumn("hops", F.lit(h)).checkpoint()
-        reached = reached.unionByName(frontier)
+        step = frontier.join(und, frontier["member"] == und["a"]).select(F.col("b").alias("member"), F.col("seeds").alias("new"))
+        g = step.unionByName(known, allowMissingColumns=True).repartition("member").groupBy("member").agg(
+            F.collect_list("new").alias("new"), F.collect_list("old").alias("old")).where(F.size("new") > 0)
+        g = g.select("member", F.array_except(seeds_of("new"), seeds_of("old")).alias("new")).where(F.size("new") > 0)
+        frontier = g.select("member", F.array_join(F.array_sort("new"), SEEDS_APART).alias("seeds")).checkpoint()
+        known = known.unionByName(frontier.select("member", F.col("seeds").alias("old")))
+        reached = reached.unionByName(frontier.select(F.explode(F.split("seeds", SEEDS_APART)).alias("word"), "member", F.lit(h).alias("hops")))
     return reached
 
 

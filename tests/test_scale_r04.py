@@ -91,3 +91,50 @@ def test_stanzas_are_tagged_once(spark, tmp_path):
         assert _moved(E.queries()["candidate_rank_score"](spark, folder)).count("CCONJ") == 1
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_contrasts_are_not_multiplied_out(spark):
+    """Pairs come from buckets of members, each once, and only those that are asked for where some are."""
+    from cadenza.operators import thesaurus as X
+    opposites = spark.createDataFrame([("a", "ina"), ("b", "inb"), ("a", "ina"), ("ina", "x"), ("c", "c")], "word string, other string")
+    groups = {"a": ["a", "b", "c"], "b": ["b", "a"], "ina": ["ina", "inb", "c"], "inb": ["inb", "ina"], "x": [], "c": ["q"]}
+    g = spark.createDataFrame([(w, m, 1) for w, ms in groups.items() for m in ms], "word string, member string, hops int")
+    whole = {w: {w, *ms} for w, ms in groups.items()}
+    want = set()
+    for l, r in {("a", "ina"), ("b", "inb"), ("ina", "x"), ("c", "c")}:
+        for x in whole[l]:
+            for y in whole[r] - whole[l]:
+                want |= {(x, y), (y, x)}
+    df = X.contrast_pairs(opposites, g)
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "HashAggregate" not in plan
+    asked = spark.createDataFrame([("a", "ina"), ("ina", "b"), ("b", "a"), ("no", "a"), (None, "a"), ("a", "ina")], "word string, other string")
+    some = [tuple(r) for r in X.contrast_pairs(opposites, g, asked).collect()]
+    assert len(some) == len(set(some)) and set(some) == want & {("a", "ina"), ("ina", "b"), ("b", "a")}
+
+
+def test_pairs_of_buckets_in_pieces(monkeypatch):
+    """A few pairs at a time give the same as all at once."""
+    import pyarrow as pa
+    from cadenza.operators import thesaurus as X
+    t = pa.table({"member": list("abcdef"), "l": ["p", "p\u001fq", "", "q", "", "r"], "r": ["", "", "p", "p", "q\u001fr", ""]})
+    run = (lambda: sorted((x, y) for b in X._cell_pairs(t, t, False) for x, y in zip(*(c.to_pylist() for c in b.columns))))
+    every = run()
+    monkeypatch.setattr(X, "PAIRS", 2)
+    one = [(x, y) for x, y in [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("b", "e"), ("d", "e"), ("f", "e")]]
+    assert run() == every == sorted(one + [(y, x) for x, y in one])
+
+
+def test_groups_and_neighbours(spark):
+    """Members of three hops once, with the least number of hops; neighbours of a list in itself as of two."""
+    from cadenza.operators import lexicon as L
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c"), ("z", "z")], "word string, other string")
+    seeds = spark.createDataFrame([("a",), ("e",), ("z",), ("n",)], "word string")
+    got = sorted(tuple(r) for r in L.ego_groups(seeds, edges, 3).collect())
+    assert got == sorted([("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("e", "e", 0), ("e", "d", 1), ("e", "c", 2),
+                          ("e", "a", 3), ("e", "b", 3), ("z", "z", 0), ("n", "n", 0)])
+    w = spark.createDataFrame([("ab",), ("ba",), ("abc",), ("b",), ("xyz",), (None,), ("",), ("ab",)], "word string")
+    again = w.select("word")
+    assert sorted(map(repr, L.edit_neighbours(w, w).collect())) == sorted(map(repr, L.edit_neighbours(w, again).collect()))
